@@ -75,16 +75,25 @@ def read_csv_text(
     with more cells than the header set apart."""
     names = _header(spark, path, sep, encoding, multi_line)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    # With column pruning the parser sees the wanted cells only and takes rows of any length
+    # for sound, so a query of one column would count rows that a query of all sets apart.
     rows = (
         _reader(spark, sep, encoding, multi_line)
-        .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+        .options(
+            header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False
+        )
         .schema(schema)
         .csv(path)
     )
-    too_long = F.col(CORRUPT).isNotNull() & (_cells(F.col(CORRUPT), sep) > len(names))
+    # COALESCE keeps Spark from pushing "malformed text is not null" into the parser, where that
+    # text is not set yet.
+    too_long = F.coalesce(_cells(F.col(CORRUPT), sep), F.lit(0)) > len(names)
     df = tidy_header(rows.filter(~too_long).drop(CORRUPT))
-    meta = {"encoding": encoding, "delimiter": sep}
-    return LoadedCsv(df, rows.filter(too_long).select(CORRUPT), meta)
+    # Spark refuses a scan that needs nothing but the malformed text, so that the test below
+    # looks at the first cell too. It is true for every row.
+    first = col(names[0])
+    malformed = rows.filter(too_long & (first.isNull() | (F.length(first) >= 0))).select(CORRUPT)
+    return LoadedCsv(df, malformed, {"encoding": encoding, "delimiter": sep})
 
 
 def _cells(line, sep: str):

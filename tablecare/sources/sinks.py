@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
-    """A folder of part files; CSV gets a header and quotes doubled inside quotes."""
+    """A folder of part files; CSV gets a header, quotes doubled inside quotes, and keeps the
+    spaces around values, which Spark's writer would cut off."""
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.options(header=True, quote='"', escape='"')
+        writer = writer.options(
+            header=True, quote='"', escape='"',
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        )
     writer.save(path)
 
 
