@@ -321,7 +321,7 @@ def lead_rejected(spark, sf_dir):
 )
 def lead_role_flags(spark, sf_dir):
     df = view(spark, sf_dir, "leads")
-    flag = F.coalesce(emails.is_role_email(F.col("email")), F.lit(False))
+    flag = F.coalesce(emails.is_role_email(text.strip(F.col("email"))), F.lit(False))
     return df.select("row_id", flag.alias("is_role_email"))
 
 

@@ -75,7 +75,7 @@ class ProfileConfig:
     approx_accuracy: int = 10_000
     # Exact quantiles come from one in-memory aggregate while the values of all
     # numeric columns together stay below this, from interval narrowing beyond.
-    quantile_values_in_memory: int = 2_000_000
+    quantile_values_in_memory: int = 5_000_000
 
 
 @dataclass(frozen=True)

@@ -5,32 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tablecare import fixed_values as fv
-from tablecare.functions.text import is_blank, strip
+from tablecare.functions.text import strip
 
 
-def is_valid_email(c: Column) -> Column:
-    """The email pattern admits no whitespace inside, so one match settles it."""
-    return strip(c).rlike(fv.EMAIL_PATTERN)
+def is_valid_email(text: Column) -> Column:
+    """For stripped text. The pattern admits no whitespace inside, so one match settles it."""
+    return text.rlike(fv.EMAIL_PATTERN)
 
 
-def invalid_reason(c: Column) -> Column:
-    """Why a value is not a usable email address; meaningful for invalid values only."""
-    text = strip(c)
+def invalid_reason(text: Column) -> Column:
+    """Why a stripped value is not a usable address; meaningful for invalid values only."""
     at = F.instr(text, "@")
     domain = F.substr(text, at + 1)
     bad_domain = (at > 0) & (
         ~domain.contains(".") | domain.startswith(".") | domain.endswith(".")
     )
     return (
-        F.when(is_blank(c), fv.BLANK_EMAIL)
+        F.when(text.isNull() | (text == ""), fv.BLANK_EMAIL)
         .when(bad_domain, fv.INVALID_DOMAIN)
         .otherwise(fv.INVALID_EMAIL_FORMAT)
     )
 
 
-def is_role_email(c: Column) -> Column:
-    """True when the part before the first ``@`` is a shared mailbox such as info or sales."""
-    return F.substring_index(F.lower(strip(c)), "@", 1).isin(*fv.ROLE_PREFIXES)
+def is_role_email(text: Column) -> Column:
+    """For stripped text: the part before the first ``@`` is a shared mailbox such as info."""
+    return F.lower(F.substring_index(text, "@", 1)).isin(*fv.ROLE_PREFIXES)
 
 
 def email_key(c: Column) -> Column:

@@ -1,19 +1,18 @@
-"""Text to boolean, number and timestamp."""
+"""Text to boolean, number and timestamp. All functions take stripped text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 from tablecare import fixed_values as fv
-from tablecare.functions.text import strip
 
 
-def is_bool_word(c: Column, true_words=fv.TRUE_WORDS, false_words=fv.FALSE_WORDS) -> Column:
-    return F.lower(strip(c)).isin(*_lower(true_words), *_lower(false_words))
+def is_bool_word(text: Column, true_words=fv.TRUE_WORDS, false_words=fv.FALSE_WORDS) -> Column:
+    return F.lower(text).isin(*_lower(true_words), *_lower(false_words))
 
 
-def to_bool(c: Column, true_words=fv.TRUE_WORDS, false_words=fv.FALSE_WORDS) -> Column:
-    word = F.lower(strip(c))
+def to_bool(text: Column, true_words=fv.TRUE_WORDS, false_words=fv.FALSE_WORDS) -> Column:
+    word = F.lower(text)
     return F.when(word.isin(*_lower(true_words)), True).when(
         word.isin(*_lower(false_words)), False
     )
@@ -23,34 +22,28 @@ def _lower(words):
     return [w.lower() for w in words]
 
 
-def is_number(c: Column) -> Column:
+def is_number(text: Column) -> Column:
     """True for decimal numbers. A bare cast would also take ``1d``, ``1f`` and hex floats."""
-    return strip(c).rlike(fv.NUMBER_PATTERN)
+    return text.rlike(fv.NUMBER_PATTERN)
 
 
-def to_number(c: Column) -> Column:
+def to_number(text: Column) -> Column:
     """The DOUBLE a text stands for, NULL where it is not a number."""
-    return F.when(is_number(c), strip(c).try_cast("double"))
+    return F.when(is_number(text), text.try_cast("double"))
 
 
-def is_whole(c: Column) -> Column:
-    """True where the number is integral and fits a BIGINT."""
-    x = to_number(c)
-    return (x == F.rint(x)) & (F.abs(x) < F.lit(9.2e18))
+def is_whole(number: Column) -> Column:
+    """True where a DOUBLE is integral and fits a BIGINT."""
+    return (number == F.rint(number)) & (F.abs(number) < F.lit(9.2e18))
 
 
-def to_whole(c: Column) -> Column:
+def to_whole(text: Column) -> Column:
     """The BIGINT a text stands for; plain digits are read exactly, without going by DOUBLE."""
-    text = strip(c)
     return F.when(text.rlike(fv.INTEGER_PATTERN), text.try_cast("bigint")).otherwise(
-        to_number(c).try_cast("bigint")
+        to_number(text).try_cast("bigint")
     )
 
 
-def has_shape(c: Column, shape: str) -> Column:
-    return strip(c).rlike(shape)
-
-
-def to_timestamp(c: Column, fmt: str, shape: str) -> Column:
+def to_timestamp(text: Column, fmt: str, shape: str) -> Column:
     """Parse by one format; values of another shape are NULL without trying the parser."""
-    return F.when(has_shape(c, shape), F.try_to_timestamp(strip(c), F.lit(fmt)))
+    return F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))

@@ -31,7 +31,7 @@ def one_spaced(c: Column) -> Column:
 def is_blank(c: Column, dtype: T.DataType | None = None) -> Column:
     """True for NULL, NaN and text made of whitespace only."""
     if dtype is None or family(dtype) == "string":
-        return c.isNull() | (strip(c) == "")
+        return c.isNull() | (F.ltrim(c, F.lit(fv.WHITESPACE)) == "")
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -44,19 +44,21 @@ def title_case(c: Column) -> Column:
     spaces in a row, so a double space marks the other places to capitalise and
     is taken out again afterwards.
     """
-    marked = F.regexp_replace(one_spaced(c), _FIRST_APOSTROPHE, "$1  ")
-    marked = F.replace(marked, F.lit("-"), F.lit("-  "))
+    marked = F.replace(one_spaced(c), F.lit("-"), F.lit("-  "))
+    marked = F.regexp_replace(marked, _FIRST_APOSTROPHE, "$1  ")
     return F.replace(F.initcap(marked), F.lit("  "), F.lit(""))
 
 
-def first_word(c: Column) -> Column:
-    """The first word; NULL and blank values come back as they are."""
-    return F.when(is_blank(c), c).otherwise(F.substring_index(one_spaced(c), " ", 1))
+def first_word(c: Column, words: Column | None = None) -> Column:
+    """The first word; NULL and blank values come back as they are. ``words`` is the one-spaced
+    form of ``c`` where the table has it at hand."""
+    words = one_spaced(c) if words is None else words
+    return F.when(words != "", F.substring_index(words, " ", 1)).otherwise(c)
 
 
-def other_words(c: Column) -> Column:
+def other_words(c: Column, words: Column | None = None) -> Column:
     """All words but the first, joined by spaces; NULL and blank come back as they are."""
-    words = one_spaced(c)
+    words = one_spaced(c) if words is None else words
     cut = F.instr(words, " ")
     rest = F.when(cut > 0, F.substr(words, cut + 1)).otherwise("")
-    return F.when(is_blank(c), c).otherwise(rest)
+    return F.when(words != "", rest).otherwise(c)

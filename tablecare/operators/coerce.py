@@ -1,7 +1,7 @@
 """Type coercion: text columns that hold booleans, numbers or timestamps get that type.
 
 All rates come from one aggregate over the text columns. Timestamp formats are
-only tried in a second aggregate, on columns whose values have the shape of a
+only tried in a second aggregate, on columns whose values have the shape of some
 format often enough.
 """
 
@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tablecare.config import CoercionConfig, settings
 from tablecare.functions.columns import check_names, col, families
 from tablecare.functions.parsing import (
-    has_shape, is_bool_word, is_whole, to_bool, to_number, to_timestamp, to_whole,
+    is_bool_word, is_whole, to_bool, to_number, to_timestamp, to_whole,
 )
+from tablecare.functions.text import strip
 
 CHANGE_SCHEMA = (
     "column STRING, from_dtype STRING, to_dtype STRING, cast_type STRING, success_rate DOUBLE"
@@ -97,7 +98,8 @@ def coerce_types(df: DataFrame, config=None) -> Coerced:
                 )
     out = df
     if casts:
-        out = df.select(
+        stripped = df.withColumns({n: strip(col(n)) for n in casts})
+        out = stripped.select(
             *[casts[n][0].alias(n) if n in casts else col(n) for n in df.columns]
         )
     return Coerced(out, [casts[n][1] for n in texts if n in casts], attempts)
@@ -114,54 +116,46 @@ def _bool_or_number(n: str, kind: str, rate: float, found: dict, cfg: CoercionCo
 
 def _rates(df: DataFrame, texts: list[str], cfg: CoercionConfig) -> dict[str, dict]:
     """Per text column: values, and how many read as boolean, number, whole number, or have
-    the shape of each timestamp format."""
-    shapes = dict.fromkeys(shape for _, shape in cfg.datetime_formats)
+    the shape of any timestamp format."""
+    any_shape = "|".join(dict.fromkeys(shape for _, shape in cfg.datetime_formats))
+    # Stripped text and number are columns of their own, so each is computed once.
+    table = df.select(*[strip(col(n)).alias(f"text_{i}") for i, n in enumerate(texts)])
+    table = table.withColumns(
+        {f"number_{i}": to_number(F.col(f"text_{i}")) for i in range(len(texts))}
+    )
     aggregates = []
-    for i, n in enumerate(texts):
-        c = col(n)
+    for i in range(len(texts)):
+        text, number = F.col(f"text_{i}"), F.col(f"number_{i}")
+        words = is_bool_word(text, cfg.bool_true_values, cfg.bool_false_values)
         aggregates += [
-            F.count(c).alias(f"values_{i}"),
-            F.count_if(is_bool_word(c, cfg.bool_true_values, cfg.bool_false_values)).alias(
-                f"bools_{i}"
-            ),
-            F.count(to_number(c)).alias(f"numbers_{i}"),
-            F.count_if(is_whole(c)).alias(f"whole_{i}"),
+            F.count(text).alias(f"values_{i}"),
+            F.count_if(words).alias(f"bools_{i}"),
+            F.count(number).alias(f"numbers_{i}"),
+            F.count_if(is_whole(number)).alias(f"whole_{i}"),
         ]
-        if cfg.coerce_to_datetime:
-            dated = _may_be_time(c)
-            aggregates += [
-                F.count_if(dated & has_shape(c, shape)).alias(f"shape{k}_{i}")
-                for k, shape in enumerate(shapes)
-            ]
-    row = df.agg(*aggregates).first().asDict()
-    out = {n: {"shapes": {}} for n in texts}
+        if cfg.coerce_to_datetime and any_shape:
+            dated = F.when(number.isNull() & (F.length(text) >= 6), text.rlike(any_shape))
+            aggregates.append(F.count_if(dated).alias(f"dated_{i}"))
+    row = table.agg(*aggregates).first().asDict()
+    out = {n: {"dated": 0} for n in texts}
     for key, value in row.items():
         fact, i = key.rsplit("_", 1)
-        if fact.startswith("shape"):
-            out[texts[int(i)]]["shapes"][list(shapes)[int(fact[5:])]] = value
-        else:
-            out[texts[int(i)]][fact] = value
+        out[texts[int(i)]][fact] = value
     return out
 
 
-def _may_be_time(c: Column) -> Column:
-    """A cheap test that most texts fail, so that the shapes are tried on few values."""
-    return F.length(c).between(6, 48) & c.rlike("[0-9]")
-
-
 def _timestamps(df: DataFrame, names: list[str], rates: dict, cfg: CoercionConfig):
     """(column, best format, parsed values) of every column worth trying; earlier formats win
     ties."""
-    trials = [
-        (n, fmt)
-        for n in names
-        for fmt in cfg.datetime_formats
-        if rates[n]["shapes"][fmt[1]]
-        >= cfg.datetime_cast_success_threshold * rates[n]["values"]
+    likely = [
+        n for n in names
+        if rates[n]["dated"] >= cfg.datetime_cast_success_threshold * rates[n]["values"]
     ]
+    trials = [(n, fmt) for n in likely for fmt in cfg.datetime_formats]
     if not trials:
         return []
-    row = df.agg(
+    stripped = df.select(*[strip(col(n)).alias(n) for n in likely])
+    row = stripped.agg(
         *[F.count(to_timestamp(col(n), *fmt)).alias(f"t{i}") for i, (n, fmt) in enumerate(trials)]
     ).first()
     best: dict[str, tuple] = {}

@@ -7,6 +7,7 @@ column.
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,6 +16,7 @@ from tablecare import fixed_values as fv
 from tablecare.config import ProfileConfig, settings
 from tablecare.functions.columns import check_names, col, families, nan_as_null
 from tablecare.functions.parsing import is_number
+from tablecare.functions.text import strip
 from tablecare.operators import frequencies, quantiles
 from tablecare.operators.dedupe import count_duplicates
 
@@ -56,7 +58,7 @@ class TableFacts:
                     F.max(x).alias(f"max_{i}"),
                 ]
             elif self.family[n] == "string":
-                aggregates.append(F.count_if(is_number(col(n))).alias(f"numbers_{i}"))
+                aggregates.append(F.count_if(is_number(strip(col(n)))).alias(f"numbers_{i}"))
             elif self.family[n] == "boolean":
                 aggregates += [
                     F.count_if(col(n)).alias(f"true_{i}"),
@@ -130,14 +132,15 @@ class TableFacts:
     def outliers(self, factor: float = fv.IQR_FACTOR) -> dict[str, int]:
         """Per numeric column: values outside the fences Q1 - f*IQR and Q3 + f*IQR."""
         if factor not in self._outliers:
-            names = list(self.quartiles)
-            tests = []
-            for i, n in enumerate(names):
+            tests = {}
+            for i, n in enumerate(self.quartiles):
                 low, high = self.fences(n, factor)
-                x = col(n).cast("double")
-                tests.append(F.count_if((x < low) | (x > high)).alias(f"o{i}"))
-            row = self.df.agg(*tests).first() if tests else {}
-            self._outliers[factor] = {n: row[f"o{i}"] for i, n in enumerate(names)}
+                if not math.isnan(low + high):  # infinite quartiles leave no fence to cross
+                    x = col(n).cast("double")
+                    tests[n] = F.count_if((x < low) | (x > high)).alias(f"o{i}")
+            row = self.df.agg(*tests.values()).first() if tests else ()
+            found = dict(zip(tests, row))
+            self._outliers[factor] = {n: found.get(n, 0) for n in self.quartiles}
         return self._outliers[factor]
 
     @cached_property

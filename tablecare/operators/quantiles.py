@@ -81,7 +81,7 @@ def exact_quantiles(
     def interpolate(n, pos):
         below, above = math.floor(pos), math.ceil(pos)
         a, b = searches[n, below].found, searches[n, above].found
-        return a + (b - a) * (pos - below)
+        return a if a == b else a + (b - a) * (pos - below)
 
     return {n: [interpolate(n, pos) for pos in positions] for n, positions in ranks.items()}
 

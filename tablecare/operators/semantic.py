@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from tablecare import fixed_values as fv
 from tablecare.config import SemanticConfig, settings
 from tablecare.functions.columns import check_names, col, families, family
-from tablecare.functions.detectors import DETECTORS
+from tablecare.functions.detectors import TESTS
 from tablecare.functions.text import strip
 
 PROFILE_SCHEMA = (
@@ -76,11 +76,11 @@ class SemanticProfile:
         )
 
 
-def detector_counts(value: Column, prefix: str = "") -> list[Column]:
-    """Aggregates that count non-blank values and, per detector, accepted values."""
-    return [F.count_if(strip(value) != "").alias(f"{prefix}n_values")] + [
-        F.count_if(accepts(value)).alias(f"{prefix}n_{name}")
-        for name, accepts in DETECTORS.items()
+def detector_counts(text: Column, lower: Column, prefix: str = "") -> list[Column]:
+    """Aggregates over stripped text and its lower-case form: how many values are not blank,
+    and how many each detector accepts."""
+    return [F.count_if(text != "").alias(f"{prefix}n_values")] + [
+        F.count_if(test(text, lower)).alias(f"{prefix}n_{name}") for name, test in TESTS.items()
     ]
 
 
@@ -111,11 +111,13 @@ def match_counts(
         cells = _sampled(df, names, cfg.sample_size, row_id)
     labels = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
     return (
-        cells.groupBy("column_no")
+        cells.withColumn("text", strip(F.col("value")))
+        .withColumn("lower", F.lower("text"))
+        .groupBy("column_no")
         .agg(
             F.count("*").alias("n_rows"),
-            F.count_if(F.col("value") != strip(F.col("value"))).alias("n_untrimmed"),
-            *detector_counts(F.col("value")),
+            F.count_if(F.col("value") != F.col("text")).alias("n_untrimmed"),
+            *detector_counts(F.col("text"), F.col("lower")),
         )
         .withColumn("column", labels[F.col("column_no")])
     )
@@ -164,11 +166,15 @@ def header_matches(name: str, semantic_type: str) -> bool:
     return header in fv.HEADER_ALIASES.get(semantic_type, ())
 
 
+def confidence(hits: int, values: int, hinted: bool, cfg: SemanticConfig) -> float:
+    """Share of accepted values, lifted by a fitting header; rounded before it is compared."""
+    return round(min(1.0, hits / values + (cfg.header_boost if hinted else 0.0)), 2)
+
+
 def choose_type(name: str, counts: dict, cfg: SemanticConfig) -> ColumnMeaning:
     """The best-scoring type of one column, or ``unknown`` when none is sure enough.
 
-    Confidence is rounded before it is compared. ``max`` keeps the first of
-    equals, so ties go to the earlier detector.
+    ``max`` keeps the first of equals, so ties go to the earlier detector.
     """
     n = counts["n_values"]
     if n < cfg.min_non_null_for_detection:
@@ -181,14 +187,14 @@ def choose_type(name: str, counts: dict, cfg: SemanticConfig) -> ColumnMeaning:
         )
     single = "last_name" if header_matches(name, "last_name") else "first_name"
     scored = []
-    for detector in DETECTORS:
+    for detector in TESTS:
         kind = single if detector == "single_name" else detector
         hits, hinted = counts[f"n_{detector}"], header_matches(name, kind)
         scored.append(
             ColumnMeaning(
                 name,
                 kind,
-                round(min(1.0, hits / n + (cfg.header_boost if hinted else 0.0)), 2),
+                confidence(hits, n, hinted, cfg),
                 f"{hits}/{n} sampled values matched {kind} pattern"
                 + ("; header boost applied" if hinted else ""),
                 hinted,

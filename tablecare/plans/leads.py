@@ -2,10 +2,10 @@
 
 Two aggregate jobs decide what to do: one over all text columns (what they mean,
 how many cells need trimming) and one over the name and email columns only (what
-they mean once formatted, what formatting and validation count). Clean and
-rejected rows are lazy: writing them is one scan each, plus one shuffle per email
-column for the clean ones. Counts come from aggregates, never from accumulators,
-which a re-run stage would add twice.
+formatting changes, what validation counts). Clean and rejected rows are lazy:
+writing them is one scan each, plus one shuffle per email column for the clean
+ones. Counts come from aggregates, never from accumulators, which a re-run stage
+would add twice.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from tablecare.config import (
     DedupConfig, FormatConfig, LeadConfig, SemanticConfig, ValidationConfig, settings,
 )
 from tablecare.functions.columns import col
+from tablecare.functions.detectors import TESTS
+from tablecare.functions.text import strip
 from tablecare.operators import dedupe, normalize, semantic, validate
 from tablecare.operators.semantic import SemanticProfile
 from tablecare.sources.staging import with_row_id
@@ -31,14 +33,19 @@ class LeadResult:
     clean: DataFrame
     rejected: DataFrame
     profile: SemanticProfile  # of the input
-    formatted_profile: SemanticProfile  # of the formatted table
     counts: dict
+    _look: "_Look" = field(repr=False, default=None)
     _kept: DataFrame = field(repr=False, default=None)  # clean rows with their row id
     _valid: DataFrame = field(repr=False, default=None)  # what deduplication starts from
     _dedup: DedupConfig | None = None
     _row_id: str = "row_id"
     _report: dict | None = None
 
+    @property
+    def formatted_profile(self) -> SemanticProfile:
+        """What the columns mean after formatting; judging them costs a job, on first use."""
+        return self._look.judged()
+
     def report(self) -> dict:
         """All counts. Only those of deduplication still cost a job, on first use."""
         if self._report is None:
@@ -83,21 +90,20 @@ def process_leads(df: DataFrame, config=None, row_id: str | None = None) -> Lead
     valid = look.table
     rejected = spark.createDataFrame([], T.StructType([]))
     if cfg.run_validation:
-        split = validate.validate_leads(valid, look.profile, cfg.validation)
+        split = validate.validate_leads(valid, look.emails, cfg.validation)
         valid, rejected = split.valid, split.rejected
         counts["rejected_rows"] = look.validation["rejected_rows"]
         counts["output_rows"] = look.validation["valid_rows"]
 
     kept = valid
     if cfg.run_deduplication:
-        kept = dedupe.deduplicate_leads(valid, look.profile, cfg.deduplication, key)
+        kept = dedupe.deduplicate_leads(valid, look.emails, cfg.deduplication, key)
 
     def shown(table: DataFrame) -> DataFrame:
         return table if row_id else table.drop(GIVEN_ROW_ID)
 
     return LeadResult(
-        spark, shown(kept), shown(rejected), profile, look.profile, counts,
-        _kept=kept, _valid=valid, _row_id=key,
+        spark, shown(kept), shown(rejected), profile, counts, _look=look, _kept=kept, _valid=valid, _row_id=key,
         _dedup=settings(DedupConfig, cfg.deduplication) if cfg.run_deduplication else None,
     )
 
@@ -118,61 +124,88 @@ def _first_look(df: DataFrame, cfg: SemanticConfig, row_id: str):
 
 @dataclass
 class _Look:
-    table: DataFrame  # formatted
-    profile: SemanticProfile  # of the formatted table
-    formatting: dict
-    validation: dict
+    """The formatted table and what the second look found out about it."""
+
+    table: DataFrame
+    touched: tuple[str, ...]  # columns whose words formatting may have changed
+    before: SemanticProfile
+    cells: dict  # detector counts per column of the unformatted table
+    cfg: SemanticConfig
+    row_id: str
+    emails: SemanticProfile = None  # what is an email column once formatted; nothing else
+    formatting: dict = field(default_factory=dict)
+    validation: dict = field(default_factory=dict)
+    _judged: SemanticProfile | None = None
+
+    def judged(self) -> SemanticProfile:
+        """The formatted table's profile. Trimming never changes what a column means, so only
+        the columns changed otherwise are judged again."""
+        if self._judged is None:
+            self._judged = self.before
+            if self.touched and self.cfg.sample_size is not None:
+                self._judged = semantic.semantic_profile(self.table, self.cfg, self.row_id)
+            elif self.touched:
+                found = semantic.match_counts(self.table, list(self.touched), self.cfg).collect()
+                cells = {**self.cells, **{r["column"]: r.asDict() for r in found}}
+                self._judged = semantic.profile_from_counts(self.table, cells, self.cfg, self.row_id)
+        return self._judged
 
 
 def _second_look(df, cfg: LeadConfig, profile, cells, row_id) -> _Look:
-    """Format, judge the changed columns again, and count what formatting and validation do.
+    """Format, and count in one narrow aggregate what formatting and validation do.
 
-    Trimming never changes what a column means, so only title-cased, lower-cased
-    and split columns are judged again, by one aggregate that reads just them.
-    Validation is counted along with it for the email columns known so far; if
-    judging again moves them, which only odd characters can bring about, it is
-    counted once more.
+    Formatting leaves the email columns what they were but for two oddities,
+    which the same aggregate watches for: letters outside ASCII that turn into
+    ASCII ones in lower case, and name columns (or their split parts) with enough
+    addresses among the names. Only then, or when columns are judged by a sample,
+    are the formatted columns judged again before validation.
     """
     judge, checks = settings(SemanticConfig, cfg.semantic), settings(ValidationConfig, cfg.validation)
-    table, touched, changes, formatting = df, (), {}, {}
+    look, plan, counted = _Look(df, (), profile, cells, judge, row_id), None, []
     if cfg.run_formatting:
         style = settings(FormatConfig, cfg.formatting)
         plan = normalize.plan_format(df, profile, style, row_id)
-        table, touched, changes = normalize.apply_format(df, plan), plan.touched, dict(plan.changes)
-        formatting = dict.fromkeys(changes, 0)
+        look.table, look.touched, counted = plan.table, plan.touched, list(plan.changes)
+        look.formatting = dict.fromkeys(counted, 0)
         if style.trim_whitespace and judge.sample_size is None:
             # The first look has counted these cells; again would mean reading all text.
-            del changes["whitespace_fixes"]
-            formatting["whitespace_fixes"] = sum(c["n_untrimmed"] for c in cells.values())
-    if judge.sample_size is not None and touched:
-        after, touched = semantic.semantic_profile(table, judge, row_id), ()
-    else:
-        after = profile
-    emails = validate.email_columns(table, after) if cfg.run_validation else []
-
-    aggregates = [F.sum(f"__{k}").alias(f"f_{k}") for k in changes]
-    for i, n in enumerate(touched):
-        aggregates += semantic.detector_counts(col(n), f"t{i}_")
+            counted.remove("whitespace_fixes")
+            look.formatting["whitespace_fixes"] = sum(c["n_untrimmed"] for c in cells.values())
+    sampled = judge.sample_size is not None
+    look.emails = look.judged() if sampled else profile
+    names = validate.email_columns(look.table, look.emails) if cfg.run_validation else []
+
+    watched = [] if sampled else [n for n in look.touched if n not in profile.of_type("email")]
+    seen, aggregates = df, []
+    if plan:
+        counts = {f"f_{k}": plan.changes[k] for k in counted}
+        seen = plan.table_with(**counts, f_newly_ascii=plan.newly_ascii)
+        aggregates = [F.sum(k).alias(k) for k in (*counts, "f_newly_ascii")]
+    seen = seen.withColumns({f"w_{i}": strip(col(n)) for i, n in enumerate(watched)})
+    for i in range(len(watched)):
+        text = F.col(f"w_{i}")
+        aggregates.append(F.count_if(TESTS["email"](text, text)).alias(f"w_hits{i}"))
+        aggregates.append(F.count_if(text != "").alias(f"w_values{i}"))
     if cfg.run_validation:
-        counters = validate.validation_counters(table, emails, checks)
+        seen = validate.check_leads(seen, names, checks, count_cells=True)
+        counters = validate.validation_counters(checks)
         aggregates += [c.alias(f"v_{k}") for k, c in counters.items()]
-    row = {}
-    if aggregates:
-        seen = table
-        if changes:
-            extra = [c.alias(f"__{k}") for k, c in changes.items()]
-            seen = df.select(*[c.alias(n) for n, c in plan.output], *extra)
-        row = seen.agg(*aggregates).first().asDict()
-
-    def part(prefix):
-        return {k[len(prefix):]: v for k, v in row.items() if k.startswith(prefix)}
-
-    formatting.update(part("f_"))
-    validation = part("v_")
-    if touched or list(table.columns) != list(df.columns):
-        fresh = {n: part(f"t{i}_") for i, n in enumerate(touched)}
-        after = semantic.profile_from_counts(table, {**cells, **fresh}, judge, row_id)
-    if cfg.run_validation and validate.email_columns(table, after) != emails:
-        counters = validate.validation_counters(table, validate.email_columns(table, after), checks)
-        validation = table.agg(*[c.alias(k) for k, c in counters.items()]).first().asDict()
-    return _Look(table, after, formatting, validation)
+    row = seen.agg(*aggregates).first().asDict() if aggregates else {}
+
+    look.formatting.update({k: row[f"f_{k}"] for k in counted})
+    look.validation = {k[2:]: v for k, v in row.items() if k.startswith("v_")}
+    doubtful = bool(row.get("f_newly_ascii")) or any(
+        _may_be_email(n, row[f"w_hits{i}"], row[f"w_values{i}"], judge)
+        for i, n in enumerate(watched)
+    )
+    if doubtful and not sampled:
+        look.emails = look.judged()
+        final = validate.email_columns(look.table, look.emails) if cfg.run_validation else []
+        if final != names:
+            look.validation = validate.validation_report(look.table, final, checks).first().asDict()
+    return look
+
+
+def _may_be_email(name: str, hits: int, values: int, cfg: SemanticConfig) -> bool:
+    hinted = semantic.header_matches(name, "email")
+    return values > 0 and semantic.confidence(hits, values, hinted, cfg) >= cfg.confidence_threshold

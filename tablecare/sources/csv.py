@@ -150,7 +150,7 @@ def typed(df: DataFrame) -> DataFrame:
         aggregates += [
             F.count(c).alias(f"values{i}"),
             F.count(_bigint(c)).alias(f"whole{i}"),
-            F.count_if(is_number(c)).alias(f"numbers{i}"),
+            F.count_if(is_number(F.btrim(c))).alias(f"numbers{i}"),
             F.count_if(c.isin(*words)).alias(f"bools{i}"),
         ]
     row = df.agg(*aggregates).first()

@@ -150,18 +150,20 @@ def test_role_and_key(spark):
 def test_numbers(spark):
     good = ["1", " -2.5 ", "+.5", "3.", "1e5", "1E-3", "inf", "-Infinity"]
     bad = ["1d", "2f", "0x1p3", "1,000", "1_000", "nan", "", "1 2", "e5", "--1", "true"]
-    assert all(v is not None for v in apply(spark, parsing.to_number, good))
-    assert apply(spark, parsing.to_number, bad) == [None] * len(bad)
-    assert apply(spark, parsing.is_whole, ["7", "7.0", "7.5", "inf", "1e300", "x"]) == [
-        True, True, False, False, False, None,
-    ]
+    def number(c):
+        return parsing.to_number(text.strip(c))
+
+    assert all(v is not None for v in apply(spark, number, good))
+    assert apply(spark, number, bad) == [None] * len(bad)
+    whole = apply(spark, lambda c: parsing.is_whole(number(c)), ["7", "7.0", "7.5", "inf", "1e300", "x"])
+    assert whole == [True, True, False, False, False, None]
     assert apply(spark, parsing.to_whole, ["9007199254740993", "7.0", "x", None]) == [
         9007199254740993, 7, None, None,
     ]
 
 
 def test_bool_words(spark):
-    assert apply(spark, parsing.to_bool, ["Yes", " n ", "1", "0", "TRUE", "maybe", None]) == [
+    assert apply(spark, parsing.to_bool, ["Yes", "n", "1", "0", "TRUE", "maybe", None]) == [
         True, False, True, False, True, None, None,
     ]
 

@@ -294,6 +294,25 @@ def test_process_leads_matches_its_operators_one_by_one(numbered):
     assert result.report()["formatting"] == one(format_changes(df, first, row_id="row_id"))
 
 
+def test_columns_that_turn_into_emails_once_formatted(numbered):
+    """A Kelvin sign becomes a plain k in lower case; a split part may hold addresses."""
+    from tablecare import semantic_profile
+
+    odd = numbered(
+        email=["a@x.org", "b@x.org", "c@x.org", "\u212aim@x.org", "\u212a@y.org"],
+        name=["e@x.org a", "f@x.org b", "g@x.org c", "Ada King", "Bob Roe"],
+    )
+    result = process_leads(odd, row_id="row_id")
+    formatted = format_leads(odd, semantic_profile(odd, row_id="row_id"), row_id="row_id")
+    second = semantic_profile(formatted, row_id="row_id")
+    assert result.formatted_profile == second
+    assert second.of_type("email") == ["email", "first_name"]
+    split = validate_leads(formatted, second)
+    assert sorted(result.rejected.collect()) == sorted(split.rejected.collect())
+    assert result.report()["validation"] == one(split.report)
+    assert rows(result.rejected, "row_id") == [3, 4]
+
+
 def test_process_leads_without_a_row_id(numbered):
     given = process_leads(messy(numbered), row_id="row_id")
     own = process_leads(messy(numbered).drop("row_id").coalesce(1))
