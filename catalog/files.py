@@ -120,15 +120,15 @@ def csv_malformed_rows(spark, sf_dir):
 
 @query(
     "csv_unnamed_columns",
-    "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation",
+    "SELECT s_suppkey::VARCHAR AS s_suppkey, s_name FROM supplier",
 )
 def csv_unnamed_columns(spark, sf_dir):
     """A column without a header is dropped."""
     path = new_path(spark, "unnamed-csv")
-    nation = table(spark, sf_dir, "nation").select(
-        "n_nationkey", F.col("n_regionkey").alias(" "), "n_name"
+    supplier = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.col("s_nationkey").alias(" "), "s_name"
     )
-    sinks.write_table(nation, path)
+    sinks.write_table(supplier, path)
     return csv_source.read_csv_text(spark, path).df
 
 

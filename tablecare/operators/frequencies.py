@@ -97,15 +97,39 @@ def value_frequencies(df: DataFrame, names: list[str] | None = None) -> DataFram
     )
 
 
+def distinct_facts(
+    df: DataFrame, names: list[str], quantiles_of: list[str] = (), probabilities: list[float] = ()
+) -> DataFrame:
+    """(column, unique, quantiles): exact numbers of distinct non-null values and, for the
+    columns of ``quantiles_of``, interpolated quantiles.
+
+    Quantiles weigh every distinct value by its count, and hold a column's distinct
+    values in one buffer: ask for them only where their number is known to be small.
+    """
+    parts = []
+    for g in frequency_groups(df, names):
+        wanted = [i for i, n in enumerate(g.names) if n in quantiles_of]
+        quantiles = F.lit(None).cast("array<double>")
+        if wanted:
+            value = F.when(F.col("column_no").isin(wanted), F.col("value").cast("double"))
+            shares = F.array(*[F.lit(p) for p in probabilities])
+            quantiles = F.percentile(value, shares, F.col("n"))
+        facts = g.table.groupBy("column_no").agg(
+            F.count("*").alias("unique"), quantiles.alias("quantiles")
+        )
+        parts.append(facts.select(_named(g).alias("column"), "unique", "quantiles"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def has_numbers(dtype: T.DataType) -> bool:
+    """Whether values of ``dtype`` are counted as numbers here, so that quantiles can be had."""
+    return isinstance(dtype, (*_WHOLE, *_FLOATING))
+
+
 def unique_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(column, unique): exact numbers of distinct non-null values."""
-    parts = [
-        g.table.groupBy("column_no")
-        .agg(F.count("*").alias("unique"))
-        .select(_named(g).alias("column"), "unique")
-        for g in frequency_groups(df, names)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    wanted = df.columns if names is None else names
+    return distinct_facts(df, wanted).select("column", "unique")
 
 
 def modes(df: DataFrame, names: list[str]) -> DataFrame:

@@ -27,6 +27,9 @@ TABLE_SCHEMA = (
 )
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
 class TableFacts:
     """Facts about ``df``, computed on first use. Persist or stage ``df`` beforehand if
     reading it is dear: the facts together read it four to six times, each time only
@@ -90,36 +93,62 @@ class TableFacts:
     def null_ratio(self, name: str) -> float:
         return self.nulls(name) / self.rows if self.rows else 0.0
 
+    @property
+    def _numeric_counts(self) -> dict[str, int]:
+        return {n: self.non_null[n] for n in self.of_family("numeric") if self.non_null[n]}
+
+    @property
+    def _quartiles_fit_in_memory(self) -> bool:
+        return sum(self._numeric_counts.values()) <= self.cfg.quantile_values_in_memory
+
+    @cached_property
+    def _distinct(self) -> dict[str, dict]:
+        """Per column with values: distinct values, and quartiles of numeric columns while
+        these are few enough to come along."""
+        names = [n for n in self.names if self.non_null[n] and self.family[n] != "boolean"]
+        if not names:
+            return {}
+        types = {f.name: f.dataType for f in self.df.schema.fields}
+        numbers = []
+        if self._quartiles_fit_in_memory and not self.cfg.approx_quantiles:
+            numbers = [n for n in self._numeric_counts if frequencies.has_numbers(types[n])]
+        found = frequencies.distinct_facts(self.df, names, numbers, QUARTILES).collect()
+        return {r["column"]: r.asDict() for r in found}
+
     @cached_property
     def unique(self) -> dict[str, int]:
         """Distinct non-null values per column. Booleans are known from their counts."""
-        out = {
-            n: int(self._counts["true"][n] > 0) + int(self._counts["false"][n] > 0)
-            for n in self.of_family("boolean")
-        }
-        others = [n for n in self.names if n not in out and self.non_null[n]]
+        out = dict.fromkeys(self.names, 0)
+        for n in self.of_family("boolean"):
+            out[n] = int(self._counts["true"][n] > 0) + int(self._counts["false"][n] > 0)
+        others = [n for n in self.names if self.family[n] != "boolean" and self.non_null[n]]
         if others and self.cfg.approx_unique:
             row = self.df.agg(
                 *[F.approx_count_distinct(col(n)).alias(f"u{i}") for i, n in enumerate(others)]
             ).first()
             out.update({n: row[f"u{i}"] for i, n in enumerate(others)})
         elif others:
-            found = frequencies.unique_counts(self.df, others).collect()
-            out.update({r["column"]: r["unique"] for r in found})
-        return {n: out.get(n, 0) for n in self.names}
+            out.update({n: self._distinct[n]["unique"] for n in others})
+        return out
 
     @cached_property
     def quartiles(self) -> dict[str, list[float]]:
         """[25 %, 50 %, 75 %] per numeric column that has values."""
-        counts = {n: self.non_null[n] for n in self.of_family("numeric") if self.non_null[n]}
-        wanted = [0.25, 0.5, 0.75]
+        counts = self._numeric_counts
         if self.cfg.approx_quantiles:
             return quantiles.approximate_quantiles(
-                self.df, list(counts), wanted, self.cfg.approx_accuracy
+                self.df, list(counts), QUARTILES, self.cfg.approx_accuracy
+            )
+        out = {}
+        if self._quartiles_fit_in_memory and not self.cfg.approx_unique:
+            out = {n: self._distinct[n]["quantiles"] for n in counts}
+        left = {n: k for n, k in counts.items() if out.get(n) is None}
+        out.update(
+            quantiles.exact_quantiles(
+                self.df, left, QUARTILES, self.cfg.quantile_values_in_memory
             )
-        return quantiles.exact_quantiles(
-            self.df, counts, wanted, self.cfg.quantile_values_in_memory
         )
+        return {n: out[n] for n in counts}
 
     def fences(self, name: str, factor: float) -> tuple[float, float]:
         q1, _, q3 = self.quartiles[name]

@@ -39,6 +39,20 @@ def stage(df: DataFrame, label: str = "staged") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in at least as many partitions as the session has cores.
+
+    For tables read straight from files. A file of one row group is one partition
+    however large it is, so all work on its rows would be left to one core. Tables
+    in enough pieces, as any large one is, come back untouched. Rows are dealt out
+    by the hash of ``keys``, so that a re-run task gets the same rows again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """``df`` with a row id that grows in reading order, staged so that it never changes.
 

@@ -57,6 +57,21 @@ def test_frequencies_count_every_type(spark):
     ]
 
 
+def test_quartiles_are_the_same_by_every_way(spark):
+    df = spark.range(501).select(
+        (F.col("id") % 37).alias("whole"), (F.col("id") % 11 / 4).alias("part"),
+        (F.col("id") % 13).cast("decimal(9,2)").alias("money"),
+        F.when(F.col("id") > 400, F.col("id")).alias("gaps"), F.lit("x").alias("text"),
+    )
+    along = TableFacts(df).quartiles
+    narrowed = TableFacts(df, {"quantile_values_in_memory": 0}).quartiles
+    alone = TableFacts(df, {"approx_unique": True}).quartiles
+    frame = df.toPandas()[["whole", "part", "money", "gaps"]].astype(float)
+    for n in frame.columns:
+        expected = list(frame[n].quantile([0.25, 0.5, 0.75]))
+        assert along[n] == narrowed[n] == alone[n] == pytest.approx(expected)
+
+
 def test_modes_take_the_smallest_on_a_tie(spark):
     df = spark.sql("SELECT * FROM VALUES ('b','q'), ('a','q'), ('b',NULL), ('a',NULL), (NULL,'p') AS t(t, u)")
     assert {r["column"]: r["mode"] for r in frequencies.modes(df, ["t", "u"]).collect()} == {
