@@ -206,7 +206,7 @@ def profile_quantiles_narrowed(spark, sf_dir):
     df = nan_as_null(table(spark, sf_dir, "lineitem"))
     names = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     row = df.agg(*[F.count(n).alias(n) for n in names]).first().asDict()
-    found = quantiles.exact_quantiles(df, row, [0.25, 0.5, 0.75], in_memory=0, sortable=100)
+    found = quantiles.exact_quantiles(df, row, [0.25, 0.5, 0.75], in_memory=0, sortable=5_000)
     return spark.createDataFrame(
         [(n, *q) for n, q in found.items()], "column STRING, q1 DOUBLE, median DOUBLE, q3 DOUBLE"
     )

@@ -72,7 +72,7 @@ class ProfileConfig:
     approx_unique: bool = False
     # Approximate quantiles (one sketch pass) instead of exact ones.
     approx_quantiles: bool = False
-    approx_accuracy: int = 10_000
+    approx_accuracy: int = 1_000
     # Exact quantiles come from one in-memory aggregate while the values of all
     # numeric columns together stay below this, from interval narrowing beyond.
     quantile_values_in_memory: int = 5_000_000

@@ -2,10 +2,11 @@
 
 Spark's ``percentile`` keeps every distinct value of a column in one buffer,
 which is fine up to a checked size. Beyond it, each wanted order statistic is
-closed in: a quantile sketch proposes two values just below and just above it,
-counting settles on which side of each the wanted rank lies, and the next round
-looks only between them. The sketch decides nothing, it only makes the interval
-shrink fast (a few thousand times per round), so the result is exact.
+closed in, round by round: a small random sample of the values still in question
+proposes a few of them around the wanted rank, one pass counts all values below,
+at and between these, and the next round looks only where the rank must lie. The
+sample decides nothing, it only makes the interval shrink some hundred times per
+round, so the result is exact. Tasks pass on counts and a handful of values.
 """
 
 from __future__ import annotations
@@ -19,20 +20,31 @@ from tablecare.functions.columns import col
 
 # Values of one interval that may be sorted inside a single aggregate buffer.
 SORTABLE = 50_000
-ACCURACY = 10_000
+# Expected size of the sample that proposes values, per interval.
+SAMPLE = 20_000
+# Where to propose values: distance from the wanted rank in standard errors of the sample.
+STEPS = (-4.0, -0.5, 0.5, 4.0)
+# Columns per job, to keep the number of counters per job moderate.
+BATCH = 8
 
 
 @dataclass
 class _Search:
-    """One order statistic: value number ``rank`` (from 0) of ``column``."""
+    """One order statistic: value number ``rank`` (from 0) of ``column``, known to lie
+    strictly between ``low`` and ``high``."""
 
     column: str
-    rank: int  # counted from the first value inside the interval
-    inside: int  # values strictly between low and high
+    rank: int
+    upto_low: int  # values at or below low
+    below_high: int  # values below high
     low: float | None = None
     high: float | None = None
     found: float | None = None
 
+    @property
+    def inside(self) -> int:
+        return self.below_high - self.upto_low
+
     def within(self) -> Column:
         c = col(self.column).cast("double")
         fits = c.isNotNull()
@@ -42,6 +54,15 @@ class _Search:
             fits = fits & (c < self.high)
         return F.when(fits, c)
 
+    def learn(self, value: float, below: int, upto: int) -> None:
+        """``below`` values of the column are less than ``value``, ``upto`` at most that."""
+        if below <= self.rank < upto:
+            self.found = value
+        elif upto <= self.rank and (self.low is None or value > self.low):
+            self.low, self.upto_low = value, upto
+        elif self.rank < below and (self.high is None or value < self.high):
+            self.high, self.below_high = value, below
+
     @property
     def key(self):
         return self.column, self.low, self.high
@@ -71,12 +92,15 @@ def exact_quantiles(
 
     ranks = {n: [p * (k - 1) for p in probabilities] for n, k in counts.items()}
     searches = {
-        (n, r): _Search(n, r, counts[n])
+        (n, r): _Search(n, r, 0, counts[n])
         for n, positions in ranks.items()
         for pos in positions
         for r in (math.floor(pos), math.ceil(pos))
     }
-    _run(df, list(searches.values()), sortable)
+    names = list(counts)
+    for start in range(0, len(names), BATCH):
+        batch = names[start:start + BATCH]
+        _run(df, [s for (n, _), s in searches.items() if n in batch], sortable)
 
     def interpolate(n, pos):
         below, above = math.floor(pos), math.ceil(pos)
@@ -93,52 +117,47 @@ def _run(df: DataFrame, searches: list[_Search], sortable: int) -> None:
 
 
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
-    """One round: propose two values around each rank, count, move into the right part."""
-    intervals = {}
-    for s in searches:
-        intervals.setdefault(s.key, []).append(s)
-    sketches = []
-    for i, members in enumerate(intervals.values()):
-        shares = []
-        for s in members:
-            at = (s.rank + 0.5) / s.inside
-            shares += [max(0.0, at - 2 / ACCURACY), min(1.0, at + 2 / ACCURACY)]
-        wanted = F.array(*[F.lit(x) for x in shares])
-        sketches.append(F.percentile_approx(members[0].within(), wanted, ACCURACY).alias(f"a{i}"))
-    proposed = df.agg(*sketches).first()
-
-    pairs = [
-        (s, proposed[f"a{i}"][2 * j], proposed[f"a{i}"][2 * j + 1])
-        for i, members in enumerate(intervals.values())
-        for j, s in enumerate(members)
-    ]
+    """One round: propose values around each rank and count the column's values around them."""
+    proposed = _propose(df, searches)
+    edges = [(n, v) for n, values in proposed.items() for v in values]
+    if not edges:
+        return
     tallies = []
-    for i, (s, a, b) in enumerate(pairs):
-        v = s.within()
-        tallies += [
-            F.count_if(v < a).alias(f"below{i}"),
-            F.count_if(v == a).alias(f"at_a{i}"),
-            F.count_if((v > a) & (v < b)).alias(f"between{i}"),
-            F.count_if((v == b) & (v > a)).alias(f"at_b{i}"),
-        ]
+    for i, (n, v) in enumerate(edges):
+        c = col(n).cast("double")
+        tallies += [F.count_if(c < v).alias(f"below{i}"), F.count_if(c <= v).alias(f"upto{i}")]
     counted = df.agg(*tallies).first()
-    for i, (s, a, b) in enumerate(pairs):
-        parts = [counted[f"{part}{i}"] for part in ("below", "at_a", "between", "at_b")]
-        _move(s, a, b, *parts)
+    for i, (n, v) in enumerate(edges):
+        for s in searches:
+            if s.column == n and s.found is None:
+                s.learn(v, counted[f"below{i}"], counted[f"upto{i}"])
 
 
-def _move(s: _Search, a: float, b: float, below: int, at_a: int, between: int, at_b: int) -> None:
-    if s.rank < below:
-        s.high, s.inside = a, below
-    elif s.rank < below + at_a:
-        s.found = a
-    elif s.rank < below + at_a + between:
-        s.low, s.high, s.rank, s.inside = a, b, s.rank - below - at_a, between
-    elif s.rank < below + at_a + between + at_b:
-        s.found = b
-    else:
-        passed = below + at_a + between + at_b
-        s.low, s.rank, s.inside = b, s.rank - passed, s.inside - passed
+def _propose(df: DataFrame, searches: list[_Search]) -> dict[str, set[float]]:
+    """Per column a few values around each wanted rank: quantiles of a sample per interval."""
+    intervals: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        intervals.setdefault(s.key, []).append(s)
+    drawn = df.withColumn("__draw", F.rand())
+    picks = []
+    for i, members in enumerate(intervals.values()):
+        inside = members[0].inside
+        sample = F.when(F.col("__draw") < min(1.0, SAMPLE / inside), members[0].within())
+        shares = set()
+        for s in members:
+            # Places in the sample, so that neighbouring ranks propose the same values.
+            size = min(SAMPLE, inside)
+            at = (s.rank - s.upto_low + 0.5) / inside
+            error = math.sqrt(size * at * (1 - at)) + 1
+            places = [round(size * at + step * error) / size for step in STEPS]
+            shares.update(min(1.0, max(0.0, p)) for p in places)
+        picks.append(F.percentile(sample, F.array(*[F.lit(x) for x in sorted(shares)])).alias(f"p{i}"))
+    row = drawn.agg(*picks).first()
+    proposed: dict[str, set[float]] = {}
+    for i, (column, _, _) in enumerate(intervals):
+        values = [v for v in row[f"p{i}"] or [] if not math.isnan(v)]
+        proposed.setdefault(column, set()).update(values)
+    return proposed
 
 
 def _sort_rest(df: DataFrame, searches: list[_Search]) -> None:
@@ -161,7 +180,7 @@ def _sort_rest(df: DataFrame, searches: list[_Search]) -> None:
         picks = []
         for i, members in enumerate(job):
             values = F.sort_array(F.collect_list(members[0].within()))
-            ranks = F.array(*[F.get(values, F.lit(s.rank)) for s in members])
+            ranks = F.array(*[F.get(values, F.lit(s.rank - s.upto_low)) for s in members])
             picks.append(ranks.alias(f"v{i}"))
         row = df.agg(*picks).first()
         for i, members in enumerate(job):

@@ -128,8 +128,16 @@ def _sampled(df: DataFrame, names: list[str], k: int, row_id: str | None) -> Dat
     if row_id is None:
         raise ValueError("sampling needs a row id, or equal values would be drawn together")
     cells = melt(df, names, col(row_id).alias("__row")).filter(strip(F.col("value")) != "")
-    draw = Window.partitionBy("column_no").orderBy(F.xxhash64("__row", "value"), "__row")
-    return cells.withColumn("__rank", F.row_number().over(draw)).filter(F.col("__rank") <= k)
+    cells = cells.withColumn("__hash", F.xxhash64("__row", "value"))
+
+    def smallest(table: DataFrame, *groups) -> DataFrame:
+        draw = Window.partitionBy(*groups).orderBy("__hash", "__row")
+        ranked = table.withColumn("__rank", F.row_number().over(draw))
+        return ranked.filter(F.col("__rank") <= k).drop("__rank")
+
+    # First within slices of a column, so that no task sees more than a slice of it.
+    sliced = cells.withColumn("__slice", F.pmod("__hash", F.lit(1024)))
+    return smallest(smallest(sliced, "column_no", "__slice"), "column_no")
 
 
 def semantic_profile(df: DataFrame, config=None, row_id: str | None = None) -> SemanticProfile:
