@@ -16,6 +16,8 @@ from tablecare.functions.parsing import is_number
 from tablecare.sources.staging import stage
 
 CORRUPT = "_malformed_text"
+# Quoted stretches of a line; a doubled quote inside a cell ends one and starts the next.
+QUOTED = '"[^"]*"'
 
 
 @dataclass(frozen=True)
@@ -74,6 +76,8 @@ def read_csv_text(
     """All cells as text. Blank lines are skipped, short rows padded with NULL, and rows
     with more cells than the header set apart."""
     names = _header(spark, path, sep, encoding, multi_line)
+    if not names:
+        raise ValueError(f"no header line in {path}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     # With column pruning the parser sees the wanted cells only and takes rows of any length
     # for sound, so a query of one column would count rows that a query of all sets apart.
@@ -88,17 +92,18 @@ def read_csv_text(
     # COALESCE keeps Spark from pushing "malformed text is not null" into the parser, where that
     # text is not set yet.
     too_long = F.coalesce(_cells(F.col(CORRUPT), sep), F.lit(0)) > len(names)
-    df = tidy_header(rows.filter(~too_long).drop(CORRUPT))
-    # Spark refuses a scan that needs nothing but the malformed text, so that the test below
-    # looks at the first cell too. It is true for every row.
+    # Spark refuses a scan that needs nothing but the malformed text, as a mere count would. The
+    # second test is true for every row and makes each scan look at the first cell too.
     first = col(names[0])
-    malformed = rows.filter(too_long & (first.isNull() | (F.length(first) >= 0))).select(CORRUPT)
+    any_row = first.isNull() | (F.length(first) >= 0)
+    df = tidy_header(rows.filter(~too_long & any_row).drop(CORRUPT))
+    malformed = rows.filter(too_long & any_row).select(CORRUPT)
     return LoadedCsv(df, malformed, {"encoding": encoding, "delimiter": sep})
 
 
 def _cells(line, sep: str):
     """Cells of a CSV line: delimiters outside quotes, plus one."""
-    bare = F.regexp_replace(line, '"(?:[^"]|"")*+"', "")
+    bare = F.regexp_replace(line, QUOTED, "")
     gone = F.length(F.replace(bare, F.lit(sep), F.lit("")))
     return F.length(bare) - gone + 1
 
@@ -188,7 +193,7 @@ def infer_delimiters(
         .select(F.col("_metadata.file_path").alias("file"), "value")
         .filter(F.length(F.trim("value")) > 0)
     )
-    bare = F.regexp_replace("value", '"(?:[^"]|"")*+"', "")
+    bare = F.regexp_replace("value", QUOTED, "")
     occurrences = [
         x
         for i, d in enumerate(fv.DELIMITERS)
