@@ -57,14 +57,20 @@ def drop_exact_duplicates(df: DataFrame, row_id: str | None = None) -> DataFrame
 
 
 def dedupe_by_email(df: DataFrame, email: str, row_id: str) -> DataFrame:
-    """Keep the fullest row of every address, the earliest of equally full ones."""
-    blank_rows_by = F.when(email_key(col(email)).isNull(), col(row_id))
-    return _best_per_email(nan_as_null(df), email, blank_rows_by, row_id)
+    """Keep the fullest row of every address, the earliest of equally full ones. Rows without
+    an address all stay."""
+    return _best_per_email(nan_as_null(df), email, row_id, [col(row_id)])
 
 
-def _best_per_email(df, email, blank_rows_by, row_id):
-    keys = [email_key(col(email)), blank_rows_by]
-    return _first_per(df, keys, [completeness(df, row_id).desc(), col(row_id)])
+def _best_per_email(
+    df: DataFrame, email: str, row_id: str, blank_rows_by: list[Column]
+) -> DataFrame:
+    """One row per address, and one per ``blank_rows_by`` among rows without an address."""
+    order = [completeness(df, row_id).desc(), col(row_id)]
+    keyed = df.withColumn("__key", email_key(col(email)))
+    key = F.col("__key")
+    own = F.when(key.isNull(), F.struct(*blank_rows_by))
+    return _first_per(keyed, [key, own], order).drop("__key")
 
 
 def _first_per(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -88,9 +94,7 @@ def deduplicate_leads(
         return drop_exact_duplicates(df, row_id) if cfg.remove_exact_duplicates else df
     for i, email in enumerate(emails):
         if i == 0 and cfg.remove_exact_duplicates:
-            no_address = email_key(col(email)).isNull()
-            same_row = F.when(no_address, F.struct(*whole_row(df, row_id)))
-            df = _best_per_email(df, email, same_row, row_id)
+            df = _best_per_email(df, email, row_id, whole_row(df, row_id))
         else:
             df = dedupe_by_email(df, email, row_id)
     return df
