@@ -1,8 +1,9 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from tablecare.llm import exact
+from tablecare.llm import bpe, exact
 
 QUERIES = {
+    "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_exact_dedup": exact.op2_exact_dedup,
 }
 ORACLES = {
