@@ -1,9 +1,9 @@
 """Exact deduplication that takes heavy hitters out before it shuffles.
 
 Texts are equal when they are identical after each run of white space has become one space.
-Every text is read once, for its SHA-256; the digests are staged. A Misra-Gries summary (Spark's
-mergeable ``approx_top_k`` sketches, merged as a tree) names every digest that more than one row
-in ``HEAVY`` has; an exact count verifies them. The winners of these, at most ``HEAVY`` rows, are
+Every text is read once, for its SHA-256; the digests are staged. Misra-Gries summaries (Spark's
+mergeable ``approx_top_k`` sketches, one for each branch of tasks) name every digest that more
+than one row in ``HEAVY`` has; an exact count verifies them. The winners of these, at most ``HEAVY`` rows, are
 broadcast, so rows of a large group are decided where they are read. Only the others are
 shuffled, and no group among those is larger than one row in ``HEAVY``.
 
@@ -22,8 +22,8 @@ from tablecare.llm.common import documents, free_name, staged, text_of
 HEAVY = 8192
 #: Counters of a sketch; the sketch holds at most three quarters of them after a purge.
 COUNTERS = 32768
-#: Sketches are first merged in so many groups of tasks, then once.
-BRANCHES = 64
+#: Sketches are merged in so many groups of tasks; so ``BRANCHES * HEAVY`` hashes at most are counted exactly.
+BRANCHES = 16
 
 
 def text_digest(text: Column) -> Column:
@@ -33,28 +33,28 @@ def text_digest(text: Column) -> Column:
 
 def _winners(digests: DataFrame) -> DataFrame:
     """(digest, keep_id, group_size, same_id) of heavy digests: at most ``HEAVY`` rows."""
-    sketches = (
+    branches = (
         digests.select(
             F.xxhash64("digest").alias("item"),
             F.pmod(F.spark_partition_id(), F.lit(BRANCHES)).alias("branch"),
         )
         .groupBy("branch")
-        .agg(F.expr(f"approx_top_k_accumulate(item, {COUNTERS})").alias("sketch"), F.count("*").alias("n"))
+        .agg(F.expr(f"approx_top_k(item, {HEAVY}, {COUNTERS})").alias("top"), F.count("*").alias("n"))
     )
-    found = sketches.agg(
-        F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {COUNTERS}), {HEAVY})").alias("top"),
-        F.sum("n").alias("total"),
-    ).select("total", F.explode("top").alias("top"))
-    total = "heavy_total"
-    likely = found.select(F.col("top.item").alias("item"), F.col("total").alias(total)).where(
-        F.col("top.count") * HEAVY > F.col("total")
+    # What is heavy among all rows is heavy in some branch.
+    likely = (
+        branches.select("n", F.explode("top").alias("top"))
+        .where((F.col("top.count") > 1) & (F.col("top.count") * HEAVY > F.col("n")))
+        .select(F.col("top.item").alias("item"))
+        .distinct()
     )
+    total = digests.agg(F.count("*").alias("total"))
     counted = (
         digests.withColumn("item", F.xxhash64("digest"))
         .join(F.broadcast(likely), "item")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.first(total).alias(total))
-        .where((F.col("group_size") * HEAVY > F.col(total)) & (F.col("group_size") > 1))
+        .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        .join(F.broadcast(total), F.col("group_size") * HEAVY > F.col("total"))
         .select("digest", "keep_id", "group_size")
     )
     same = (
