@@ -1,10 +1,12 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from tablecare.llm import bpe, exact
+from tablecare.llm import bpe, exact, idfile, language
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_exact_dedup": exact.op2_exact_dedup,
+    "op3_token_files": idfile.op3_token_files,
+    "op8_language_id": language.op8_language_id,
 }
 ORACLES = {
     "op2_exact_dedup": exact.SQL,
