@@ -1,13 +1,15 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from tablecare.llm import bpe, exact, idfile, language
+from tablecare.llm import bpe, decontaminate, exact, idfile, language
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_exact_dedup": exact.op2_exact_dedup,
     "op3_token_files": idfile.op3_token_files,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_language_id": language.op8_language_id,
 }
 ORACLES = {
     "op2_exact_dedup": exact.SQL,
+    "op5_decontaminate": decontaminate.SQL,
 }
