@@ -1,15 +1,18 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from tablecare.llm import bpe, decontaminate, exact, idfile, language
+from tablecare.llm import bpe, decontaminate, exact, idfile, language, quality, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_exact_dedup": exact.op2_exact_dedup,
     "op3_token_files": idfile.op3_token_files,
+    "op4_quality": quality.op4_quality,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_language_id": language.op8_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op2_exact_dedup": exact.SQL,
+    "op4_quality": quality.op4_quality,
     "op5_decontaminate": decontaminate.SQL,
 }

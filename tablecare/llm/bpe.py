@@ -20,9 +20,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import takewhile
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +38,9 @@ CHUNK, OVERLAP = 32768, 512
 #: A contraction such as 'll looks this many characters ahead.
 MARGIN = 3
 #: Pre-tokens whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Rows that a worker turns into Python objects at a time.
+TOGETHER = 128
 
 
 class Vocabulary:
@@ -47,36 +50,38 @@ class Vocabulary:
         with open(path, "rb") as lines:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes = {b: a for a, b in self.rank.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, piece: str) -> tuple[int, ...]:
-        found = self.known.get(piece)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, pieces: list[str]) -> np.ndarray:
+        """The ids of pre-tokens, one after the other."""
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for piece in set(pieces).difference(known):
             raw = piece.encode()
             whole = self.rank.get(raw)
-            found = (whole,) if whole is not None else self._merge(raw)
-            if len(raw) <= 64:
-                self.known[piece] = found
-        return found
+            ids = [whole] if whole is not None else self._merge(raw)
+            # Compact: four bytes an id.
+            known[piece] = np.array(ids, np.int32).tobytes()
+        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
 
-    def _merge(self, raw: bytes) -> tuple[int, ...]:
+    def _merge(self, raw: bytes) -> list[int]:
         if len(raw) > 64:
             return self._merge_long(raw)
-        rank, parts = self.rank, [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(rank[p] for p in parts)
-
-    def _merge_long(self, raw: bytes) -> tuple[int, ...]:
+        rank, none = self.rank, 1 << 62
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        ranks = [rank.get(raw[i : i + 2], none) for i in range(len(raw) - 1)]
+        while ranks and (best := min(ranks)) != none:
+            i = ranks.index(best)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank.get(parts[i] + parts[i + 1], none)
+            if i:
+                ranks[i - 1] = rank.get(parts[i - 1] + parts[i], none)
+        return [rank[p] for p in parts]
+
+    def _merge_long(self, raw: bytes) -> list[int]:
         """The same order of merges, with a heap of pairs over a linked list of parts."""
         rank, n = self.rank, len(raw)
         end = list(range(1, n + 1))
@@ -105,7 +110,7 @@ class Vocabulary:
         while i < n:
             out.append(rank[raw[i : end[i]]])
             i = end[i]
-        return tuple(out)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -118,11 +123,23 @@ def _pattern(text: str) -> regex.Pattern:
     return regex.compile(text)
 
 
-def _lists(values: list[list[int]], kind: pa.DataType) -> pa.Array:
+def splitter(pattern: str):
+    """A function from a text to its pre-tokens. ASCII texts go to the quicker engine of the
+    standard library, where letters and digits are ranges."""
+    full = regex.compile(pattern)
+    if pattern != public_tokenizers.PATTERN:
+        return full.findall
+    bare = re.compile(
+        pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sa-zA-Z0-9]").replace(r"\p{L}", "[a-zA-Z]").replace(r"\p{N}", "[0-9]"),
+        re.ASCII,
+    )
+    return lambda text: bare.findall(text) if text.isascii() else full.findall(text)
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
     """Arrow lists of ``values``."""
     ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
-    flat = np.fromiter(chain.from_iterable(values), dtype=kind.to_pandas_dtype(), count=int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *values])))
 
 
 CHUNK_ROW = "doc_id long, digest string, c int, last int, text string"
@@ -182,29 +199,23 @@ def _piece_ids(
     for batch in batches:
         ids = []
         for c, text, start, stop in zip(*(batch.column(x).to_pylist() for x in ("c", "text", "start", "stop"))):
-            own: list[int] = []
-            for m in cut.finditer(text, start - c * chunk):
-                if m.start() >= stop - c * chunk:
-                    break
-                own.extend(vocabulary.ids(m.group()))
-            ids.append(own)
+            end = stop - c * chunk
+            found = takewhile(lambda m: m.start() < end, cut.finditer(text, start - c * chunk))
+            ids.append(vocabulary.encode([m.group() for m in found]))
         kept = [batch.column(x) for x in ("doc_id", "digest", "c", "last", "copies")]
         yield pa.RecordBatch.from_arrays(
-            [*kept, _lists(ids, pa.int32())], ["doc_id", "digest", "c", "last", "copies", "ids"]
+            [*kept, _lists(ids)], ["doc_id", "digest", "c", "last", "copies", "ids"]
         )
 
 
 def _text_ids(batches: Iterator[pa.RecordBatch], pattern: str, path: str | None) -> Iterator[pa.RecordBatch]:
     """Encode whole texts."""
-    cut, vocabulary = _pattern(pattern), _vocabulary(path)
+    cut, vocabulary = splitter(pattern), _vocabulary(path)
     for batch in batches:
-        ids = []
-        for text in batch.column("text").to_pylist():
-            own: list[int] = []
-            for piece in cut.findall(text):
-                own.extend(vocabulary.ids(piece))
-            ids.append(own)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids, pa.int32())], ["doc_id", "ids"])
+        for first in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(first, TOGETHER)
+            ids = [vocabulary.encode(cut(text)) for text in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
 
 
 def encode(
@@ -287,8 +298,12 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = _vocabulary(path).bytes
         for batch in batches:
-            out = [b"" if x is None else b"".join([raw[i] for i in x]) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
+            for first in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(first, TOGETHER)
+                out = [b"".join(map(raw.__getitem__, x or ())) for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"]
+                )
 
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(
         joined, "doc_id long, ids array<int>, bytes binary"

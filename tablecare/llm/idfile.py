@@ -28,26 +28,25 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tablecare.llm.bpe import splitter
 from tablecare.llm.common import documents, staged, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Ids of a block.
 BLOCK = 1024
 #: A file is closed when it holds so many ids.
-FILE_IDS = 1 << 21
+FILE_IDS = 1 << 19
 #: The id that ends a document.
 END = 0
 #: Pre-tokens whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 #: Selector, ids of a word, bits of an id. Fixed values of the Simple-8b family; 15 is the escape.
 PACKS = (
@@ -67,17 +66,16 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     ends = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
-    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
+    left = (np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)).astype(np.int32)
     chosen = np.full(n, ESCAPE, np.int8)
     for selector, count, bits in reversed(PACKS):
-        # Where the next id too large for these bits is.
-        wide = np.flatnonzero(ids >> np.uint64(bits))
-        if len(wide):
-            following = np.searchsorted(wide, np.arange(n))
-            reach = np.append(wide, n)[following] - np.arange(n)
-            chosen[(reach >= count) & (left >= count)] = selector
-        else:
-            chosen[left >= count] = selector
+        narrow = np.flatnonzero(ids >> np.uint64(bits) == 0)
+        if len(narrow) >= count:
+            # Where the run of ids that fit these bits ends.
+            last = np.flatnonzero(np.diff(narrow, append=n + 1) != 1)
+            ends_at = np.repeat(narrow[last] + 1, np.diff(last, prepend=-1))
+            fits = np.minimum(ends_at - narrow, left[narrow]) >= count
+            chosen[narrow[fits]] = selector
     step = _COUNTS[chosen]
     # All blocks walk from word to word together.
     at, live, starts = np.arange(blocks) * BLOCK, np.arange(blocks), []
@@ -182,21 +180,18 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.library.encode_special_tokens = True
-        self.cut = regex.compile(public_tokenizers.PATTERN)
-        self.known: dict[str, list[int]] = {}
+        self.cut = splitter(public_tokenizers.PATTERN)
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known, out = self.known, []
+    def encode(self, text: str) -> np.ndarray:
+        known, pieces = self.known, self.cut(text)
         if len(known) > REMEMBERED:
             known.clear()
-        for text in texts:
-            pieces = self.cut.findall(text)
-            fresh = [p for p in set(pieces) if p not in known]
-            if fresh:
-                for p, found in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-                    known[p] = found.ids
-            out.append(np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.uint64))
-        return out
+        fresh = list(set(pieces).difference(known))
+        for piece, found in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
+            # Compact: four bytes an id.
+            known[piece] = np.array(found.ids, np.uint32).tobytes()
+        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
 
 
 @lru_cache(maxsize=1)
@@ -218,18 +213,15 @@ def write_ids(docs: DataFrame, path: str | None = None, file_ids: int = FILE_IDS
                 [{"part": part, "seq": seq, "n_ids": held, "file": file_bytes(keys, ids)}], kind
             )
 
+        encoder = _encoder(path)
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
-            texts = batch.column("text")
-            for first in range(0, len(doc_ids), 64):
-                some = _encoder(path).encode(texts.slice(first, 64).to_pylist())
-                for key, own in zip(doc_ids[first : first + 64], some):
-                    keys.append(key)
-                    ids.append(np.append(own, np.uint64(END)))
-                    held += len(own) + 1
-                    if held >= file_ids:
-                        yield close()
-                        keys, ids, held, seq = [], [], 0, seq + 1
+            for key, text in zip(batch.column("doc_id"), batch.column("text")):
+                keys.append(key.as_py())
+                ids.append(np.append(encoder.encode(text.as_py()), np.uint32(END)))
+                held += len(ids[-1])
+                if held >= file_ids:
+                    yield close()
+                    keys, ids, held, seq = [], [], 0, seq + 1
         if keys:
             yield close()
 
