@@ -1,6 +1,7 @@
 """Quality scores by the vote of nearest neighbours among labelled latent-semantic vectors.
 
-A text is the counts of its byte trigrams, hashed to ``BUCKETS``. Logarithms of the counts are
+A text is the counts of its byte trigrams, hashed to ``BUCKETS``, and of words that repeat the
+word before, given weight by taking up ``ECHOES`` places. Logarithms of the counts are
 weighted by inverse document frequency, counted over all documents, and projected to ``RANK``
 directions by a singular value decomposition of the labelled rows' vectors. Those rows' latent
 vectors, at most ``ROWS_PER_LABEL`` of either label, are what tasks get (about 1 MB). Every
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +30,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablecare.llm.common import crc_remainder, documents, text_of
 
 FOLDS, HELD_OUT = 3, 1
-BUCKETS, RANK = 4096, 48
+BUCKETS, ECHOES, RANK = 4096, 16, 48
+TERMS = BUCKETS + ECHOES
 ROWS_PER_LABEL, NEIGHBOURS = 1500, 15
 #: Documents compared at a time.
 BLOCK = 256
 
 
-def trigram_counts(text: str) -> np.ndarray:
-    """Hashed counts of the byte trigrams of a text, whose end is padded by two zero bytes."""
-    if not text:
-        return np.zeros(BUCKETS, np.int64)
-    b = np.frombuffer(text.encode() + b"\0\0", np.uint8).astype(np.uint32)
-    mixed = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> 20
-    return np.bincount(mixed, minlength=BUCKETS)
+def counts_of(text: str) -> np.ndarray:
+    """Hashed counts of the byte trigrams of a text, whose end is padded by two zero bytes; in the
+    last ``ECHOES`` places, how many words repeat the one before."""
+    out = np.zeros(TERMS, np.int64)
+    if text:
+        b = np.frombuffer(text.encode() + b"\0\0", np.uint8).astype(np.uint32)
+        mixed = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> 20
+        out[:BUCKETS] = np.bincount(mixed, minlength=BUCKETS)
+        words = text.split()
+        out[BUCKETS:] = sum(map(eq, words, words[1:]))
+    return out
 
 
 def learnable(labels: DataFrame, name: str, folds: int, held_out: int) -> DataFrame:
@@ -78,7 +85,7 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         if len(set(self.labels.tolist())) < 2:
             return np.full(len(texts), self.prior)
-        found = latent(np.array([trigram_counts(t) for t in texts]), self.idf) @ self.projection
+        found = latent(np.array([counts_of(t) for t in texts]), self.idf) @ self.projection
         found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
         near = found @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
@@ -109,10 +116,10 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     """Rows, and rows that have each bucket, over all of ``texts`` (text)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(BUCKETS, np.int64), 0
+        total, n = np.zeros(TERMS, np.int64), 0
         for batch in batches:
             for text in batch.column("text"):
-                total += trigram_counts(text.as_py()) > 0
+                total += counts_of(text.as_py()) > 0
             n += batch.num_rows
         yield pa.RecordBatch.from_pylist([{"n": n, "df": total.tolist()}])
 
@@ -123,7 +130,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         .agg(F.sum("n").alias("n"))
         .collect()
     )
-    out = np.zeros(BUCKETS + 1, np.int64)
+    out = np.zeros(TERMS + 1, np.int64)
     for r in rows:
         out[r["k"]] = r["n"]
     return int(out[0]), out[1:]
@@ -138,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [trigram_counts(t.as_py()).astype(np.uint32).tobytes() for t in batch.column("text")]
+            counts = [counts_of(t.as_py()).astype(np.uint32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("label"), pa.array(counts, pa.binary())],
                 ["doc_id", "label", "counts"],
@@ -152,9 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     )
     rows.sort(key=lambda r: (r.doc_id, bytes(r.counts)))
     own = np.array([r.label for r in rows], np.int64)
-    counts = np.array([np.frombuffer(bytes(r.counts), np.uint32) for r in rows]).reshape(-1, BUCKETS)
+    counts = np.array([np.frombuffer(bytes(r.counts), np.uint32) for r in rows]).reshape(-1, TERMS)
     x = latent(counts, idf)
-    projection = directions(x, RANK) if len(rows) else np.zeros((BUCKETS, 1), np.float32)
+    projection = directions(x, RANK) if len(rows) else np.zeros((TERMS, 1), np.float32)
     z = x @ projection
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     weights = 1 / np.maximum(np.bincount(own, minlength=2), 1)[own] if len(rows) else np.empty(0)
