@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from tablecare.llm import bpe, decontaminate, exact, idfile, language, licenses, quality, toxicity
+from tablecare.llm import bpe, decontaminate, exact, idfile, jaccard, language, licenses, quality, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -10,10 +10,12 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_language_id": language.op8_language_id,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op2_exact_dedup": exact.SQL,
     "op4_quality": quality.op4_quality,
     "op5_decontaminate": decontaminate.SQL,
+    "op9_jaccard_join": jaccard.SQL,
 }
