@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from tablecare.llm import bpe, decontaminate, exact, idfile, jaccard, language, licenses, quality, toxicity
+from tablecare.llm import bpe, decontaminate, exact, idfile, jaccard, language, licenses, quality, repeats, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_token_files": idfile.op3_token_files,
     "op4_quality": quality.op4_quality,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_suffix_dedup": repeats.op6_suffix_dedup,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_language_id": language.op8_language_id,
     "op9_jaccard_join": jaccard.op9_jaccard_join,

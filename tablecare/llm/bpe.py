@@ -311,14 +311,15 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, **settings) -> DataFrame:
-    """Encode and decode; per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Encode and decode; per row: doc_id, n_tokens, ids, ids_sha256, decoded_sha256."""
     return decode(encode(docs, **settings)).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(documents(spark, sf_dir))
+    return token_digests(documents(spark, sf_dir)).drop("ids")

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from tablecare.llm.common import crc_remainder, documents
 
@@ -229,15 +230,14 @@ def document_probabilities(network: Network, texts: list[str | None]) -> np.ndar
     return total / np.maximum(n, 1)[:, None]
 
 
-def score(texts: DataFrame, network: Network | None, key: list[str]) -> DataFrame:
-    """``texts`` (key columns, text) -> key columns, lang_pred, score."""
-    kinds = [f for f in texts.schema.fields if f.name in key]
+def score(texts: DataFrame, network: Network | None, key: list[str], text_name: str = "text") -> DataFrame:
+    """``texts`` (key columns, among them the text or not) -> key columns, lang_pred, score."""
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                text = part.column("text").to_pylist()
+                text = part.column(text_name).to_pylist()
                 found = [UNKNOWN] * len(text)
                 best = np.zeros(len(text))
                 if network is not None:
@@ -254,8 +254,8 @@ def score(texts: DataFrame, network: Network | None, key: list[str]) -> DataFram
                     [*key, "lang_pred", "score"],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
-    return texts.select(*key, "text").mapInArrow(labelled, f"{schema}, lang_pred string, score double")
+    kinds = StructType([texts.schema[k] for k in key]).add("lang_pred", "string").add("score", "double")
+    return texts.select(*dict.fromkeys([*key, text_name])).mapInArrow(labelled, kinds)
 
 
 def predict(docs: DataFrame, network: Network | None = None) -> DataFrame:
@@ -274,9 +274,9 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     # Columns travel under their positions, so no name can clash.
     flat = docs.select([F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(names)])
     key = flat.columns
-    rows = flat.withColumn("text", F.col(f"c{names.index('text')}").cast("string"))
+    text_name = f"c{[c.lower() for c in names].index('text')}"
     return (
-        score(rows, network, key)
+        score(flat, network, key, text_name)
         .where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
         .select([F.col(c).alias(name) for c, name in zip(key, names)])
     )
