@@ -118,12 +118,14 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
                 ),
             )
         )
-    for size in (s for s in sizes if s < WINDOW):
-        each = F.transform(
-            F.sequence(F.lit(0), F.col("n") - size),
-            lambda at, size=size: run(at, at, size, F.xxhash64(F.slice("hash", at + 1, size))),
+    def each(size: int) -> Column:
+        """Every word begins a run of one short window."""
+        return F.transform(
+            F.slice(F.sequence(F.lit(0), F.greatest(F.col("n") - size, F.lit(0))), 1, F.greatest(F.col("n") - size + 1, F.lit(0))),
+            lambda at: run(at, at, size, F.xxhash64(F.slice("hash", at + 1, size))),
         )
-        runs.append(F.when(F.col("n") >= size, each).otherwise(F.array_except(runs[0], runs[0])))
+
+    runs += [each(size) for size in sizes if size < WINDOW]
 
     own = _hashed(docs.select("doc_id", F.xxhash64(text_of()).alias("mark"), words(text_of()).alias("words")))
     if WINDOW in sizes:
