@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.profiles import DIRTY, EVENTS, _SCORED, _score_sql, facts_sql
+from catalog.profiles import CUSTOMER, DIRTY, EVENTS, _SCORED, _score_sql, facts_sql
 from catalog.registry import query
 from catalog.views import table, view
 from tablecare.operators import clean as cleaning
@@ -38,8 +38,8 @@ def _missing(source, config, names):
 @query(
     "clean_dropped_columns",
     """SELECT 'l_linenumber' AS "column", 'force_drop' AS reason
-UNION ALL SELECT 'sparse_price', 'null_ratio '
-  || printf('%.1f', (count(*) - count(sparse_price)) / count(*) * 100) || '% exceeds threshold 60.0%'
+UNION ALL SELECT 'sparse_price',
+  printf('%.1f', (count(*) - count(sparse_price)) / count(*) * 100) || ' % absent, more than 60 %'
   FROM lineitem_dirty HAVING (count(*) - count(sparse_price)) / count(*) > 0.6
 UNION ALL SELECT 'constant_col', 'single_unique_value' FROM lineitem_dirty
   HAVING count(DISTINCT constant_col) <= 1 AND count(*) >= 10""",
@@ -90,8 +90,8 @@ def impute_median(spark, sf_dir):
 
 @query(
     "impute_mean",
-    """SELECT l_orderkey, l_linenumber,
-  round(coalesce(quantity, (SELECT avg(quantity) FROM lineitem_dirty)), 6) AS quantity FROM lineitem_dirty""",
+    """WITH middle AS (SELECT avg(quantity) AS mean FROM lineitem_dirty)
+SELECT l_orderkey, l_linenumber, round(coalesce(quantity, mean), 6) AS quantity FROM lineitem_dirty, middle""",
     ("lineitem_dirty",),
 )
 def impute_mean(spark, sf_dir):
@@ -209,11 +209,18 @@ def clean_table_event_log(spark, sf_dir):
     return cleaning.clean(view(spark, sf_dir, "event_log")).df
 
 
+# What cleaning keeps, and why it drops the rest, from the facts about each column.
+_KEPT = "SELECT * FROM facts WHERE null_count / total <= 0.6 AND (uniq > 1 OR total < 10)"
+
+
 @query(
     "clean_log",
-    """SELECT 'Dropped column ''nothing'': null_ratio 100.0% exceeds threshold 60.0%' AS line
-UNION ALL SELECT 'amount: filled_median' UNION ALL SELECT 'kind: filled_mode'
-UNION ALL SELECT 'is_big: filled_mode' UNION ALL SELECT 'seen_at: drop_rows'""",
+    f"""WITH facts AS ({facts_sql("event_log", EVENTS)}), kept AS ({_KEPT})
+SELECT "column" || ' left out: ' || CASE WHEN null_count / total > 0.6
+  THEN printf('%.1f', null_count / total * 100) || ' % absent, more than 60 %' ELSE 'single_unique_value' END AS line
+FROM facts WHERE "column" NOT IN (SELECT "column" FROM kept)
+UNION ALL SELECT "column" || ': ' || CASE family WHEN 'numeric' THEN 'filled_median'
+  WHEN 'datetime' THEN 'drop_rows' ELSE 'filled_mode' END FROM kept WHERE null_count > 0""",
     ("event_log",),
 )
 def clean_log(spark, sf_dir):
@@ -353,79 +360,82 @@ def audit_clean_coerce_src(spark, sf_dir):
     return done.withColumns({n: F.col(n).cast("timestamp_ntz") for n in ("ts", "d")})
 
 
-def _summary_sql(source, columns, final, cols_final, dropped, casts) -> str:
-    label = """CASE WHEN score >= 85 THEN 'Excellent' WHEN score >= 70 THEN 'Good'
-  WHEN score >= 50 THEN 'Moderate' ELSE 'Poor' END"""
-    return f"""WITH facts AS ({facts_sql(source, columns)}), penalties AS ({_score_sql(source)}),
-scored AS ({_SCORED}), final AS ({final})
-SELECT (SELECT count(*) FROM {source}) AS rows_original, (SELECT count(*) FROM final) AS rows_final,
-  (SELECT count(*) FROM {source}) - (SELECT count(*) FROM final) AS rows_dropped,
-  {len(columns)}::BIGINT AS cols_original, {cols_final}::BIGINT AS cols_final,
-  {dropped}::BIGINT AS cols_dropped, {casts}::BIGINT AS cols_type_cast, score AS quality_score,
-  {label} AS quality_grade FROM scored"""
+# Texts that are cast because enough of them are numbers; no column here holds booleans or times as text.
+_CAST = "SELECT count(*) FROM kept WHERE family = 'string' AND non_null > 0 AND numbers / non_null >= 0.95"
+_GRADED = """CASE WHEN critical > 0 THEN 'CRITICAL' WHEN score >= 95 THEN 'A+ (Excellent)'
+    WHEN score >= 90 THEN 'A (Very Good)' WHEN score >= 80 THEN 'B (Good)'
+    WHEN score >= 70 THEN 'C (Fair)' WHEN score >= 60 THEN 'D (Poor)' ELSE 'F (Critical)' END AS grade,
+  CASE WHEN critical > 0 THEN 'ACTION REQUIRED' WHEN score >= 90 THEN 'HEALTHY'
+    WHEN score >= 80 THEN 'REVIEW' ELSE 'NEEDS ATTENTION' END AS status"""
+_LABELLED = """CASE WHEN score >= 85 THEN 'Excellent' WHEN score >= 70 THEN 'Good'
+  WHEN score >= 50 THEN 'Moderate' ELSE 'Poor' END AS label"""
 
 
-@query(
-    "audit_summary",
-    _summary_sql("lineitem_dirty", DIRTY, _CLEAN_LINES, 5, 2, 0),
-    ("lineitem_dirty",),
-)
-def audit_summary(spark, sf_dir):
-    return audit_table(view(spark, sf_dir, "lineitem_dirty")).summary_df()
+def _scored(source, columns) -> str:
+    return (
+        f"WITH facts AS ({facts_sql(source, columns)}), kept AS ({_KEPT}), "
+        f"penalties AS ({_score_sql(source)}), scored AS ({_SCORED})"
+    )
 
 
-@query(
-    "audit_summary_event_log",
-    _summary_sql("event_log", EVENTS, _CLEAN_EVENTS, 6, 1, 0),
-    ("event_log",),
-)
-def audit_summary_event_log(spark, sf_dir):
-    return audit_table(view(spark, sf_dir, "event_log")).summary_df()
+def _size_sql(source, rows_after) -> str:
+    return f"""(SELECT count(*) FROM {source}) AS rows_before, {rows_after} AS rows_after,
+  (SELECT count(*) FROM {source}) - {rows_after} AS rows_lost, (SELECT count(*) FROM facts) AS columns_before,
+  (SELECT count(*) FROM kept) AS columns_after,
+  (SELECT count(*) FROM facts) - (SELECT count(*) FROM kept) AS columns_lost"""
+
+
+def _summary_query(name, source, columns, rows_after):
+    @query(
+        name,
+        f"""{_scored(source, columns)} SELECT {_size_sql(source, rows_after)}, ({_CAST}) AS columns_cast, score,
+  {_LABELLED} FROM scored""",
+        (source,),
+    )
+    def run(spark, sf_dir):
+        return audit_table(view(spark, sf_dir, source)).summary_df()
+
+
+# Rows go only where a time is absent.
+_summary_query("audit_summary", "lineitem_dirty", DIRTY, "(SELECT count(l_shipdate) FROM lineitem_dirty)")
+_summary_query("audit_summary_event_log", "event_log", EVENTS, "(SELECT count(seen_at) FROM event_log)")
 
 
 @query(
     "audit_overview",
-    f"""SELECT count(*) AS rows_original, 7::BIGINT AS columns_original,
-  count(seen_at) AS rows_cleaned, 6::BIGINT AS columns_cleaned,
-  count(*) - count(seen_at) AS rows_removed, 1::BIGINT AS cols_removed FROM event_log""",
+    f"""WITH facts AS ({facts_sql("event_log", EVENTS)}), kept AS ({_KEPT}),
+size AS (SELECT {_size_sql("event_log", "(SELECT count(seen_at) FROM event_log)")})
+SELECT item, n::VARCHAR AS value FROM (UNPIVOT size ON COLUMNS(*) INTO NAME item VALUE n)""",
     ("event_log",),
 )
 def audit_overview(spark, sf_dir):
-    seen = audit_table(view(spark, sf_dir, "event_log")).report["overview"]
-    row = (
-        seen["original_shape"]["rows"], seen["original_shape"]["columns"],
-        seen["cleaned_shape"]["rows"], seen["cleaned_shape"]["columns"],
-        seen["rows_removed"], seen["cols_removed"],
-    )
-    return spark.createDataFrame(
-        [row],
-        "rows_original BIGINT, columns_original BIGINT, rows_cleaned BIGINT, columns_cleaned BIGINT, "
-        "rows_removed BIGINT, cols_removed BIGINT",
-    )
+    """The numbers of the report's first section."""
+    lines = audit_table(view(spark, sf_dir, "event_log")).report_df()
+    return lines.filter("section = 'size' AND item NOT LIKE 'names%'").select("item", "value")
 
 
 @query(
     "audit_column_profiles",
     f"""WITH facts AS ({facts_sql("event_log", EVENTS)})
-SELECT "column", dtype, null_count, round(null_count / total * 100, 2) / 100 AS null_ratio,
-  uniq AS unique_count, median, lo AS min, hi AS max FROM facts""",
+SELECT "column", dtype, null_count, round(null_count / total * 100, 2) AS null_pct,
+  uniq AS "unique", median, lo AS min, hi AS max FROM facts""",
     ("event_log",),
 )
 def audit_column_profiles(spark, sf_dir):
-    sections = audit_table(view(spark, sf_dir, "event_log")).report["column_profiles"]
-    names = ("column", "dtype", "null_count", "null_ratio", "unique_count", "median", "min", "max")
+    sections = audit_table(view(spark, sf_dir, "event_log")).report["columns"]
+    names = ("dtype", "null_count", "null_pct", "unique", "median", "min", "max")
     return spark.createDataFrame(
-        [tuple(s.get(n) for n in names) for s in sections],
-        "column STRING, dtype STRING, null_count BIGINT, null_ratio DOUBLE, unique_count BIGINT, "
+        [(column, *(s.get(n) for n in names)) for column, s in sections.items()],
+        "column STRING, dtype STRING, null_count BIGINT, null_pct DOUBLE, unique BIGINT, "
         "median DOUBLE, min DOUBLE, max DOUBLE",
     )
 
 
 @query(
     "audit_cleaning_summary",
-    """SELECT 'filled' AS kind, 3::BIGINT AS columns FROM event_log
-  HAVING count(amount) < count(*) AND count(kind) < count(*) AND count(is_big) < count(*)
-UNION ALL SELECT 'drop_rows', 1 FROM event_log HAVING count(seen_at) < count(*)""",
+    f"""WITH facts AS ({facts_sql("event_log", EVENTS)}), kept AS ({_KEPT})
+SELECT CASE family WHEN 'datetime' THEN 'drop_rows' ELSE 'filled' END AS kind, count(*) AS columns
+FROM kept WHERE null_count > 0 GROUP BY 1""",
     ("event_log",),
 )
 def audit_cleaning_summary(spark, sf_dir):
@@ -433,20 +443,25 @@ def audit_cleaning_summary(spark, sf_dir):
     return report.actions_by_kind(done.actions_df(spark))
 
 
-@query(
-    "audit_score_section",
-    f"""WITH facts AS ({facts_sql("event_log", EVENTS)}), penalties AS ({_score_sql("event_log")}),
-scored AS ({_SCORED}), worst AS (SELECT max(null_count / total * 100) AS pct FROM facts)
-SELECT score, CASE WHEN pct > 30 THEN 'CRITICAL' ELSE 'not critical' END AS grade,
-  CASE WHEN pct > 30 THEN 'ACTION REQUIRED' ELSE 'not critical' END AS status
-FROM scored, worst""",
-    ("event_log",),
-)
-def audit_score_section(spark, sf_dir):
-    """A column that is all NULL makes the report critical, whatever the score."""
-    section = audit_table(view(spark, sf_dir, "event_log")).report["quality_score"]
-    row = (section["score"], section["grade"], section["status"])
-    return spark.createDataFrame([row], "score DOUBLE, grade STRING, status STRING")
+def _score_section_query(name, source, columns, load):
+    @query(
+        name,
+        f"""{_scored(source, columns)}, graded AS (
+  SELECT score, (SELECT count(*) FROM facts WHERE round(null_count / total * 100, 2) > 30) AS critical FROM scored)
+SELECT score, {_LABELLED}, {_GRADED} FROM graded""",
+        (source,) if load is view else (),
+    )
+    def run(spark, sf_dir):
+        section = audit_table(load(spark, sf_dir, source)).report["score"]
+        names = ("score", "label", "grade", "status")
+        return spark.createDataFrame(
+            [tuple(section[n] for n in names)], "score DOUBLE, label STRING, grade STRING, status STRING"
+        )
+
+
+# A column that is all NULL makes the report critical, whatever the score; customers have no such flaw.
+_score_section_query("audit_score_section", "event_log", EVENTS, view)
+_score_section_query("audit_score_section_customer", "customer", CUSTOMER, table)
 
 
 @query(

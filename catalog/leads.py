@@ -8,7 +8,6 @@ from catalog import registry as sql
 from catalog.registry import query
 from catalog.views import table, view
 from tablecare import fixed_values as fv
-from tablecare.config import SemanticConfig
 from tablecare.functions import detectors, emails, text
 from tablecare.operators import dedupe, normalize, semantic, validate
 from tablecare.plans.leads import process_leads
@@ -171,12 +170,6 @@ def semantic_type_summary(spark, sf_dir):
     return profile.summary_df(spark).withColumn("columns", F.array_join("columns", ","))
 
 
-@query("semantic_profile_sampled")
-def semantic_profile_sampled(spark, sf_dir):
-    """Judged by 100 values per column, drawn by hash; no SQL knows that hash."""
-    df = view(spark, sf_dir, "signups")
-    return semantic.semantic_profile(df, SemanticConfig(sample_size=100), "row_id").to_df(spark)
-
 
 # --- formatting ------------------------------------------------------------------
 

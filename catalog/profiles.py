@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.views import table, view
-from tablecare.config import ProfileConfig
 from tablecare.functions.columns import nan_as_null
-from tablecare.operators import frequencies, profile, quality, quantiles
+from tablecare.operators import frequencies, profile, quality
 from tablecare.operators.dedupe import count_duplicates
 from tablecare.operators.profile import TableFacts
 
@@ -79,7 +78,8 @@ _TYPE = """CASE WHEN non_null = 0 THEN 'empty' WHEN family = 'numeric' THEN 'num
   ELSE 'freetext' END"""
 
 _PROFILE = f"""SELECT "column", dtype, {_TYPE} AS inferred_type, total, non_null, null_count,
-  round(null_count / total * 100, 2) AS null_pct, uniq AS "unique", median, lo AS min, hi AS max"""
+  round(null_count / total * 100, 2) AS null_pct, uniq AS "unique",
+  round(mean, 6) AS mean, median, lo AS min, hi AS max"""
 
 
 def _copies(source: str) -> str:
@@ -184,7 +184,7 @@ def _profile_query(name, source, columns, load):
         (source,) if load is view else (),
     )
     def run(spark, sf_dir):
-        return profile.profile_table(load(spark, sf_dir, source)).drop("mean")
+        return profile.profile_table(load(spark, sf_dir, source)).withColumn("mean", F.round("mean", 6))
 
 
 _profile_query("lineitem_dirty", "lineitem_dirty", DIRTY, view)
@@ -202,23 +202,15 @@ _profile_query("customer", "customer", CUSTOMER, table)
     ),
 )
 def profile_quantiles_narrowed(spark, sf_dir):
-    """Exact quartiles by interval narrowing, the way for columns too large for one buffer."""
-    df = nan_as_null(table(spark, sf_dir, "lineitem"))
+    """Exact quartiles from counted values, dealt out by ranges."""
     names = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    row = df.agg(*[F.count(n).alias(n) for n in names]).first().asDict()
-    found = quantiles.exact_quantiles(df, row, [0.25, 0.5, 0.75], in_memory=0, sortable=5_000)
+    df = nan_as_null(table(spark, sf_dir, "lineitem").select(names))
+    found = frequencies.distinct_facts(df, names, [0.25, 0.5, 0.75])
     return spark.createDataFrame(
-        [(n, *q) for n, q in found.items()], "column STRING, q1 DOUBLE, median DOUBLE, q3 DOUBLE"
+        [(n, *f["quantiles"]) for n, f in found.items()], "column STRING, q1 DOUBLE, median DOUBLE, q3 DOUBLE"
     )
 
 
-@query("profile_table_approximate")
-def profile_table_approximate(spark, sf_dir):
-    """Sketch-based distinct counts and quantiles; sketches differ between engines."""
-    cfg = ProfileConfig(approx_unique=True, approx_quantiles=True)
-    return profile.profile_table(view(spark, sf_dir, "lineitem_dirty"), cfg).drop("mean")
-
-
 @query(
     "duplicate_rows",
     """SELECT CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows,
@@ -233,50 +225,52 @@ def duplicate_rows(spark, sf_dir):
 
 _MISSING = """SELECT "column", 'missing_values' AS "check",
   CASE WHEN round(null_count / total * 100, 2) > 30 THEN 'critical' ELSE 'warning' END AS severity,
-  printf('%.1f', round(null_count / total * 100, 2)) || '% values missing' AS message,
+  null_count::VARCHAR || ' of ' || total::VARCHAR || ' values are absent' AS message,
   null_count AS affected FROM facts WHERE round(null_count / total * 100, 2) > 5"""
 _CONSTANT = """SELECT "column", 'constant_column' AS "check", 'warning' AS severity,
-  'Column has only 1 unique value — no information' AS message, total AS affected
+  'no two values differ, so nothing can be learned from it' AS message, total AS affected
 FROM facts WHERE uniq <= 1"""
 _CARDINALITY = f"""SELECT "column", 'high_cardinality' AS "check", 'info' AS severity,
-  uniq::VARCHAR || ' unique values in categorical column' AS message, uniq AS affected
-FROM facts WHERE {_TYPE} = 'categorical' AND uniq > 50"""
+  uniq::VARCHAR || ' categories are many' AS message, uniq AS affected
+FROM facts WHERE {_TYPE} = 'categorical' AND uniq > {{least}}"""
 _OUTLIERS = """SELECT "column", 'outliers' AS "check", 'warning' AS severity,
-  wild::VARCHAR || ' outliers detected (IQR method)' AS message, wild AS affected
-FROM facts WHERE wild > 0"""
+  wild::VARCHAR || ' values lie more than 1.5 interquartile ranges outside the quartiles' AS message,
+  wild AS affected FROM facts WHERE wild > 0"""
 
 
 def _duplicates(source: str) -> str:
     return f"""SELECT 'all columns' AS "column", 'duplicates' AS "check", 'warning' AS severity,
-  n::VARCHAR || ' duplicate rows' AS message, n AS affected FROM (SELECT {_copies(source)} AS n)
-WHERE n > 0"""
+  n::VARCHAR || ' rows are copies of other rows' AS message, n AS affected
+FROM (SELECT {_copies(source)} AS n) WHERE n > 0"""
 
 
 def _issues(source: str) -> str:
-    return " UNION ALL ".join([_MISSING, _duplicates(source), _CONSTANT, _CARDINALITY, _OUTLIERS])
+    return " UNION ALL ".join([_MISSING, _duplicates(source), _CONSTANT, _CARDINALITY.format(least=50), _OUTLIERS])
 
 
-def _issue_query(name, source, columns, body, checks, load=view):
+def _issue_query(name, source, columns, body, checks=None, load=view, config=None):
     @query(
         name,
         f"WITH facts AS ({facts_sql(source, columns)}) {body}",
         (source,) if load is view else (),
     )
     def run(spark, sf_dir):
-        return quality.run_quality_checks(load(spark, sf_dir, source), checks=checks)
+        return quality.run_quality_checks(load(spark, sf_dir, source), config, checks)
 
 
 _LINES = ("lineitem_dirty", DIRTY)
-_issue_query("quality_missing", *_LINES, _MISSING, (quality.check_missing,))
-_issue_query("quality_duplicates", *_LINES, _duplicates("lineitem_dirty"), (quality.check_duplicates,))
-_issue_query("quality_constant", *_LINES, _CONSTANT, (quality.check_constant,))
+_issue_query("quality_missing", *_LINES, _MISSING, ("missing_values",))
+_issue_query("quality_duplicates", *_LINES, _duplicates("lineitem_dirty"), ("duplicates",))
+_issue_query("quality_constant", *_LINES, _CONSTANT, ("constant_column",))
+# Three return flags are many where two are allowed.
 _issue_query(
-    "quality_high_cardinality", *_LINES, _CARDINALITY, (quality.check_high_cardinality,)
+    "quality_high_cardinality", *_LINES, _CARDINALITY.format(least=2), ("high_cardinality",),
+    config={"high_cardinality_min_unique": 2},
 )
-_issue_query("quality_outliers", *_LINES, _OUTLIERS, (quality.check_outliers,))
-_issue_query("quality_issues", *_LINES, _issues("lineitem_dirty"), quality.CHECKS)
-_issue_query("quality_issues_event_log", "event_log", EVENTS, _issues("event_log"), quality.CHECKS)
-_issue_query("quality_issues_orders", "orders", ORDERS, _issues("orders"), quality.CHECKS, table)
+_issue_query("quality_outliers", *_LINES, _OUTLIERS, ("outliers",))
+_issue_query("quality_issues", *_LINES, _issues("lineitem_dirty"))
+_issue_query("quality_issues_event_log", "event_log", EVENTS, _issues("event_log"))
+_issue_query("quality_issues_orders", "orders", ORDERS, _issues("orders"), load=table)
 
 
 @query(
@@ -355,42 +349,42 @@ def quality_grades(spark, sf_dir):
 # --- suggestions -------------------------------------------------------------------
 
 _PCT = "printf('%.1f', null_count / total * 100)"
+_FENCES = "printf('%.2f', q1 - 1.5 * (q3 - q1)) || ' to ' || printf('%.2f', q3 + 1.5 * (q3 - q1))"
 _RULES = {
-    "missing": f"""SELECT 1 AS rule, place, 'missing_values' AS type,
+    "missing_values": f"""SELECT 1 AS rule, place, 'missing_values' AS type,
   CASE WHEN null_count / total * 100 > 40 THEN 'high' WHEN null_count / total * 100 > 10
     THEN 'medium' ELSE 'low' END AS severity, "column" AS scope,
-  '''' || "column" || ''' has ' || {_PCT} || '% missing values.' AS message,
-  CASE WHEN family = 'numeric' THEN 'Fill with median (skewed) or mean (normal).'
-    ELSE 'Fill with mode (' || coalesce('"' || CASE WHEN family = 'boolean'
-      THEN upper(mode[1]) || mode[2:] ELSE mode END || '"', 'unknown') || ') or constant ''unknown''.'
-    END || ' Current missing: ' || {_PCT} || '%.' AS action FROM facts WHERE null_count > 0""",
+  {_PCT} || ' % of ' || "column" || ' is absent' AS message,
+  'Put ' || CASE WHEN family = 'numeric' THEN 'its median, or its mean if both tails are alike'
+    WHEN mode IS NULL THEN 'a word of their own'
+    ELSE 'its commonest value (' || CASE WHEN family = 'boolean' THEN upper(mode[1]) || mode[2:] ELSE mode END
+      || ') or a word of their own' END || ' into the ' || null_count::VARCHAR || ' gaps.' AS action
+FROM facts WHERE null_count > 0""",
     "duplicates": """SELECT 2 AS rule, 0 AS place, 'duplicates' AS type,
   CASE WHEN n / total * 100 > 10 THEN 'high' ELSE 'medium' END AS severity, 'dataset' AS scope,
-  n::VARCHAR || ' duplicate rows detected (' || printf('%.1f', n / total * 100) || '% of dataset).'
-    AS message, 'Drop exact duplicates before analysis or modeling.' AS action
+  printf('%.1f', n / total * 100) || ' % of the rows are copies' AS message,
+  'Keep one of each and let ' || n::VARCHAR || ' rows go.' AS action
 FROM (SELECT {copies} AS n, max(total) AS total FROM facts) WHERE n > 0""",
-    "constant": """SELECT 3 AS rule, place, 'constant_column' AS type, 'medium' AS severity,
-  "column" AS scope, '''' || "column" || ''' has only 1 unique value — zero information content.'
-    AS message, 'Drop column ''' || "column" || '''.' AS action FROM facts WHERE uniq <= 1""",
-    "outliers": """SELECT 4 AS rule, place, 'outliers' AS type, 'medium' AS severity,
-  "column" AS scope, '''' || "column" || ''' has ' || wild::VARCHAR || ' outliers outside IQR bounds ['
-    || printf('%.2f', q1 - 1.5 * (q3 - q1)) || ', ' || printf('%.2f', q3 + 1.5 * (q3 - q1)) || '].' AS message,
-  'Clip ''' || "column" || ''' to [' || printf('%.2f', q1 - 1.5 * (q3 - q1)) || ', '
-    || printf('%.2f', q3 + 1.5 * (q3 - q1)) || '].' AS action FROM facts WHERE wild > 0 AND non_null >= 4""",
-    "conversion": """SELECT 5 AS rule, place, 'type_conversion' AS type, 'low' AS severity,
-  "column" AS scope, '''' || "column" || ''' is stored as text but '
-    || printf('%.0f', numbers / non_null * 100) || '% of values are numeric.' AS message,
-  'Convert ''' || "column" || ''' to a number.' AS action
+    "constant_column": """SELECT 3 AS rule, place, 'constant_column' AS type, 'medium' AS severity,
+  "column" AS scope, "column" || ' is the same in every row' AS message,
+  'Leave ' || "column" || ' out.' AS action FROM facts WHERE uniq <= 1""",
+    "outliers": f"""SELECT 4 AS rule, place, 'outliers' AS type, 'medium' AS severity,
+  "column" AS scope, wild::VARCHAR || ' values of ' || "column" || ' lie outside ' || {_FENCES} AS message,
+  'Look at them, or limit ' || "column" || ' to ' || {_FENCES} || '.' AS action
+FROM facts WHERE wild > 0 AND non_null >= 4""",
+    "type_conversion": """SELECT 5 AS rule, place, 'type_conversion' AS type, 'low' AS severity,
+  "column" AS scope, printf('%.0f', numbers / non_null * 100) || ' % of the texts in ' || "column"
+    || ' are numbers' AS message, 'Store ' || "column" || ' as numbers.' AS action
 FROM facts WHERE family = 'string' AND non_null > 0 AND numbers / non_null >= 0.8""",
-    "cardinality": """SELECT 6 AS rule, place, 'high_cardinality' AS type, 'low' AS severity,
-  "column" AS scope, '''' || "column" || ''' has ' || uniq::VARCHAR || ' unique values — high cardinality.'
-    AS message, 'Consider target encoding, frequency encoding, or grouping rare categories.' AS action
+    "high_cardinality": """SELECT 6 AS rule, place, 'high_cardinality' AS type, 'low' AS severity,
+  "column" AS scope, "column" || ' has ' || uniq::VARCHAR || ' different texts that recur' AS message,
+  'Merge rare ones, or code them by how often or with what result they occur.' AS action
 FROM facts WHERE family = 'string' AND non_null > 0 AND uniq > 50 AND uniq / non_null < 0.9""",
 }
 
 
-def _suggest_query(name, source, columns, rules, keys, load=view):
-    found = " UNION ALL ".join(_RULES[k] for k in keys).replace("{copies}", _copies(source))
+def _suggest_query(name, source, columns, rules=None, load=view):
+    found = " UNION ALL ".join(_RULES[k] for k in rules or _RULES).replace("{copies}", _copies(source))
     rank = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 
     @query(
@@ -404,20 +398,15 @@ SELECT row_number() OVER (ORDER BY {rank}, rule, place) AS place, type, severity
         return quality.suggest(load(spark, sf_dir, source), rules)
 
 
-_suggest_query("suggest_missing", *_LINES, (quality.suggest_missing,), ("missing",))
-_suggest_query("suggest_duplicates", *_LINES, (quality.suggest_duplicates,), ("duplicates",))
-_suggest_query("suggest_constant", *_LINES, (quality.suggest_constant,), ("constant",))
-_suggest_query("suggest_outliers", *_LINES, (quality.suggest_outliers,), ("outliers",))
-_suggest_query(
-    "suggest_type_conversion", "event_log", EVENTS, (quality.suggest_type_conversion,), ("conversion",)
-)
-_suggest_query(
-    "suggest_high_cardinality", "event_log", EVENTS, (quality.suggest_high_cardinality,),
-    ("cardinality",),
-)
-_suggest_query("suggestions", *_LINES, quality.RULES, tuple(_RULES))
-_suggest_query("suggestions_event_log", "event_log", EVENTS, quality.RULES, tuple(_RULES))
-_suggest_query("suggestions_customer", "customer", CUSTOMER, quality.RULES, tuple(_RULES), table)
+_suggest_query("suggest_missing", *_LINES, ("missing_values",))
+_suggest_query("suggest_duplicates", *_LINES, ("duplicates",))
+_suggest_query("suggest_constant", *_LINES, ("constant_column",))
+_suggest_query("suggest_outliers", *_LINES, ("outliers",))
+_suggest_query("suggest_type_conversion", "event_log", EVENTS, ("type_conversion",))
+_suggest_query("suggest_high_cardinality", "event_log", EVENTS, ("high_cardinality",))
+_suggest_query("suggestions", *_LINES)
+_suggest_query("suggestions_event_log", "event_log", EVENTS)
+_suggest_query("suggestions_customer", "customer", CUSTOMER, load=table)
 
 
 @query(

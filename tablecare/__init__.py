@@ -11,7 +11,7 @@ from tablecare.operators.profile import TableFacts, profile_table
 from tablecare.operators.quality import (
     quality_score, quality_summary, run_quality_checks, suggest,
 )
-from tablecare.operators.report import audit_report
+from tablecare.operators.report import audit_lines, report_table
 from tablecare.operators.semantic import SemanticProfile, semantic_profile
 from tablecare.operators.validate import validate_leads
 from tablecare.plans.audit import audit_csv, audit_table
@@ -22,7 +22,7 @@ from tablecare.sources.staging import stage, with_row_id
 from tablecare.streaming.leads import check_stream
 
 __all__ = [
-    "SemanticProfile", "TableFacts", "audit_csv", "audit_report", "audit_table", "check_stream",
+    "SemanticProfile", "TableFacts", "audit_csv", "audit_lines", "report_table", "audit_table", "check_stream",
     "clean", "coerce_types", "count_duplicates", "dedupe_by_email", "deduplicate_leads",
     "drop_exact_duplicates", "filter_columns", "format_changes", "format_leads",
     "handle_missing", "infer_delimiters", "process_leads", "profile_table", "quality_score",

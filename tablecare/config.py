@@ -26,9 +26,6 @@ def settings(cls, overrides=None):
 
 @dataclass(frozen=True)
 class SemanticConfig:
-    # None counts every non-blank value; a number judges that many per column,
-    # chosen by a hash of row id and value (needs a row id).
-    sample_size: int | None = None
     min_non_null_for_detection: int = fv.MIN_VALUES
     confidence_threshold: float = fv.CONFIDENCE_THRESHOLD
     header_boost: float = fv.HEADER_BOOST
@@ -66,18 +63,6 @@ class LeadConfig:
     deduplication: DedupConfig | dict | None = None
 
 
-@dataclass(frozen=True)
-class ProfileConfig:
-    # Approximate distinct counts (HyperLogLog) instead of exact ones.
-    approx_unique: bool = False
-    # Approximate quantiles (one sketch pass) instead of exact ones.
-    approx_quantiles: bool = False
-    approx_accuracy: int = 1_000
-    # Exact quantiles come from one in-memory aggregate while the values of all
-    # numeric columns together stay below this, from interval narrowing beyond.
-    quantile_values_in_memory: int = 5_000_000
-
-
 @dataclass(frozen=True)
 class QualityConfig:
     null_warning_threshold: float = fv.NULL_WARNING_PCT
@@ -125,7 +110,6 @@ class ReportConfig:
 @dataclass(frozen=True)
 class AuditConfig:
     skip_clean: bool = False
-    profile: ProfileConfig | dict | None = None
     quality: QualityConfig | dict | None = None
     filter: FilterConfig | dict | None = None
     missing: MissingConfig | dict | None = None

@@ -92,6 +92,16 @@ REPORT_STATUSES = ((90, "HEALTHY"), (80, "REVIEW"))
 REPORT_STATUS_LOWEST = "NEEDS ATTENTION"
 REPORT_STATUS_CRITICAL = "ACTION REQUIRED"
 
+# Fixed codes of issues, advice and scopes.
+MISSING = "missing_values"
+DUPLICATES = "duplicates"
+CONSTANT = "constant_column"
+HIGH_CARDINALITY = "high_cardinality"
+OUTLIERS = "outliers"
+TYPE_CONVERSION = "type_conversion"
+ALL_COLUMNS = "all columns"
+WHOLE_TABLE = "dataset"
+
 # --- cleaning and coercion --------------------------------------------------
 NULL_DROP_RATIO = 0.60
 SINGLE_VALUE_MIN_ROWS = 10
@@ -99,6 +109,16 @@ IMPUTE_MAX_NULL_RATIO = 0.60
 CATEGORICAL_FILL = "Unknown"
 FLAG_SUFFIX = "__was_null"
 
+# Fixed codes of what cleaning did, and of why it did not.
+FILLED = "filled_"
+FLAGGED = "flagged"
+SKIPPED = "skipped"
+ROWS_DROPPED = "drop_rows"
+LEFT_ALONE = "no_action"
+TOO_SPARSE = "null_ratio_too_high"
+LISTED = "force_drop"
+SINGLE_VALUE = "single_unique_value"
+
 TRUE_WORDS = ("true", "yes", "1", "y")
 FALSE_WORDS = ("false", "no", "0", "n")
 NUMBER_RATE = 0.95

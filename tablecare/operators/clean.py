@@ -6,6 +6,7 @@ one-row results; the change itself is one lazy select or filter per family.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -49,29 +50,30 @@ class Cleaned:
         return spark.createDataFrame(rows, ACTION_SCHEMA)
 
     def log(self) -> list[str]:
-        return [f"Dropped column '{d['column']}': {d['reason']}" for d in self.dropped_columns] + [
+        return [f"{d['column']} left out: {d['reason']}" for d in self.dropped_columns] + [
             f"{a['column']}: {a['action']}" for a in self.actions
         ]
 
 
+#: Why a column may go, in the order in which reasons count. Each gets facts, column and settings.
+DROP_REASONS: tuple[Callable[[TableFacts, str, FilterConfig], str | None], ...] = (
+    lambda f, n, cfg: fv.LISTED if n in {find_name(f.names, x) for x in cfg.force_drop_columns} else None,
+    lambda f, n, cfg: f"{f.null_ratio(n) * 100:.1f} % absent, more than {cfg.null_drop_threshold * 100:g} %"
+    if f.null_ratio(n) > cfg.null_drop_threshold
+    else None,
+    lambda f, n, cfg: fv.SINGLE_VALUE
+    if cfg.drop_single_value_columns and f.rows >= cfg.single_value_min_rows and f.unique[n] <= 1
+    else None,
+)
+
+
 def useless_columns(facts: TableFacts, config=None) -> list[dict]:
-    """Columns to drop, with the reason: listed ones, sparse ones, single-valued ones."""
+    """Columns to drop, each with the first reason that holds, reason by reason."""
     cfg = settings(FilterConfig, config)
-    listed = [n for n in (find_name(facts.names, f) for f in cfg.force_drop_columns) if n]
-    dropped = [{"column": n, "reason": "force_drop"} for n in dict.fromkeys(listed)]
-    left = [n for n in facts.names if n not in listed]
-    sparse = [n for n in left if facts.null_ratio(n) > cfg.null_drop_threshold]
-    for n in sparse:
-        reason = (
-            f"null_ratio {facts.null_ratio(n):.1%} exceeds threshold {cfg.null_drop_threshold:.1%}"
-        )
-        dropped.append({"column": n, "reason": reason})
-    left = [n for n in left if n not in sparse]
-    if cfg.drop_single_value_columns and facts.rows >= cfg.single_value_min_rows:
-        dropped += [
-            {"column": n, "reason": "single_unique_value"} for n in left if facts.unique[n] <= 1
-        ]
-    return dropped
+    found: dict[str, str] = {}
+    for holds in DROP_REASONS:
+        found |= {n: why for n in facts.names if n not in found and (why := holds(facts, n, cfg))}
+    return [{"column": n, "reason": why} for n, why in found.items()]
 
 
 def filter_columns(table: DataFrame | TableFacts, config=None) -> Cleaned:
@@ -135,7 +137,7 @@ class _State:
 
     def _skip(self, n: str) -> None:
         self.actions.append(
-            {"column": n, "action": "skipped", "reason": "null_ratio_too_high"}
+            {"column": n, "action": fv.SKIPPED, "reason": fv.TOO_SPARSE}
         )
 
     def fill_or_flag(self, columns, strategy, limit, cfg) -> None:
@@ -144,7 +146,7 @@ class _State:
             if strategy == "flag":
                 flag = n + fv.FLAG_SUFFIX
                 flags[flag] = col(n).isNull()
-                action = {"action": "flagged", "indicator_column": flag}
+                action = {"action": fv.FLAGGED, "indicator_column": flag}
             else:
                 value, action = _filler(self.facts, n, strategy, cfg)
                 if value is not None:
@@ -181,7 +183,7 @@ class _State:
                     sparse = i
                     break
                 self.actions.append(
-                    {"column": n, "action": "drop_rows", "rows_removed": missing}
+                    {"column": n, "action": fv.ROWS_DROPPED, "rows_removed": missing}
                 )
                 dropped.append(n)
                 rows -= missing
@@ -190,7 +192,7 @@ class _State:
         if dropped:
             self.df = _without_nulls(self.df, dropped)
             self.original = _without_nulls(self.original, dropped)
-            self.facts = TableFacts(self.original, self.facts.cfg)
+            self.facts = TableFacts(self.original)
 
 
 def _without_nulls(df: DataFrame, names: list[str]) -> DataFrame:
@@ -199,30 +201,31 @@ def _without_nulls(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
+#: Per strategy: whether it suits a family, and the value it fills with (None if there is none).
+FILLINGS: dict[str, tuple[Callable[[str], bool], Callable[[TableFacts, str, MissingConfig], object]]] = {
+    "mean": (lambda kind: kind == "numeric", lambda f, n, cfg: f.stats(n).get("mean")),
+    "median": (lambda kind: kind == "numeric", lambda f, n, cfg: f.stats(n).get("median")),
+    "mode": (lambda kind: kind != "numeric", lambda f, n, cfg: f.modes.get(n)),
+    "constant": (
+        lambda kind: True,
+        lambda f, n, cfg: {"numeric": cfg.numeric_fill_value, "nested": None}.get(
+            f.family[n], cfg.categorical_fill_value
+        ),
+    ),
+}
+
+
 def _filler(facts: TableFacts, n: str, strategy: str, cfg: MissingConfig):
     """(value, log entry) for filling column ``n``; no value when it cannot be filled."""
-    if strategy in ("mean", "median") and facts.family[n] == "numeric":
-        value = facts.stats(n).get(strategy)
-        if value is None:
-            return None, {"action": "no_action", "reason": f"{strategy} undefined (all null)"}
-        shown = round(value, 4)
-    elif strategy == "mode" and facts.family[n] != "numeric":
-        value = facts.modes.get(n)
-        if value is None:
-            why = "all null" if not facts.non_null[n] else "nested values"
-            return None, {"action": "no_action", "reason": f"mode undefined ({why})"}
-        shown = value
-    elif strategy == "constant":
-        numeric = facts.family[n] == "numeric"
-        value = cfg.numeric_fill_value if numeric else cfg.categorical_fill_value
-        if facts.family[n] == "nested":
-            return None, {"action": "no_action", "reason": "no constant for nested values"}
-        shown = value
-    else:
-        return None, {"action": "no_action", "reason": f"unknown strategy: {strategy}"}
-    return value, {
-        "action": f"filled_{strategy}", "fill_value": shown, "nulls_filled": facts.nulls(n),
-    }
+    suits, value_of = FILLINGS.get(strategy, (lambda kind: False, None))
+    kind = facts.family[n]
+    if not suits(kind):
+        return None, {"action": fv.LEFT_ALONE, "reason": f"{kind} columns know no {strategy!r}"}
+    value = value_of(facts, n, cfg)
+    if value is None:
+        return None, {"action": fv.LEFT_ALONE, "reason": f"no {strategy} of {facts.non_null[n]} {kind} values"}
+    shown = round(value, 4) if strategy in ("mean", "median") else value
+    return value, {"action": fv.FILLED + strategy, "fill_value": shown, "nulls_filled": facts.nulls(n)}
 
 
 def _filled(f: T.StructField, value, strategy: str) -> Column:

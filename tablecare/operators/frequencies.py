@@ -10,11 +10,13 @@ column in one place.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablecare.functions.columns import col, families, family, groupable, nan_as_null
+from tablecare.operators.quantiles import counted_facts
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
@@ -97,39 +99,55 @@ def value_frequencies(df: DataFrame, names: list[str] | None = None) -> DataFram
     )
 
 
-def distinct_facts(
-    df: DataFrame, names: list[str], quantiles_of: list[str] = (), probabilities: list[float] = ()
-) -> DataFrame:
-    """(column, unique, quantiles): exact numbers of distinct non-null values and, for the
-    columns of ``quantiles_of``, interpolated quantiles.
+def distinct_facts(df: DataFrame, names: list[str], probabilities: list[float] = ()) -> dict[str, dict]:
+    """Per column that has values: ``unique``, the exact number of its distinct values; ``mode``, the
+    most frequent as text, the smallest of equally frequent ones; and of numbers ``quantiles``.
 
-    Quantiles weigh every distinct value by its count, and hold a column's distinct
-    values in one buffer: ask for them only where their number is known to be small.
+    Values are counted once; numbers and times then share one table of counted values.
     """
-    parts = []
+    types = {f.name: f.dataType for f in df.schema.fields}
+    kinds = families(df)
+    out: dict[str, dict] = {}
+    measured = []
     for g in frequency_groups(df, names):
-        wanted = [i for i, n in enumerate(g.names) if n in quantiles_of]
-        quantiles = F.lit(None).cast("array<double>")
-        if wanted:
-            value = F.when(F.col("column_no").isin(wanted), F.col("value").cast("double"))
-            shares = F.array(*[F.lit(p) for p in probabilities])
-            quantiles = F.percentile(value, shares, F.col("n"))
-        facts = g.table.groupBy("column_no").agg(
-            F.count("*").alias("unique"), quantiles.alias("quantiles")
-        )
-        parts.append(facts.select(_named(g).alias("column"), "unique", "quantiles"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def has_numbers(dtype: T.DataType) -> bool:
-    """Whether values of ``dtype`` are counted as numbers here, so that quantiles can be had."""
-    return isinstance(dtype, (*_WHOLE, *_FLOATING))
+        place = F.element_at(F.array(*[F.lit(names.index(n)) for n in g.names]), F.col("column_no") + 1)
+        value = F.col("value").cast("double").alias("value")
+        if g.carrier != "string":
+            measured.append(g.table.select(place.alias("id"), value, "n", F.lit(True).alias("own")))
+            continue
+        top = F.min(F.struct((-F.col("n")).alias("rank"), "value")).alias("top")
+        for r in g.table.groupBy("column_no").agg(F.count("*").alias("unique"), top).collect():
+            out[g.names[r["column_no"]]] = {"unique": r["unique"], "mode": r["top"]["value"], "quantiles": None}
+        # Decimals are counted as text, so that none is lost, and measured as numbers.
+        decimals = [i for i, n in enumerate(g.names) if kinds[n] == "numeric"]
+        if decimals and probabilities:
+            some = g.table.where(F.col("column_no").isin(decimals))
+            measured.append(some.select(place.alias("id"), value, "n", F.lit(False).alias("own")))
+    if measured:
+        found = counted_facts(reduce(DataFrame.unionByName, measured), list(probabilities))
+        for i, facts in found.items():
+            known = out.get(names[i])
+            out[names[i]] = known | {"quantiles": facts["quantiles"]} if known else facts
+    return {n: facts | {"mode": _mode_text(types[n], facts["mode"])} for n, facts in out.items()}
+
+
+def _mode_text(dtype: T.DataType, mode) -> str:
+    """Times come as micros or days since 1970."""
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        moment = datetime(1970, 1, 1) + timedelta(microseconds=int(mode))
+        return moment.isoformat(" ").rstrip("0").rstrip(".") if moment.microsecond else moment.isoformat(" ")
+    if isinstance(dtype, T.DateType):
+        return (date(1970, 1, 1) + timedelta(days=int(mode))).isoformat()
+    return str(mode)
 
 
 def unique_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(column, unique): exact numbers of distinct non-null values."""
-    wanted = df.columns if names is None else names
-    return distinct_facts(df, wanted).select("column", "unique")
+    parts = [
+        g.table.groupBy("column_no").agg(F.count("*").alias("unique")).select(_named(g).alias("column"), "unique")
+        for g in frequency_groups(df, df.columns if names is None else names)
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def modes(df: DataFrame, names: list[str]) -> DataFrame:

@@ -13,11 +13,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablecare import fixed_values as fv
-from tablecare.config import ProfileConfig, settings
 from tablecare.functions.columns import check_names, col, families, nan_as_null
 from tablecare.functions.parsing import is_number
 from tablecare.functions.text import strip
-from tablecare.operators import frequencies, quantiles
+from tablecare.operators import frequencies
 from tablecare.operators.dedupe import count_duplicates
 
 TABLE_SCHEMA = (
@@ -31,14 +30,13 @@ QUARTILES = [0.25, 0.5, 0.75]
 
 
 class TableFacts:
-    """Facts about ``df``, computed on first use. Persist or stage ``df`` beforehand if
-    reading it is dear: the facts together read it four to six times, each time only
-    the columns concerned."""
+    """Facts about ``df``, computed on first use: one pass of aggregates, one table of counted
+    values, one count of whole rows, and one pass over numbers for outliers. Stage ``df``
+    beforehand if reading it is dear."""
 
-    def __init__(self, df: DataFrame, config=None):
+    def __init__(self, df: DataFrame):
         check_names(df)
         self.df = nan_as_null(df)
-        self.cfg = settings(ProfileConfig, config)
         self.spark: SparkSession = df.sparkSession
         self.names: list[str] = df.columns
         self.dtypes: dict[str, str] = dict(df.dtypes)
@@ -93,62 +91,24 @@ class TableFacts:
     def null_ratio(self, name: str) -> float:
         return self.nulls(name) / self.rows if self.rows else 0.0
 
-    @property
-    def _numeric_counts(self) -> dict[str, int]:
-        return {n: self.non_null[n] for n in self.of_family("numeric") if self.non_null[n]}
-
-    @property
-    def _quartiles_fit_in_memory(self) -> bool:
-        return sum(self._numeric_counts.values()) <= self.cfg.quantile_values_in_memory
-
     @cached_property
     def _distinct(self) -> dict[str, dict]:
-        """Per column with values: distinct values, and quartiles of numeric columns while
-        these are few enough to come along."""
+        """Distinct values, mode and quartiles of every column with values, booleans apart."""
         names = [n for n in self.names if self.non_null[n] and self.family[n] != "boolean"]
-        if not names:
-            return {}
-        types = {f.name: f.dataType for f in self.df.schema.fields}
-        numbers = []
-        if self._quartiles_fit_in_memory and not self.cfg.approx_quantiles:
-            numbers = [n for n in self._numeric_counts if frequencies.has_numbers(types[n])]
-        found = frequencies.distinct_facts(self.df, names, numbers, QUARTILES).collect()
-        return {r["column"]: r.asDict() for r in found}
+        return frequencies.distinct_facts(self.df, names, QUARTILES) if names else {}
 
     @cached_property
     def unique(self) -> dict[str, int]:
         """Distinct non-null values per column. Booleans are known from their counts."""
-        out = dict.fromkeys(self.names, 0)
+        out = dict.fromkeys(self.names, 0) | {n: f["unique"] for n, f in self._distinct.items()}
         for n in self.of_family("boolean"):
             out[n] = int(self._counts["true"][n] > 0) + int(self._counts["false"][n] > 0)
-        others = [n for n in self.names if self.family[n] != "boolean" and self.non_null[n]]
-        if others and self.cfg.approx_unique:
-            row = self.df.agg(
-                *[F.approx_count_distinct(col(n)).alias(f"u{i}") for i, n in enumerate(others)]
-            ).first()
-            out.update({n: row[f"u{i}"] for i, n in enumerate(others)})
-        elif others:
-            out.update({n: self._distinct[n]["unique"] for n in others})
         return out
 
     @cached_property
     def quartiles(self) -> dict[str, list[float]]:
         """[25 %, 50 %, 75 %] per numeric column that has values."""
-        counts = self._numeric_counts
-        if self.cfg.approx_quantiles:
-            return quantiles.approximate_quantiles(
-                self.df, list(counts), QUARTILES, self.cfg.approx_accuracy
-            )
-        out = {}
-        if self._quartiles_fit_in_memory and not self.cfg.approx_unique:
-            out = {n: self._distinct[n]["quantiles"] for n in counts}
-        left = {n: k for n, k in counts.items() if out.get(n) is None}
-        out.update(
-            quantiles.exact_quantiles(
-                self.df, left, QUARTILES, self.cfg.quantile_values_in_memory
-            )
-        )
-        return {n: out[n] for n in counts}
+        return {n: self._distinct[n]["quantiles"] for n in self.of_family("numeric") if n in self._distinct}
 
     def fences(self, name: str, factor: float) -> tuple[float, float]:
         q1, _, q3 = self.quartiles[name]
@@ -180,15 +140,12 @@ class TableFacts:
     def modes(self) -> dict[str, object]:
         """The mode of every boolean column, and (as text) of every text or time column
         that has both values and NULLs."""
-        out = {}
+        out: dict[str, object] = {}
         for n in self.of_family("boolean"):
             if self.non_null[n]:
                 out[n] = self._counts["true"][n] > self._counts["false"][n]
         wanted = [n for n in self.of_family("string", "datetime") if self.non_null[n] and self.nulls(n)]
-        if wanted:
-            found = frequencies.modes(self.df, wanted).collect()
-            out.update({r["column"]: r["mode"] for r in found})
-        return out
+        return out | {n: self._distinct[n]["mode"] for n in wanted}
 
     def null_pct(self, name: str) -> float:
         return round(self.null_ratio(name) * 100, 2)
@@ -233,12 +190,12 @@ def profile_rows(facts: TableFacts) -> list[dict]:
     ]
 
 
-def as_facts(table, config=None) -> TableFacts:
-    return table if isinstance(table, TableFacts) else TableFacts(table, config)
+def as_facts(table) -> TableFacts:
+    return table if isinstance(table, TableFacts) else TableFacts(table)
 
 
-def profile_table(table: DataFrame | TableFacts, config=None) -> DataFrame:
+def profile_table(table: DataFrame | TableFacts) -> DataFrame:
     """One row per column: type, nulls, distinct values and numeric statistics."""
-    facts = as_facts(table, config)
+    facts = as_facts(table)
     rows = [tuple(r.values()) for r in profile_rows(facts)]
     return facts.spark.createDataFrame(rows, TABLE_SCHEMA)

@@ -1,11 +1,16 @@
-"""Quality issues, the 0-100 quality score, and fix suggestions.
+"""Quality findings, the 0-100 score, and advice, as tables of rules over facts.
 
-All rules are thresholds over ``TableFacts``; nothing here reads the table again.
+A rule measures one thing about a scope, which is a column or the whole table. What it measures
+decides, by a ladder of limits, whether it is worth telling and how grave it is; what is told is
+a template over the scope. Nothing here reads the table again: scopes look facts up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablecare import fixed_values as fv
 from tablecare.config import QualityConfig, settings
@@ -13,85 +18,215 @@ from tablecare.operators.profile import TableFacts, as_facts
 
 ISSUE_SCHEMA = "column STRING, check STRING, severity STRING, message STRING, affected BIGINT"
 SUGGESTION_SCHEMA = "type STRING, severity STRING, scope STRING, message STRING, action STRING"
-SEVERITY_RANK = {"high": 0, "medium": 1, "low": 2}
-
-
-def _issue(column, check, severity, message, affected):
-    return {
-        "column": column,
-        "check": check,
-        "severity": severity,
-        "message": message,
-        "affected": affected,
-    }
-
-
-def check_missing(facts: TableFacts, cfg: QualityConfig) -> list[dict]:
-    issues = []
-    for n in facts.names:
-        pct = facts.null_pct(n)
-        if pct > cfg.null_warning_threshold:
-            severity = "critical" if pct > cfg.null_critical_threshold else "warning"
-            issues.append(
-                _issue(n, "missing_values", severity, f"{pct:.1f}% values missing", facts.nulls(n))
-            )
-    return issues
-
-
-def check_duplicates(facts: TableFacts, cfg: QualityConfig) -> list[dict]:
-    copies = facts.duplicate_rows
-    if not copies:
-        return []
-    return [_issue("all columns", "duplicates", "warning", f"{copies} duplicate rows", copies)]
 
 
-def check_constant(facts: TableFacts, cfg: QualityConfig) -> list[dict]:
-    message = "Column has only 1 unique value — no information"
-    return [
-        _issue(n, "constant_column", "warning", message, facts.rows)
-        for n in facts.names
-        if facts.unique[n] <= 1
+@dataclass(frozen=True)
+class Scope:
+    """A column, or with no name the whole table, as rules and their templates see it."""
+
+    facts: TableFacts
+    name: str | None = None
+    factor: float = fv.IQR_FACTOR
+
+    @property
+    def rows(self) -> int:
+        return self.facts.rows
+
+    @property
+    def values(self) -> int:
+        return self.facts.non_null[self.name]
+
+    @property
+    def gaps(self) -> int:
+        return self.facts.nulls(self.name)
+
+    @property
+    def gap_pct(self) -> float:
+        return self.facts.null_ratio(self.name) * 100
+
+    @property
+    def copies(self) -> int:
+        return self.facts.duplicate_rows
+
+    @property
+    def copy_pct(self) -> float:
+        return self.copies / self.rows * 100 if self.rows else 0.0
+
+    @property
+    def distinct(self) -> int:
+        return self.facts.unique[self.name]
+
+    @property
+    def uniform(self) -> bool:
+        return self.distinct < 2
+
+    @property
+    def kind(self) -> str:
+        return self.facts.family[self.name]
+
+    @property
+    def far_values(self) -> int:
+        return self.facts.outliers(self.factor).get(self.name, 0)
+
+    @property
+    def fences(self) -> str:
+        return "{:.2f} to {:.2f}".format(*self.facts.fences(self.name, self.factor))
+
+    @property
+    def number_share(self) -> float:
+        return self.facts.numbers[self.name] / self.values if self.kind == "string" and self.values else 0.0
+
+    @property
+    def number_pct(self) -> float:
+        return self.number_share * 100
+
+    @property
+    def filling(self) -> str:
+        """What could stand in for the gaps."""
+        if self.kind == "numeric":
+            return "its median, or its mean if both tails are alike"
+        common = self.facts.modes.get(self.name)
+        return "a word of their own" if common is None else f"its commonest value ({common}) or a word of their own"
+
+
+Ladder = tuple[tuple[float, str], ...]
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``measure`` of a scope, and from what it must exceed for which severity, gravest first."""
+
+    code: str
+    measure: Callable[[Scope], float]
+    ladder: Ladder
+    tells: str
+    remedy: str = ""
+    affects: Callable[[Scope], int] = lambda s: s.rows
+    whole_table: bool = False
+
+    def findings(self, facts: TableFacts, factor: float) -> Iterator[tuple[Scope, str]]:
+        scopes = [Scope(facts, None, factor)] if self.whole_table else [Scope(facts, n, factor) for n in facts.names]
+        for scope in scopes:
+            amount = self.measure(scope)
+            severity = next((word for limit, word in self.ladder if amount > limit), None)
+            if severity:
+                yield scope, severity
+
+
+def issue_rules(cfg: QualityConfig) -> dict[str, Rule]:
+    """The rules for issues, by code, in the order in which issues are listed."""
+    rules = [
+        Rule(
+            fv.MISSING,
+            lambda s: round(s.gap_pct, 2),
+            ((cfg.null_critical_threshold, "critical"), (cfg.null_warning_threshold, "warning")),
+            "{s.gaps} of {s.rows} values are absent",
+            affects=lambda s: s.gaps,
+        ),
+        Rule(
+            fv.DUPLICATES,
+            lambda s: s.copies,
+            ((0, "warning"),),
+            "{s.copies} rows are copies of other rows",
+            affects=lambda s: s.copies,
+            whole_table=True,
+        ),
+        Rule(fv.CONSTANT, lambda s: s.uniform, ((0, "warning"),), "no two values differ, so nothing can be learned from it"),
+        # By default the limits exclude each other: categorical columns have few values.
+        Rule(
+            fv.HIGH_CARDINALITY,
+            lambda s: s.distinct if s.facts.inferred_type(s.name) == "categorical" else 0,
+            ((cfg.high_cardinality_min_unique, "info"),),
+            "{s.distinct} categories are many",
+            affects=lambda s: s.distinct,
+        ),
     ]
-
-
-def check_high_cardinality(facts: TableFacts, cfg: QualityConfig) -> list[dict]:
-    """Kept as stated although the default limits exclude each other: categorical columns
-    have few values. ``suggest_high_cardinality`` is the rule that can speak up."""
-    return [
-        _issue(
-            n,
-            "high_cardinality",
-            "info",
-            f"{facts.unique[n]} unique values in categorical column",
-            facts.unique[n],
+    if cfg.enable_outlier_checks:
+        rules.append(
+            Rule(
+                fv.OUTLIERS,
+                lambda s: s.far_values,
+                ((0, "warning"),),
+                "{s.far_values} values lie more than {s.factor:g} interquartile ranges outside the quartiles",
+                affects=lambda s: s.far_values,
+            )
         )
-        for n in facts.names
-        if facts.inferred_type(n) == "categorical"
-        and facts.unique[n] > cfg.high_cardinality_min_unique
-    ]
+    return {r.code: r for r in rules}
 
 
-def check_outliers(facts: TableFacts, cfg: QualityConfig) -> list[dict]:
-    if not cfg.enable_outlier_checks:
-        return []
-    return [
-        _issue(n, "outliers", "warning", f"{count} outliers detected (IQR method)", count)
-        for n, count in facts.outliers(float(cfg.outlier_iqr_factor)).items()
-        if count
-    ]
-
+#: Severity words of advice, gravest first.
+GRAVITY = ("high", "medium", "low")
 
-CHECKS = (
-    check_missing, check_duplicates, check_constant, check_high_cardinality, check_outliers,
-)
+ADVICE = {
+    r.code: r
+    for r in (
+        Rule(
+            fv.MISSING,
+            lambda s: s.gap_pct,
+            ((fv.SUGGEST_MISSING_HIGH_PCT, "high"), (fv.SUGGEST_MISSING_MEDIUM_PCT, "medium"), (0, "low")),
+            "{s.gap_pct:.1f} % of {s.name} is absent",
+            "Put {s.filling} into the {s.gaps} gaps.",
+        ),
+        Rule(
+            fv.DUPLICATES,
+            lambda s: s.copy_pct,
+            ((fv.SUGGEST_DUPLICATES_HIGH_PCT, "high"), (0, "medium")),
+            "{s.copy_pct:.1f} % of the rows are copies",
+            "Keep one of each and let {s.copies} rows go.",
+            whole_table=True,
+        ),
+        Rule(
+            fv.CONSTANT,
+            lambda s: s.uniform,
+            ((0, "medium"),),
+            "{s.name} is the same in every row",
+            "Leave {s.name} out.",
+        ),
+        Rule(
+            fv.OUTLIERS,
+            lambda s: s.far_values if s.values >= fv.OUTLIER_MIN_VALUES else 0,
+            ((0, "medium"),),
+            "{s.far_values} values of {s.name} lie outside {s.fences}",
+            "Look at them, or limit {s.name} to {s.fences}.",
+        ),
+        Rule(
+            fv.TYPE_CONVERSION,
+            lambda s: s.number_share >= fv.SUGGEST_NUMERIC_RATE,
+            ((0, "low"),),
+            "{s.number_pct:.0f} % of the texts in {s.name} are numbers",
+            "Store {s.name} as numbers.",
+        ),
+        Rule(
+            fv.HIGH_CARDINALITY,
+            lambda s: s.distinct
+            if s.kind == "string" and s.values and s.distinct / s.values < fv.HIGH_CARDINALITY_MAX_RATIO
+            else 0,
+            ((fv.HIGH_CARDINALITY_MIN_UNIQUE, "low"),),
+            "{s.name} has {s.distinct} different texts that recur",
+            "Merge rare ones, or code them by how often or with what result they occur.",
+        ),
+    )
+}
 
 
-def quality_issues(table: DataFrame | TableFacts, config=None, checks=CHECKS) -> list[dict]:
+def quality_issues(table: DataFrame | TableFacts, config=None, checks=None) -> list[dict]:
+    """What is wrong, rule by rule; ``checks`` names the rules wanted, all by default."""
     facts, cfg = as_facts(table), settings(QualityConfig, config)
-    return [issue for check in checks for issue in check(facts, cfg)]
+    return [
+        {
+            "column": scope.name or fv.ALL_COLUMNS,
+            "check": rule.code,
+            "severity": severity,
+            "message": rule.tells.format(s=scope),
+            "affected": int(rule.affects(scope)),
+        }
+        for code, rule in issue_rules(cfg).items()
+        if checks is None or code in checks
+        for scope, severity in rule.findings(facts, float(cfg.outlier_iqr_factor))
+    ]
 
 
-def run_quality_checks(table: DataFrame | TableFacts, config=None, checks=CHECKS) -> DataFrame:
+def run_quality_checks(table: DataFrame | TableFacts, config=None, checks=None) -> DataFrame:
     facts = as_facts(table)
     issues = quality_issues(facts, config, checks)
     return facts.spark.createDataFrame([tuple(i.values()) for i in issues], ISSUE_SCHEMA)
@@ -100,40 +235,58 @@ def run_quality_checks(table: DataFrame | TableFacts, config=None, checks=CHECKS
 def quality_summary(issues: DataFrame) -> DataFrame:
     """One row: how many issues of each severity, and of any."""
     return issues.groupBy().agg(
-        *[
-            F.count_if(F.col("severity") == s).alias(s)
-            for s in ("critical", "warning", "info")
-        ],
+        *[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "warning", "info")],
         F.count("*").alias("total"),
     )
 
 
-# --- score -------------------------------------------------------------------
+def suggestions(table: DataFrame | TableFacts, rules=None) -> list[dict]:
+    """Advice, the gravest first and else in the order of rules and columns; none on empty tables."""
+    facts = as_facts(table)
+    if not facts.rows:
+        return []
+    found = [
+        {
+            "type": rule.code,
+            "severity": severity,
+            "scope": scope.name or fv.WHOLE_TABLE,
+            "message": rule.tells.format(s=scope),
+            "action": rule.remedy.format(s=scope),
+        }
+        for code, rule in ADVICE.items()
+        if rules is None or code in rules
+        for scope, severity in rule.findings(facts, fv.IQR_FACTOR)
+    ]
+    return sorted(found, key=lambda s: GRAVITY.index(s["severity"]))
 
 
-def _capped(weight_and_cap: tuple[float, float], amount: float) -> float:
-    weight, cap = weight_and_cap
-    return min(amount * weight, cap)
+def suggest(table: DataFrame | TableFacts, rules=None) -> DataFrame:
+    """Advice with its place in the list, since a table has no order of its own."""
+    facts = as_facts(table)
+    rows = [(i, *s.values()) for i, s in enumerate(suggestions(facts, rules), 1)]
+    return facts.spark.createDataFrame(rows, "place BIGINT, " + SUGGESTION_SCHEMA)
+
+
+# --- score -------------------------------------------------------------------
+
+#: What is counted against a table: a measure, its weight and the most it takes off.
+FLAWS: dict[str, tuple[Callable[[TableFacts], float], tuple[float, float]]] = {
+    "missing": (lambda f: sum(map(f.nulls, f.names)) / (f.rows * len(f.names)) * 100, fv.MISSING_PENALTY),
+    "duplicates": (lambda f: f.duplicate_rows / f.rows * 100, fv.DUPLICATE_PENALTY),
+    "constant": (lambda f: sum(Scope(f, n).uniform for n in f.names), fv.CONSTANT_PENALTY),
+    "outliers": (
+        lambda f: sum(far > 0 and f.non_null[n] >= fv.OUTLIER_MIN_VALUES for n, far in f.outliers().items()),
+        fv.OUTLIER_PENALTY,
+    ),
+}
 
 
 def penalties(table: DataFrame | TableFacts) -> dict[str, float]:
     """What each kind of flaw takes off the score."""
     facts = as_facts(table)
-    cells = facts.rows * len(facts.names)
-    if not cells:
-        return {"missing": 0.0, "duplicates": 0.0, "constant": 0.0, "outliers": 0.0}
-    missing = sum(facts.nulls(n) for n in facts.names)
-    constant = sum(1 for n in facts.names if facts.unique[n] <= 1)
-    wild = sum(
-        1
-        for n, count in facts.outliers().items()
-        if count and facts.non_null[n] >= fv.OUTLIER_MIN_VALUES
-    )
+    empty = not (facts.rows and facts.names)
     return {
-        "missing": _capped(fv.MISSING_PENALTY, missing / cells * 100),
-        "duplicates": _capped(fv.DUPLICATE_PENALTY, facts.duplicate_rows / facts.rows * 100),
-        "constant": _capped(fv.CONSTANT_PENALTY, constant),
-        "outliers": _capped(fv.OUTLIER_PENALTY, wild),
+        name: 0.0 if empty else min(measure(facts) * weight, most) for name, (measure, (weight, most)) in FLAWS.items()
     }
 
 
@@ -151,9 +304,7 @@ def quality_score(table: DataFrame | TableFacts) -> DataFrame:
     facts = as_facts(table)
     found = score_of(facts)
     row = (found["score"], found["grade"], *found["breakdown"].values())
-    schema = "score DOUBLE, grade STRING, " + ", ".join(
-        f"{name}_penalty DOUBLE" for name in found["breakdown"]
-    )
+    schema = "score DOUBLE, grade STRING, " + ", ".join(f"{name}_penalty DOUBLE" for name in found["breakdown"])
     return facts.spark.createDataFrame([row], schema)
 
 
@@ -199,153 +350,3 @@ def grade_columns(score: Column, critical: Column) -> dict[str, Column]:
             fv.REPORT_STATUS_CRITICAL, ladder(fv.REPORT_STATUSES, fv.REPORT_STATUS_LOWEST)
         ),
     }
-
-
-# --- suggestions -------------------------------------------------------------
-
-
-def _suggestion(kind, severity, scope, message, action):
-    return {
-        "type": kind, "severity": severity, "scope": scope, "message": message, "action": action,
-    }
-
-
-def suggest_missing(facts: TableFacts) -> list[dict]:
-    out = []
-    for n in facts.names:
-        pct = facts.null_ratio(n) * 100
-        if pct == 0:
-            continue
-        if facts.family[n] == "numeric":
-            advice = "Fill with median (skewed) or mean (normal)."
-        else:
-            mode = f'"{facts.modes[n]}"' if n in facts.modes else "unknown"
-            advice = f"Fill with mode ({mode}) or constant 'unknown'."
-        severity = "low"
-        if pct > fv.SUGGEST_MISSING_HIGH_PCT:
-            severity = "high"
-        elif pct > fv.SUGGEST_MISSING_MEDIUM_PCT:
-            severity = "medium"
-        out.append(
-            _suggestion(
-                "missing_values",
-                severity,
-                n,
-                f"'{n}' has {pct:.1f}% missing values.",
-                f"{advice} Current missing: {pct:.1f}%.",
-            )
-        )
-    return out
-
-
-def suggest_duplicates(facts: TableFacts) -> list[dict]:
-    copies = facts.duplicate_rows
-    if not copies:
-        return []
-    pct = copies / facts.rows * 100
-    return [
-        _suggestion(
-            "duplicates",
-            "high" if pct > fv.SUGGEST_DUPLICATES_HIGH_PCT else "medium",
-            "dataset",
-            f"{copies} duplicate rows detected ({pct:.1f}% of dataset).",
-            "Drop exact duplicates before analysis or modeling.",
-        )
-    ]
-
-
-def suggest_constant(facts: TableFacts) -> list[dict]:
-    return [
-        _suggestion(
-            "constant_column",
-            "medium",
-            n,
-            f"'{n}' has only 1 unique value — zero information content.",
-            f"Drop column '{n}'.",
-        )
-        for n in facts.names
-        if facts.unique[n] <= 1
-    ]
-
-
-def suggest_outliers(facts: TableFacts) -> list[dict]:
-    out = []
-    for n, count in facts.outliers().items():
-        if count and facts.non_null[n] >= fv.OUTLIER_MIN_VALUES:
-            low, high = facts.fences(n, fv.IQR_FACTOR)
-            out.append(
-                _suggestion(
-                    "outliers",
-                    "medium",
-                    n,
-                    f"'{n}' has {count} outliers outside IQR bounds [{low:.2f}, {high:.2f}].",
-                    f"Clip '{n}' to [{low:.2f}, {high:.2f}].",
-                )
-            )
-    return out
-
-
-def suggest_type_conversion(facts: TableFacts) -> list[dict]:
-    out = []
-    for n in facts.of_family("string"):
-        values = facts.non_null[n]
-        if values and facts.numbers[n] / values >= fv.SUGGEST_NUMERIC_RATE:
-            rate = facts.numbers[n] / values * 100
-            out.append(
-                _suggestion(
-                    "type_conversion",
-                    "low",
-                    n,
-                    f"'{n}' is stored as text but {rate:.0f}% of values are numeric.",
-                    f"Convert '{n}' to a number.",
-                )
-            )
-    return out
-
-
-def suggest_high_cardinality(facts: TableFacts) -> list[dict]:
-    return [
-        _suggestion(
-            "high_cardinality",
-            "low",
-            n,
-            f"'{n}' has {facts.unique[n]} unique values — high cardinality.",
-            "Consider target encoding, frequency encoding, or grouping rare categories.",
-        )
-        for n in facts.of_family("string")
-        if facts.non_null[n]
-        and facts.unique[n] > fv.HIGH_CARDINALITY_MIN_UNIQUE
-        and facts.unique[n] / facts.non_null[n] < fv.HIGH_CARDINALITY_MAX_RATIO
-    ]
-
-
-RULES = (
-    suggest_missing,
-    suggest_duplicates,
-    suggest_constant,
-    suggest_outliers,
-    suggest_type_conversion,
-    suggest_high_cardinality,
-)
-
-
-def suggestions(table: DataFrame | TableFacts, rules=RULES) -> list[dict]:
-    """All suggestions, the most severe first; the sort keeps rule and column order."""
-    facts = as_facts(table)
-    if not facts.rows:
-        return []
-    found = [s for rule in rules for s in rule(facts)]
-    return sorted(found, key=lambda s: SEVERITY_RANK[s["severity"]])
-
-
-def suggest(table: DataFrame | TableFacts, rules=RULES) -> DataFrame:
-    facts = as_facts(table)
-    rows = [tuple(s.values()) for s in suggestions(facts, rules)]
-    return _numbered(facts.spark, rows)
-
-
-def _numbered(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """Rows with their place in the list, since a table has no order of its own."""
-    return spark.createDataFrame(
-        [(i + 1, *r) for i, r in enumerate(rows)], "place BIGINT, " + SUGGESTION_SCHEMA
-    )

@@ -1,204 +1,68 @@
-"""Exact quantiles of any number of columns, without gathering a column anywhere.
+"""Exact quantiles, distinct counts and modes from one table of counted values.
 
-Spark's ``percentile`` keeps every distinct value of a column in one buffer,
-which is fine up to a checked size. Beyond it, each wanted order statistic is
-closed in, round by round: a small random sample of the values still in question
-proposes a few of them around the wanted rank, one pass counts all values below,
-at and between these, and the next round looks only where the rank must lie. The
-sample decides nothing, it only makes the interval shrink some hundred times per
-round, so the result is exact. Tasks pass on counts and a handful of values.
+The table (id, value, n) is dealt out by ranges of id and value and staged; equal ranges of rows
+are in one partition each, so none holds more than its share however a column is spread. Sums of
+``n`` by partition, one row each, tell which partition holds a wanted rank, and only those are
+sorted through. It is the same for any size: one shuffle and two reads of the staged table.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from tablecare.functions.columns import col
-
-# Values of one interval that may be sorted inside a single aggregate buffer.
-SORTABLE = 50_000
-# Expected size of the sample that proposes values, per interval.
-SAMPLE = 20_000
-# Where to propose values: distance from the wanted rank in standard errors of the sample.
-STEPS = (-4.0, -0.5, 0.5, 4.0)
-# Columns per job, to keep the number of counters per job moderate.
-BATCH = 8
-
-
-@dataclass
-class _Search:
-    """One order statistic: value number ``rank`` (from 0) of ``column``, known to lie
-    strictly between ``low`` and ``high``."""
-
-    column: str
-    rank: int
-    upto_low: int  # values at or below low
-    below_high: int  # values below high
-    low: float | None = None
-    high: float | None = None
-    found: float | None = None
-
-    @property
-    def inside(self) -> int:
-        return self.below_high - self.upto_low
-
-    def within(self) -> Column:
-        c = col(self.column).cast("double")
-        fits = c.isNotNull()
-        if self.low is not None:
-            fits = fits & (c > self.low)
-        if self.high is not None:
-            fits = fits & (c < self.high)
-        return F.when(fits, c)
-
-    def learn(self, value: float, below: int, upto: int) -> None:
-        """``below`` values of the column are less than ``value``, ``upto`` at most that."""
-        if below <= self.rank < upto:
-            self.found = value
-        elif upto <= self.rank and (self.low is None or value > self.low):
-            self.low, self.upto_low = value, upto
-        elif self.rank < below and (self.high is None or value < self.high):
-            self.high, self.below_high = value, below
-
-    @property
-    def key(self):
-        return self.column, self.low, self.high
-
-
-def exact_quantiles(
-    df: DataFrame,
-    counts: dict[str, int],
-    probabilities: list[float],
-    in_memory: int,
-    sortable: int = SORTABLE,
-) -> dict[str, list[float]]:
-    """Linearly interpolated quantiles per column.
-
-    ``counts`` gives the number of non-null values of each wanted column;
-    ``in_memory`` bounds how many values the one-pass aggregate may hold.
-    """
-    counts = {n: k for n, k in counts.items() if k}
-    if not counts:
-        return {}
-    if sum(counts.values()) <= in_memory:
-        wanted = F.array(*[F.lit(p) for p in probabilities])
-        row = df.agg(
-            *[F.percentile(col(n).cast("double"), wanted).alias(f"q{i}") for i, n in enumerate(counts)]
-        ).first()
-        return {n: list(row[f"q{i}"]) for i, n in enumerate(counts)}
-
-    ranks = {n: [p * (k - 1) for p in probabilities] for n, k in counts.items()}
-    searches = {
-        (n, r): _Search(n, r, 0, counts[n])
-        for n, positions in ranks.items()
-        for pos in positions
-        for r in (math.floor(pos), math.ceil(pos))
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tablecare.sources.staging import stage
+
+
+def counted_facts(counted: DataFrame, probabilities: list[float]) -> dict[int, dict]:
+    """Per id: ``unique`` (rows marked ``own``), ``mode`` (of the most frequent the smallest) and
+    ``quantiles`` (linearly interpolated), from (id, value DOUBLE, n, own)."""
+    ranged = stage(
+        counted.repartitionByRange("id", "value").withColumn("part", F.spark_partition_id()), "counted"
+    )
+    parts = ranged.groupBy("id", "part").agg(
+        F.sum("n").alias("inside"),
+        F.count_if("own").alias("unique"),
+        F.min(F.struct((-F.col("n")).alias("rank"), "value")).alias("top"),
+    )
+    before = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.withColumn("below", F.coalesce(F.sum("inside").over(before), F.lit(0))).orderBy("id", "part").collect()
+    out: dict[int, dict] = {}
+    for r in rows:
+        facts = out.setdefault(r["id"], {"total": 0, "unique": 0, "top": r["top"]})
+        facts["total"] += r["inside"]
+        facts["unique"] += r["unique"]
+        facts["top"] = min(facts["top"], r["top"])
+    places = {i: [p * (f["total"] - 1) for p in probabilities] for i, f in out.items()}
+    ranks = {(i, k) for i, at in places.items() for x in at for k in (math.floor(x), math.ceil(x))}
+    wanted = [
+        (r["id"], r["part"], k, k - r["below"])
+        for r in rows
+        for i, k in ranks
+        if i == r["id"] and r["below"] <= k < r["below"] + r["inside"]
+    ]
+    found = _picked(ranged, wanted) if wanted else {}
+
+    def quantile(i: int, at: float) -> float:
+        low, high = found[i, math.floor(at)], found[i, math.ceil(at)]
+        return low if low == high else low + (high - low) * (at - math.floor(at))
+
+    return {
+        i: {"unique": f["unique"], "mode": f["top"]["value"], "quantiles": [quantile(i, x) for x in places[i]]}
+        for i, f in out.items()
     }
-    names = list(counts)
-    for start in range(0, len(names), BATCH):
-        batch = names[start:start + BATCH]
-        _run(df, [s for (n, _), s in searches.items() if n in batch], sortable)
-
-    def interpolate(n, pos):
-        below, above = math.floor(pos), math.ceil(pos)
-        a, b = searches[n, below].found, searches[n, above].found
-        return a if a == b else a + (b - a) * (pos - below)
-
-    return {n: [interpolate(n, pos) for pos in positions] for n, positions in ranks.items()}
-
-
-def _run(df: DataFrame, searches: list[_Search], sortable: int) -> None:
-    while wide := [s for s in searches if s.found is None and s.inside > sortable]:
-        _narrow(df, wide)
-    _sort_rest(df, [s for s in searches if s.found is None])
-
-
-def _narrow(df: DataFrame, searches: list[_Search]) -> None:
-    """One round: propose values around each rank and count the column's values around them."""
-    proposed = _propose(df, searches)
-    edges = [(n, v) for n, values in proposed.items() for v in values]
-    if not edges:
-        return
-    tallies = []
-    for i, (n, v) in enumerate(edges):
-        c = col(n).cast("double")
-        tallies += [F.count_if(c < v).alias(f"below{i}"), F.count_if(c <= v).alias(f"upto{i}")]
-    counted = df.agg(*tallies).first()
-    for i, (n, v) in enumerate(edges):
-        for s in searches:
-            if s.column == n and s.found is None:
-                s.learn(v, counted[f"below{i}"], counted[f"upto{i}"])
-
-
-def _propose(df: DataFrame, searches: list[_Search]) -> dict[str, set[float]]:
-    """Per column a few values around each wanted rank: quantiles of a sample per interval."""
-    intervals: dict[tuple, list[_Search]] = {}
-    for s in searches:
-        intervals.setdefault(s.key, []).append(s)
-    drawn = df.withColumn("__draw", F.rand())
-    picks = []
-    for i, members in enumerate(intervals.values()):
-        inside = members[0].inside
-        sample = F.when(F.col("__draw") < min(1.0, SAMPLE / inside), members[0].within())
-        shares = set()
-        for s in members:
-            # Places in the sample, so that neighbouring ranks propose the same values.
-            size = min(SAMPLE, inside)
-            at = (s.rank - s.upto_low + 0.5) / inside
-            error = math.sqrt(size * at * (1 - at)) + 1
-            places = [round(size * at + step * error) / size for step in STEPS]
-            shares.update(min(1.0, max(0.0, p)) for p in places)
-        picks.append(F.percentile(sample, F.array(*[F.lit(x) for x in sorted(shares)])).alias(f"p{i}"))
-    row = drawn.agg(*picks).first()
-    proposed: dict[str, set[float]] = {}
-    for i, (column, _, _) in enumerate(intervals):
-        values = [v for v in row[f"p{i}"] or [] if not math.isnan(v)]
-        proposed.setdefault(column, set()).update(values)
-    return proposed
-
-
-def _sort_rest(df: DataFrame, searches: list[_Search]) -> None:
-    """Every interval left holds few values: sort each one inside an aggregate.
-
-    Ranks that look at the same interval share its buffer, and a job takes only
-    as many intervals as fit the size one interval may have ten times over.
-    """
-    intervals = {}
-    for s in searches:
-        intervals.setdefault(s.key, []).append(s)
-    jobs, held = [], math.inf
-    for members in intervals.values():
-        if held + members[0].inside > 10 * SORTABLE:
-            jobs.append([])
-            held = 0
-        jobs[-1].append(members)
-        held += members[0].inside
-    for job in jobs:
-        picks = []
-        for i, members in enumerate(job):
-            values = F.sort_array(F.collect_list(members[0].within()))
-            ranks = F.array(*[F.get(values, F.lit(s.rank - s.upto_low)) for s in members])
-            picks.append(ranks.alias(f"v{i}"))
-        row = df.agg(*picks).first()
-        for i, members in enumerate(job):
-            for s, value in zip(members, row[f"v{i}"]):
-                s.found = value
 
 
-def approximate_quantiles(
-    df: DataFrame, names: list[str], probabilities: list[float], accuracy: int
-) -> dict[str, list[float]]:
-    if not names:
-        return {}
-    row = df.agg(
-        *[
-            F.percentile_approx(
-                col(n).cast("double"), F.array(*[F.lit(p) for p in probabilities]), accuracy
-            ).alias(f"q{i}")
-            for i, n in enumerate(names)
-        ]
-    ).first()
-    return {n: list(row[f"q{i}"]) for i, n in enumerate(names) if row[f"q{i}"] is not None}
+def _picked(ranged: DataFrame, wanted: list[tuple]) -> dict[tuple[int, int], float]:
+    """The values of given ranks: (id, part, rank, rank within the part)."""
+    looked_for = ranged.sparkSession.createDataFrame(wanted, "id INT, part INT, k BIGINT, inner BIGINT")
+    upto = F.sum("n").over(Window.partitionBy("id", "part").orderBy("value"))
+    places = (
+        ranged.join(F.broadcast(looked_for.select("id", "part").distinct()), ["id", "part"], "left_semi")
+        .groupBy("id", "part", "value")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("upto", upto)
+    )
+    hits = places.join(F.broadcast(looked_for), ["id", "part"]).where("upto - n <= inner AND inner < upto")
+    return {(r["id"], r["k"]): r["value"] for r in hits.select("id", "k", "value").collect()}

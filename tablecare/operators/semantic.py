@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablecare import fixed_values as fv
 from tablecare.config import SemanticConfig, settings
@@ -94,24 +94,17 @@ def melt(df: DataFrame, names: list[str], *extra: Column) -> DataFrame:
     return df.select(*extra, F.stack(F.lit(len(names)), *cells).alias("column_no", "value"))
 
 
-def match_counts(
-    df: DataFrame, names: list[str] | None = None, config=None, row_id: str | None = None
-) -> DataFrame:
+def match_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """One row per text column: cells, non-blank values and accepted values per detector.
 
     The table is melted before it is aggregated, so the plan stays the same
     size however many columns there are; only one row per column and task is
     shuffled.
     """
-    cfg = settings(SemanticConfig, config)
     names = text_columns(df) if names is None else names
-    if cfg.sample_size is None:
-        cells = melt(df, names)
-    else:
-        cells = _sampled(df, names, cfg.sample_size, row_id)
     labels = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
     return (
-        cells.withColumn("text", strip(F.col("value")))
+        melt(df, names).withColumn("text", strip(F.col("value")))
         .withColumn("lower", F.lower("text"))
         .groupBy("column_no")
         .agg(
@@ -123,23 +116,6 @@ def match_counts(
     )
 
 
-def _sampled(df: DataFrame, names: list[str], k: int, row_id: str | None) -> DataFrame:
-    """The ``k`` non-blank cells per column with the smallest hash: a repeatable sample."""
-    if row_id is None:
-        raise ValueError("sampling needs a row id, or equal values would be drawn together")
-    cells = melt(df, names, col(row_id).alias("__row")).filter(strip(F.col("value")) != "")
-    cells = cells.withColumn("__hash", F.xxhash64("__row", "value"))
-
-    def smallest(table: DataFrame, *groups) -> DataFrame:
-        draw = Window.partitionBy(*groups).orderBy("__hash", "__row")
-        ranked = table.withColumn("__rank", F.row_number().over(draw))
-        return ranked.filter(F.col("__rank") <= k).drop("__rank")
-
-    # First within slices of a column, so that no task sees more than a slice of it.
-    sliced = cells.withColumn("__slice", F.pmod("__hash", F.lit(1024)))
-    return smallest(smallest(sliced, "column_no", "__slice"), "column_no")
-
-
 def semantic_profile(df: DataFrame, config=None, row_id: str | None = None) -> SemanticProfile:
     """Classify every column of ``df``; runs one aggregate job."""
     check_names(df)
@@ -147,7 +123,7 @@ def semantic_profile(df: DataFrame, config=None, row_id: str | None = None) -> S
     names = [n for n in text_columns(df) if n != row_id]
     counts = {}
     if names:
-        counts = {r["column"]: r.asDict() for r in match_counts(df, names, cfg, row_id).collect()}
+        counts = {r["column"]: r.asDict() for r in match_counts(df, names).collect()}
     return profile_from_counts(df, counts, cfg, skip=row_id)
 
 

@@ -26,8 +26,19 @@ class AuditResult:
     suggestions: list[dict]
     cleaned: Cleaned
     coerced: Coerced
-    report: dict
-    summary: dict
+    lines: report.Lines  # the report, line by line
+
+    @property
+    def report(self) -> dict:
+        """The report as one document for JSON."""
+        return report.document(self.lines)
+
+    @property
+    def summary(self) -> dict:
+        return report.audit_summary(self.lines)
+
+    def report_df(self) -> DataFrame:
+        return report.report_table(self.spark, self.lines)
 
     @property
     def clean_df(self) -> DataFrame:
@@ -46,17 +57,18 @@ class AuditResult:
         return self.spark.createDataFrame(rows, quality.ISSUE_SCHEMA)
 
     def summary_df(self) -> DataFrame:
+        summary = self.summary
         schema = ", ".join(
             f"{k} {'STRING' if isinstance(v, str) else 'DOUBLE' if isinstance(v, float) else 'BIGINT'}"
-            for k, v in self.summary.items()
+            for k, v in summary.items()
         )
-        return self.spark.createDataFrame([tuple(self.summary.values())], schema)
+        return self.spark.createDataFrame([tuple(summary.values())], schema)
 
 
 def audit_table(df: DataFrame, config=None) -> AuditResult:
     """Run the whole audit on ``df``. Errors are raised, not wrapped."""
     cfg = settings(AuditConfig, config)
-    facts = TableFacts(df, cfg.profile)
+    facts = TableFacts(df)
     issues = quality.quality_issues(facts, cfg.quality)
     score = quality.score_of(facts)
     advice = quality.suggestions(facts)
@@ -65,11 +77,8 @@ def audit_table(df: DataFrame, config=None) -> AuditResult:
     else:
         cleaned = cleaning.clean(facts, cfg.filter, cfg.missing)
     coerced = coerce_types(cleaned.df, cfg.coercion)
-    document = report.audit_report(facts, issues, score, advice, cleaned, coerced, cfg.report)
-    summary = report.audit_summary(facts, score, cleaned, coerced)
-    return AuditResult(
-        df.sparkSession, facts, issues, score, advice, cleaned, coerced, document, summary
-    )
+    lines = report.audit_lines(facts, issues, score, advice, cleaned, coerced, cfg.report)
+    return AuditResult(df.sparkSession, facts, issues, score, advice, cleaned, coerced, lines)
 
 
 def audit_csv(
@@ -84,9 +93,8 @@ def audit_csv(
     """Audit CSV files: read, type, audit, and optionally save the cleaned table as CSV."""
     loaded = read_audit_csv(spark, path, sep, encoding, multi_line)
     result = audit_table(loaded.df, config)
-    result.report["load"] = {
-        **loaded.meta, "original_rows": result.facts.rows, "original_cols": len(result.facts.names),
-    }
+    result.lines += [("load", k, v) for k, v in loaded.meta.items()]
+    result.lines.append(("load", "malformed_rows", loaded.malformed.count()))
     if save_clean:
         write_clean(result.clean_df, save_clean)
     return result

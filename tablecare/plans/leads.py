@@ -113,12 +113,9 @@ def _first_look(df: DataFrame, cfg: SemanticConfig, row_id: str):
     names = [n for n in semantic.text_columns(df) if n != row_id]
     if not names:
         return semantic.profile_from_counts(df, {}, cfg, row_id), {}, df.count()
-    found = semantic.match_counts(df, names, cfg, row_id).collect()
+    found = semantic.match_counts(df, names).collect()
     cells = {r["column"]: r.asDict() for r in found}
-    if cfg.sample_size is None:
-        rows = max((c["n_rows"] for c in cells.values()), default=0)
-    else:
-        rows = df.count()
+    rows = max((c["n_rows"] for c in cells.values()), default=0)
     return semantic.profile_from_counts(df, cells, cfg, row_id), cells, rows
 
 
@@ -142,10 +139,8 @@ class _Look:
         the columns changed otherwise are judged again."""
         if self._judged is None:
             self._judged = self.before
-            if self.touched and self.cfg.sample_size is not None:
-                self._judged = semantic.semantic_profile(self.table, self.cfg, self.row_id)
-            elif self.touched:
-                found = semantic.match_counts(self.table, list(self.touched), self.cfg).collect()
+            if self.touched:
+                found = semantic.match_counts(self.table, list(self.touched)).collect()
                 cells = {**self.cells, **{r["column"]: r.asDict() for r in found}}
                 self._judged = semantic.profile_from_counts(self.table, cells, self.cfg, self.row_id)
         return self._judged
@@ -157,8 +152,8 @@ def _second_look(df, cfg: LeadConfig, profile, cells, row_id) -> _Look:
     Formatting leaves the email columns what they were but for two oddities,
     which the same aggregate watches for: letters outside ASCII that turn into
     ASCII ones in lower case, and name columns (or their split parts) with enough
-    addresses among the names. Only then, or when columns are judged by a sample,
-    are the formatted columns judged again before validation.
+    addresses among the names. Only then are the formatted columns judged again
+    before validation.
     """
     judge, checks = settings(SemanticConfig, cfg.semantic), settings(ValidationConfig, cfg.validation)
     look, plan, counted = _Look(df, (), profile, cells, judge, row_id), None, []
@@ -167,15 +162,14 @@ def _second_look(df, cfg: LeadConfig, profile, cells, row_id) -> _Look:
         plan = normalize.plan_format(df, profile, style, row_id)
         look.table, look.touched, counted = plan.table, plan.touched, list(plan.changes)
         look.formatting = dict.fromkeys(counted, 0)
-        if style.trim_whitespace and judge.sample_size is None:
+        if style.trim_whitespace:
             # The first look has counted these cells; again would mean reading all text.
             counted.remove("whitespace_fixes")
             look.formatting["whitespace_fixes"] = sum(c["n_untrimmed"] for c in cells.values())
-    sampled = judge.sample_size is not None
-    look.emails = look.judged() if sampled else profile
+    look.emails = profile
     names = validate.email_columns(look.table, look.emails) if cfg.run_validation else []
 
-    watched = [] if sampled else [n for n in look.touched if n not in profile.of_type("email")]
+    watched = [n for n in look.touched if n not in profile.of_type("email")]
     seen, aggregates = df, []
     if plan:
         counts = {f"f_{k}": plan.changes[k] for k in counted}
@@ -198,7 +192,7 @@ def _second_look(df, cfg: LeadConfig, profile, cells, row_id) -> _Look:
         _may_be_email(n, row[f"w_hits{i}"], row[f"w_values{i}"], judge)
         for i, n in enumerate(watched)
     )
-    if doubtful and not sampled:
+    if doubtful:
         look.emails = look.judged()
         final = validate.email_columns(look.table, look.emails) if cfg.run_validation else []
         if final != names:
