@@ -5,7 +5,7 @@ The files go to the session's shared checkpoint folder, one new folder per run.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from catalog.leads import _CLEAN_LEADS
 from catalog.registry import query
@@ -17,6 +17,7 @@ from tablecare.sources import csv as csv_source
 from tablecare.sources import sinks
 from tablecare.sources.staging import new_path, with_row_id
 
+LINE_KEY = ("l_orderkey", "l_linenumber")
 _NA = ", ".join(f"'{t}'" for t in fv.NA_TOKENS)
 
 
@@ -30,7 +31,7 @@ def read_leads(spark, sf_dir):
     """Text stays text; empty cells come back as missing."""
     path = new_path(spark, "leads-csv")
     sinks.write_table(view(spark, sf_dir, "leads"), path)
-    return csv_source.read_leads(spark, path)
+    return csv_source.read_leads(spark, path).df
 
 
 @query(
@@ -41,7 +42,7 @@ def read_leads(spark, sf_dir):
 def read_leads_typed(spark, sf_dir):
     path = new_path(spark, "leads-csv")
     sinks.write_table(view(spark, sf_dir, "leads"), path)
-    return csv_source.read_leads(spark, path, infer_schema=True)
+    return csv_source.read_leads(spark, path, infer_schema=True).df
 
 
 
@@ -55,7 +56,7 @@ def csv_na_tokens(spark, sf_dir):
     path = new_path(spark, "na-csv")
     word = F.get(tokens, (F.col("p_partkey") % len(fv.NA_TOKENS)).cast("int")).alias("word")
     sinks.write_table(table(spark, sf_dir, "part").select("p_partkey", word, "p_name"), path)
-    return csv_source.read_leads(spark, path)
+    return csv_source.read_leads(spark, path).df
 
 
 @query(
@@ -85,14 +86,15 @@ def _ragged(spark, sf_dir):
         .when(F.col("o_orderpriority") == "5-LOW", F.concat(key, F.lit(',"a,b ""c""",'), key))
         .otherwise(F.concat(key, F.lit(",plain,"), key))
     )
-    # The key is the text writer's partition, so that each file starts with its header.
-    rows = table(spark, sf_dir, "orders").select(line.alias("value"), "o_orderstatus")
-    header = rows.select(F.lit(" id ,what, value").alias("value"), "o_orderstatus").distinct()
-    lines = header.withColumn("n", F.lit(0)).unionByName(rows.withColumn("n", F.lit(1)))
-    lines.repartition(3, "o_orderstatus").sortWithinPartitions("o_orderstatus", "n").drop("n").write.partitionBy(
-        "o_orderstatus"
-    ).text(path)
-    return f"{path}/*"
+    return _written(table(spark, sf_dir, "orders").select(line.alias("line"), "o_orderkey"), path, " id ,what, value")
+
+
+def _written(lines: DataFrame, path: str, header: str) -> str:
+    """Text files with a header each: Spark's CSV writer writes the lines as single cells."""
+    lines.select(F.col("line").alias(header)).write.options(
+        header=True, sep="\x01", quote="\x02", escape="\x02", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    return path
 
 
 @query(
@@ -134,8 +136,8 @@ def csv_unnamed_columns(spark, sf_dir):
 
 @query(
     "csv_load_metadata",
-    """SELECT 'UTF-8' AS encoding, '|' AS delimiter, count(*) AS original_rows, 4 AS original_cols
-FROM supplier""",
+    """SELECT 'UTF-8' AS encoding, '|' AS delimiter, count(*) AS original_rows, 4 AS original_cols,
+  0::BIGINT AS malformed_rows FROM supplier""",
 )
 def csv_load_metadata(spark, sf_dir):
     path = new_path(spark, "supplier-csv")
@@ -150,7 +152,7 @@ def csv_load_metadata(spark, sf_dir):
 FROM (SELECT o_orderstatus AS status FROM orders) GROUP BY status""",
 )
 def csv_delimiters(spark, sf_dir):
-    """One folder, one delimiter per file; commas inside quotes do not count."""
+    """Many files for each of three delimiters; commas inside quotes do not count."""
     path = new_path(spark, "delimiters")
     sep = F.when(F.col("o_orderstatus") == "F", ";").when(F.col("o_orderstatus") == "O", "\t")
     cells = F.array(
@@ -160,26 +162,101 @@ def csv_delimiters(spark, sf_dir):
     line = F.array_join(cells, "@")
     line = F.replace(line, F.lit("@"), sep.otherwise("|"))
     orders = table(spark, sf_dir, "orders").select(line.alias("value"), "o_orderstatus")
-    orders.repartition(1).write.partitionBy("o_orderstatus").text(path)
+    orders.write.partitionBy("o_orderstatus").text(path)
     found = csv_source.infer_delimiters(spark, f"{path}/*")
     status = F.regexp_extract("file", "o_orderstatus=([A-Z])", 1).alias("status")
-    return found.select(status, "delimiter", "lines", "agreeing_lines")
+    return found.groupBy(status, "delimiter").agg(
+        F.sum("lines").alias("lines"), F.sum("agreeing_lines").alias("agreeing_lines")
+    )
+
+
+@query(
+    "csv_quoted_breaks",
+    """SELECT c_custkey::VARCHAR AS c_custkey,
+  CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(10) || '"' || c_mktsegment || '", ' || chr(10) ELSE c_name END AS note
+FROM customer""",
+)
+def csv_quoted_breaks(spark, sf_dir):
+    """Cells with line breaks, quotes and commas come back whole, without being asked for."""
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    note = F.when(F.col("c_custkey") % 3 == 0, F.concat(name, F.lit('\n"'), segment, F.lit('", \n'))).otherwise(name)
+    path = new_path(spark, "breaks-csv")
+    sinks.write_table(table(spark, sf_dir, "customer").select("c_custkey", note.alias("note")), path)
+    return csv_source.read_leads(spark, path).df
+
+
+@query(
+    "csv_mixed_headers",
+    """SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer
+UNION ALL SELECT s_suppkey::VARCHAR, s_name, NULL FROM supplier""",
+)
+def csv_mixed_headers(spark, sf_dir):
+    """Files of a folder that have other columns, in another order."""
+    path = new_path(spark, "mixed-csv")
+    sinks.write_table(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name"), f"{path}/one")
+    supplier = table(spark, sf_dir, "supplier")
+    sinks.write_table(
+        supplier.select(F.col("s_name").alias("c_name"), F.col("s_suppkey").alias("c_custkey")), f"{path}/two"
+    )
+    return csv_source.read_leads(spark, [f"{path}/one", f"{path}/two"]).df.select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query(
+    "lead_malformed_counts",
+    """SELECT count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS original_rows,
+  count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS malformed_rows FROM orders""",
+)
+def lead_malformed_counts(spark, sf_dir):
+    """Rows with more cells than the header are counted, not lost."""
+    return csv_source.read_leads(spark, _ragged(spark, sf_dir)).counts().select("original_rows", "malformed_rows")
+
+
+@query(
+    "csv_windows_1252",
+    """SELECT s_suppkey, '“' || s_name || '” – 5 €' AS "näme" FROM supplier""",
+)
+def csv_windows_1252(spark, sf_dir):
+    """Typographic quotes, dashes and the euro sign, in the header too."""
+    text = F.concat(F.lit("\x93"), F.col("s_name"), F.lit("\x94 \x96 5 \x80"))
+    path = new_path(spark, "cp1252-csv")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("näme"))
+    rows.write.options(header=True, encoding="ISO-8859-1").csv(path)
+    return csv_source.read_audit_csv(spark, path, sep=",", encoding="windows-1252").df
 
 
 @query(
     "row_ids",
-    """SELECT count(*) AS n_rows, count(*) AS n_ids, count(*) AS n_same_on_rerun FROM lineitem""",
+    """SELECT count(*) AS n_rows, count(*) AS n_ids, 0::BIGINT AS n_out_of_order FROM lineitem""",
 )
 def row_ids(spark, sf_dir):
-    """Row ids of a table without a key: one per row, and the same on every read."""
-    df = with_row_id(table(spark, sf_dir, "lineitem"), "row_id").select("row_id")
-    again = df.select(F.col("row_id").alias("again"))
-    both = df.join(again, F.col("row_id") == F.col("again"), "left")
-    return both.agg(
-        F.count("*").alias("n_rows"),
-        F.count_distinct("row_id").alias("n_ids"),
-        F.count("again").alias("n_same_on_rerun"),
+    """Row ids of files that are numbered by their names, of growing sizes: one per row, in order."""
+    path = new_path(spark, "ordered")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.xxhash64(*LINE_KEY).alias("key"))
+    share = F.when(F.pmod("key", F.lit(100)) < 2, "a").when(F.pmod("key", F.lit(100)) < 20, "b").otherwise("c")
+    lines.withColumn("part", share).write.partitionBy("part").parquet(path)
+    files = [f"{path}/part={p}" for p in "cab"]
+    df = with_row_id(spark.read.parquet(*files).withColumn("part", F.regexp_extract(F.input_file_name(), "part=(.)", 1)), "row_id")
+    spans = df.groupBy("part").agg(F.min("row_id").alias("low"), F.max("row_id").alias("high")).alias("x")
+    late = spans.join(spans.alias("y"), F.expr("x.part < y.part AND x.high >= y.low")).agg(F.count("*").alias("n_out_of_order"))
+    return df.agg(F.count("*").alias("n_rows"), F.count_distinct("row_id").alias("n_ids")).crossJoin(late)
+
+
+@query(
+    "lead_dedupe_two_files",
+    """SELECT c_custkey::VARCHAR AS id, 'a' AS file FROM customer WHERE c_custkey % 50 = 0
+UNION ALL SELECT c_custkey::VARCHAR, 'b' FROM customer WHERE c_custkey % 50 <> 0""",
+)
+def lead_dedupe_two_files(spark, sf_dir):
+    """Of rows with the same address the one in the first file stays, though that file is small."""
+    path = new_path(spark, "two-files")
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit("u"), "c_custkey", F.lit("@x.org")).alias("email")
     )
+    small = rows.where(F.col("id") % 50 == 0).withColumn("file", F.lit("a"))
+    sinks.write_table(small, f"{path}/a")
+    sinks.write_table(rows.withColumn("file", F.lit("b")), f"{path}/b")
+    steps = {"run_formatting": False}
+    return process_leads(csv_source.read_leads(spark, [f"{path}/b", f"{path}/a"]), steps).clean.select("id", "file")
 
 
 @query(
@@ -193,7 +270,7 @@ def lead_outputs_clean(spark, sf_dir):
     """The whole lead plan written to disk, and its clean rows read back."""
     path = new_path(spark, "lead-outputs")
     sinks.write_lead_outputs(process_leads(view(spark, sf_dir, "leads"), row_id="row_id"), path)
-    return csv_source.read_leads(spark, f"{path}/crm_ready")
+    return csv_source.read_leads(spark, f"{path}/crm_ready").df
 
 
 @query(
@@ -206,7 +283,7 @@ def lead_outputs_clean(spark, sf_dir):
 def lead_outputs_rejected(spark, sf_dir):
     path = new_path(spark, "lead-outputs")
     sinks.write_lead_outputs(process_leads(view(spark, sf_dir, "leads"), row_id="row_id"), path)
-    return csv_source.read_leads(spark, f"{path}/rejected")
+    return csv_source.read_leads(spark, f"{path}/rejected").df
 
 
 @query(

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecare.sources.staging import spread
-
 # Contacts of customers: names in every case, blank, malformed, shared and role addresses.
 LEADS = """
 SELECT c_custkey AS row_id,
@@ -102,14 +100,14 @@ VIEWS = {
 
 
 # Tables whose rows take much work per byte (text is matched against patterns) and the
-# columns that tell their rows apart: each given file is a single row group, so one core
-# would do all of that work.
+# columns that tell their rows apart. Each given file is a single row group, which is one task
+# however large, so the queries deal these tables out; tables in many pieces need no such thing.
 TEXT_HEAVY = {"orders": "o_orderkey", "customer": "c_custkey", "documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, TEXT_HEAVY[name]) if name in TEXT_HEAVY else df
+    return df.repartition(TEXT_HEAVY[name]) if name in TEXT_HEAVY else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -87,7 +87,7 @@ def audit_csv(
     config=None,
     sep: str | None = None,
     encoding: str = "UTF-8",
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     save_clean: str | None = None,
 ) -> AuditResult:
     """Audit CSV files: read, type, audit, and optionally save the cleaned table as CSV."""

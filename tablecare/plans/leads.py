@@ -22,6 +22,7 @@ from tablecare.functions.detectors import TESTS
 from tablecare.functions.text import strip
 from tablecare.operators import dedupe, normalize, semantic, validate
 from tablecare.operators.semantic import SemanticProfile
+from tablecare.sources.csv import LoadedCsv
 from tablecare.sources.staging import with_row_id
 
 GIVEN_ROW_ID = "__row_id"
@@ -58,13 +59,17 @@ class LeadResult:
         return self._report
 
 
-def process_leads(df: DataFrame, config=None, row_id: str | None = None) -> LeadResult:
+def process_leads(df: DataFrame | LoadedCsv, config=None, row_id: str | None = None) -> LeadResult:
     """Recognise columns, format, validate, deduplicate.
 
     ``row_id`` names a column that says which row came first; it must be unique
-    and the same on every run. Without one the table is staged with fresh ids,
-    which the results do not show.
+    and the same on every run. Without one the table is staged with ids that follow
+    files and lines, which the results do not show. The report of files that were read
+    (``read_leads``) tells how many rows did not fit.
     """
+    apart = None
+    if isinstance(df, LoadedCsv):
+        apart, df = df.malformed.count(), df.placed if row_id is None else df.df
     if not isinstance(df, DataFrame):
         raise TypeError(f"expected a Spark DataFrame, got {type(df).__name__}")
     cfg = settings(LeadConfig, config)
@@ -87,6 +92,8 @@ def process_leads(df: DataFrame, config=None, row_id: str | None = None) -> Lead
         "validation": look.validation,
         "deduplication": {},
     }
+    if apart is not None:
+        counts["malformed_rows"] = apart
     valid = look.table
     rejected = spark.createDataFrame([], T.StructType([]))
     if cfg.run_validation:

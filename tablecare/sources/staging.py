@@ -1,31 +1,26 @@
-"""Tables written to the cluster's shared checkpoint folder, and row ids fixed that way.
+"""Tables written to the cluster's shared folder, and row ids fixed that way.
 
-A staged table is plain parquet in the folder that ``spark.checkpoint.dir``
-names. It outlives executors, its rows never change on a re-run, and later jobs
-read only the columns they need. Whoever owns the folder clears it.
+A staged table is plain parquet in the folder that ``spark.checkpoint.dir`` names, or, where that
+is unset, in the session's warehouse. Both are folders that all executors share. It outlives
+executors, its rows never change on a re-run, and later jobs read only the columns they need.
+Whoever owns the folder clears it.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-_local_folder: str | None = None
+#: The file and the block of a row, where a reader has kept them.
+PLACE = ("__file", "__block")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for staged tables. Only a local session may fall back to a temporary one."""
-    global _local_folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="tablecare-")
-    return _local_folder
+    """The folder for staged tables."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -39,26 +34,30 @@ def stage(df: DataFrame, label: str = "staged") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` in at least as many partitions as the session has cores.
-
-    For tables read straight from files. A file of one row group is one partition
-    however large it is, so all work on its rows would be left to one core. Tables
-    in enough pieces, as any large one is, come back untouched. Rows are dealt out
-    by the hash of ``keys``, so that a re-run task gets the same rows again.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """``df`` with a row id that grows in reading order, staged so that it never changes.
+    """``df``, staged, with a row id that grows in reading order.
 
-    Ids made on the fly depend on how a run cuts the input into partitions; a
-    second run of the same plan might number rows differently.
+    The order is that of file paths, of blocks in a file, and of rows in a block, whatever the
+    sizes of files and splits; Spark itself packs files by size. Tables that do not come straight
+    from files are numbered in the order of their partitions. Ids made on the fly would depend on
+    how a run cuts the input; staged ones never change.
     """
     if any(n.lower() == name.lower() for n in df.columns):
         raise ValueError(f"column {name!r} exists already")
-    return stage(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+    number = F.monotonically_increasing_id()
+    if not set(PLACE) <= set(df.columns):
+        try:
+            df = df.select(
+                "*", *(F.col(f"_metadata.{m}").alias(p) for m, p in zip(("file_path", "file_block_start"), PLACE))
+            )
+        except AnalysisException:
+            return stage(df.withColumn(name, number), "rows")
+    rows = stage(df.withColumn("__number", number), "rows")
+    # One row for each block: which it is, and the number of its first row.
+    blocks = (
+        rows.groupBy(*PLACE)
+        .agg(F.min("__number").alias("__first"))
+        .withColumn("__nth", F.row_number().over(Window.orderBy(*PLACE)).cast("long"))
+    )
+    row_id = F.shiftleft(F.col("__nth") - 1, 33) + F.col("__number") - F.col("__first")
+    return rows.join(blocks, list(PLACE)).withColumn(name, row_id).drop(*PLACE, "__number", "__first", "__nth")

@@ -82,18 +82,12 @@ def test_other_dtypes_are_skipped(table, spark):
     assert summary == {"unknown": ["n", "ok"], "email": ["email"]}
 
 
-def test_all_values_count_by_default_and_a_sample_is_opt_in(table, spark):
+def test_all_values_count(table, spark):
     df = spark.range(1000).selectExpr(
         "id AS row_id", "CASE WHEN id < 700 THEN concat('u', id, '@x.org') ELSE '?' END AS c"
     )
     full = semantic_profile(df, row_id="row_id").columns["c"]
     assert (full.sample_size, full.match_count, full.confidence) == (1000, 700, 0.7)
-    picked = SemanticConfig(sample_size=100)
-    one = semantic_profile(df, picked, "row_id").columns["c"]
-    two = semantic_profile(df.repartition(7), picked, "row_id").columns["c"]
-    assert one == two and one.sample_size == 100 and one.semantic_type == "email"
-    with pytest.raises(ValueError):
-        semantic_profile(df, picked)
 
 
 def test_odd_column_names_and_ambiguous_ones(table):

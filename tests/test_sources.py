@@ -108,20 +108,12 @@ def test_staged_tables_lie_in_the_shared_folder(spark):
     assert all(shared_folder(spark) in f for f in staged.inputFiles())
 
 
-def test_spread_leaves_enough_partitions_alone(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
-    df = spark.read.parquet(str(tmp_path / "one"))
-    assert spread(df, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(100).repartition(16)
-    assert spread(many, "id") is many
-
-
 def test_the_register():
     import __spark_entry__ as entry
+    from catalog import ORACLES, QUERIES
 
-    queries, oracles = entry.queries(), entry.oracle_sql()
-    assert set(oracles) <= set(queries) and len(queries) > 100
-    assert set(queries) - set(oracles) == {"semantic_profile_sampled", "profile_table_approximate"}
+    assert set(QUERIES) == set(ORACLES) and len(QUERIES) > 100
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", ["clean_lead_list", "lead_dedupe", "suggestions", "coerce_table"])
