@@ -259,8 +259,8 @@ def coerce_number(spark, sf_dir):
 
 @query("coerce_timestamp", f"SELECT id, {_TIME} AS ts FROM coerce_src", ("coerce_src",))
 def coerce_timestamp(spark, sf_dir):
-    """Read as local time, the way the checking engine shows it."""
-    return _coerced("id", F.col("ts").cast("timestamp_ntz").alias("ts"))(spark, sf_dir)
+    """Dates without a zone stay that."""
+    return _coerced("id", "ts")(spark, sf_dir)
 
 
 _COERCED = f"""SELECT id, {_BOOL} AS b, {_WHOLE} AS n, TRY_CAST(x AS DOUBLE) AS x, {_TIME} AS ts,
@@ -269,8 +269,7 @@ _COERCED = f"""SELECT id, {_BOOL} AS b, {_WHOLE} AS n, TRY_CAST(x AS DOUBLE) AS
 
 @query("coerce_table", _COERCED, ("coerce_src",))
 def coerce_table(spark, sf_dir):
-    times = [F.col(n).cast("timestamp_ntz").alias(n) for n in ("ts", "d")]
-    return _coerced("id", "b", "n", "x", *times, "w", "z")(spark, sf_dir)
+    return _coerced("id", "b", "n", "x", "ts", "d", "w", "z")(spark, sf_dir)
 
 
 @query(
@@ -292,8 +291,8 @@ _CHANGES = f"""SELECT 'b' AS "column", 'string' AS from_dtype, 'boolean' AS to_d
   'bool' AS cast_type, 1.0::DOUBLE AS success_rate
 UNION ALL SELECT 'n', 'string', 'bigint', 'numeric', {_rate("TRY_CAST(trim(n) AS DOUBLE)", "n")}
 UNION ALL SELECT 'x', 'string', 'double', 'numeric', {_rate("TRY_CAST(x AS DOUBLE)", "x")}
-UNION ALL SELECT 'ts', 'string', 'timestamp', 'datetime', {_rate(_TIME, "ts")}
-UNION ALL SELECT 'd', 'string', 'timestamp', 'datetime', {_rate("try_strptime(d, '%d/%m/%Y')", "d")}"""
+UNION ALL SELECT 'ts', 'string', 'timestamp_ntz', 'datetime', {_rate(_TIME, "ts")}
+UNION ALL SELECT 'd', 'string', 'timestamp_ntz', 'datetime', {_rate("try_strptime(d, '%d/%m/%Y')", "d")}"""
 
 
 @query("coerce_log", _CHANGES, ("coerce_src",))
@@ -356,8 +355,7 @@ def audit_clean_event_log(spark, sf_dir):
 )
 def audit_clean_coerce_src(spark, sf_dir):
     """Gaps are filled before types are cast, so x is filled with its commonest text."""
-    done = audit_table(view(spark, sf_dir, "coerce_src")).clean_df
-    return done.withColumns({n: F.col(n).cast("timestamp_ntz") for n in ("ts", "d")})
+    return audit_table(view(spark, sf_dir, "coerce_src")).clean_df
 
 
 # Texts that are cast because enough of them are numbers; no column here holds booleans or times as text.

@@ -44,6 +44,18 @@ def to_whole(text: Column) -> Column:
     )
 
 
+def has_offset(fmt: str) -> bool:
+    return "XXX" in fmt
+
+
 def to_timestamp(text: Column, fmt: str, shape: str) -> Column:
-    """Parse by one format; values of another shape are NULL without trying the parser."""
-    return F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
+    """Parse by one format; values of another shape are NULL without trying the parser.
+
+    Text with an offset is an instant (TIMESTAMP). Text without one is a date and time of no
+    zone (TIMESTAMP_NTZ), the same wherever it is read: it is parsed as if in UTC and counted
+    from 1970, so that no session's zone, with hours that are skipped or come twice, has a say.
+    """
+    if has_offset(fmt):
+        return F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
+    instant = F.when(text.rlike(shape), F.try_to_timestamp(F.concat(text, F.lit(" Z")), F.lit(fmt + " XXX")))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.lit("1970-01-01").cast("timestamp_ntz"))

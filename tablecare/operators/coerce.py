@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tablecare.config import CoercionConfig, settings
 from tablecare.functions.columns import check_names, col, families
 from tablecare.functions.parsing import (
-    is_bool_word, is_whole, to_bool, to_number, to_timestamp, to_whole,
+    has_offset, is_bool_word, is_whole, to_bool, to_number, to_timestamp, to_whole,
 )
 from tablecare.functions.text import strip
 
@@ -94,7 +94,7 @@ def coerce_types(df: DataFrame, config=None) -> Coerced:
             if fits:
                 casts[n] = (
                     to_timestamp(col(n), *fmt),
-                    Change(n, "string", "timestamp", "datetime", rate),
+                    Change(n, "string", "timestamp" if has_offset(fmt[0]) else "timestamp_ntz", "datetime", rate),
                 )
     out = df
     if casts:

@@ -443,7 +443,7 @@ def test_audit_of_a_csv(spark, tmp_path):
     (tmp_path / "in" / "a.csv").write_text("\n".join(lines) + "\n\n")
     result = audit_csv(spark, str(tmp_path / "in"), save_clean=str(tmp_path / "out"))
     assert dict(result.clean_df.dtypes) == {
-        "id": "bigint", "Amount": "double", "when": "timestamp", "ok": "boolean",
+        "id": "bigint", "Amount": "double", "when": "timestamp_ntz", "ok": "boolean",
     }
     assert result.summary == {
         "rows_before": 41, "rows_after": 41, "rows_lost": 0, "columns_before": 5, "columns_after": 4,

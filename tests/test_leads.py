@@ -363,9 +363,9 @@ def test_no_email_column_passes_all_rows(numbered):
 def test_outputs_on_disk(spark, numbered, tmp_path):
     result = process_leads(messy(numbered), row_id="row_id")
     write_lead_outputs(result, str(tmp_path / "out"))
-    back = read_leads(spark, str(tmp_path / "out" / "crm_ready"))
+    back = read_leads(spark, str(tmp_path / "out" / "crm_ready")).df
     assert sorted(r["email"] for r in back.collect()) == ["ada@x.org", "grace@x.org", "info@t.org"]
-    rejected = read_leads(spark, str(tmp_path / "out" / "rejected"))
+    rejected = read_leads(spark, str(tmp_path / "out" / "rejected")).df
     assert sorted(r["rejection_reason"] for r in rejected.collect()) == [
         "BLANK_EMAIL", "INVALID_EMAIL_FORMAT",
     ]
