@@ -10,7 +10,9 @@ would add twice.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -23,7 +25,7 @@ from tablecare.functions.text import strip
 from tablecare.operators import dedupe, normalize, semantic, validate
 from tablecare.operators.semantic import SemanticProfile
 from tablecare.sources.csv import LoadedCsv
-from tablecare.sources.staging import with_row_id
+from tablecare.sources.staging import stage, with_row_id
 
 GIVEN_ROW_ID = "__row_id"
 
@@ -36,8 +38,7 @@ class LeadResult:
     profile: SemanticProfile  # of the input
     counts: dict
     _look: "_Look" = field(repr=False, default=None)
-    _kept: DataFrame = field(repr=False, default=None)  # clean rows with their row id
-    _valid: DataFrame = field(repr=False, default=None)  # what deduplication starts from
+    _split: Callable[[DataFrame], "_Rows"] = field(repr=False, default=None)
     _dedup: DedupConfig | None = None
     _row_id: str = "row_id"
     _report: dict | None = None
@@ -47,18 +48,39 @@ class LeadResult:
         """What the columns mean after formatting; judging them costs a job, on first use."""
         return self._look.judged()
 
+    @cached_property
+    def settled(self) -> "_Rows":
+        """Valid, rejected and clean rows, all from one staged copy of the formatted table, the
+        clean ones staged too: counting and writing them formats and deduplicates once."""
+        rows = self._split(stage(self._look.table, "formatted"))
+        return replace(rows, kept=stage(rows.kept, "clean") if self._dedup else rows.kept)
+
     def report(self) -> dict:
-        """All counts. Only those of deduplication still cost a job, on first use."""
+        """All counts. Only those of deduplication still cost jobs, on first use."""
         if self._report is None:
             report = {k: dict(v) if isinstance(v, dict) else v for k, v in self.counts.items()}
             if self._dedup:
-                removal = dedupe.dedup_report(self._valid, self._kept, self._dedup, self._row_id)
+                rows = self.settled
+                removal = dedupe.dedup_report(rows.valid, rows.kept, self._dedup, self._row_id)
                 report["deduplication"] = removal.first().asDict()
                 report["output_rows"] = report["deduplication"]["output_rows"]
             self._report = report
         return self._report
 
 
+@dataclass(frozen=True)
+class _Rows:
+    """What becomes of a formatted table, with row ids."""
+
+    valid: DataFrame
+    rejected: DataFrame
+    kept: DataFrame  # the valid ones that deduplication leaves
+    hidden: str | None = None  # the row id, if results don't show it
+
+    def shown(self, table: DataFrame) -> DataFrame:
+        return table.drop(self.hidden) if self.hidden else table
+
+
 def process_leads(df: DataFrame | LoadedCsv, config=None, row_id: str | None = None) -> LeadResult:
     """Recognise columns, format, validate, deduplicate.
 
@@ -78,14 +100,14 @@ def process_leads(df: DataFrame | LoadedCsv, config=None, row_id: str | None = N
     if row_id is None:
         df = with_row_id(df, key)
 
-    profile, cells, rows = _first_look(df, settings(SemanticConfig, cfg.semantic), key)
-    if rows == 0:
+    profile, cells, n_rows = _first_look(df, settings(SemanticConfig, cfg.semantic), key)
+    if n_rows == 0:
         raise ValueError("the input table has no rows")
 
     look = _second_look(df, cfg, profile, cells, key)
     counts = {
-        "input_rows": rows,
-        "output_rows": rows,
+        "input_rows": n_rows,
+        "output_rows": n_rows,
         "rejected_rows": 0,
         "semantic_types_detected": profile.types_detected,
         "formatting": look.formatting,
@@ -94,23 +116,23 @@ def process_leads(df: DataFrame | LoadedCsv, config=None, row_id: str | None = N
     }
     if apart is not None:
         counts["malformed_rows"] = apart
-    valid = look.table
-    rejected = spark.createDataFrame([], T.StructType([]))
     if cfg.run_validation:
-        split = validate.validate_leads(valid, look.emails, cfg.validation)
-        valid, rejected = split.valid, split.rejected
         counts["rejected_rows"] = look.validation["rejected_rows"]
         counts["output_rows"] = look.validation["valid_rows"]
 
-    kept = valid
-    if cfg.run_deduplication:
-        kept = dedupe.deduplicate_leads(valid, look.emails, cfg.deduplication, key)
-
-    def shown(table: DataFrame) -> DataFrame:
-        return table if row_id else table.drop(GIVEN_ROW_ID)
-
+    def split(table: DataFrame) -> _Rows:
+        valid, rejected = table, spark.createDataFrame([], T.StructType([]))
+        if cfg.run_validation:
+            parts = validate.validate_leads(table, look.emails, cfg.validation)
+            valid, rejected = parts.valid, parts.rejected
+        kept = valid
+        if cfg.run_deduplication:
+            kept = dedupe.deduplicate_leads(valid, look.emails, cfg.deduplication, key)
+        return _Rows(valid, rejected, kept, None if row_id else GIVEN_ROW_ID)
+
+    rows = split(look.table)
     return LeadResult(
-        spark, shown(kept), shown(rejected), profile, counts, _look=look, _kept=kept, _valid=valid, _row_id=key,
+        spark, rows.shown(rows.kept), rows.shown(rows.rejected), profile, counts, _look=look, _split=split, _row_id=key,
         _dedup=settings(DedupConfig, cfg.deduplication) if cfg.run_deduplication else None,
     )
 

@@ -30,8 +30,9 @@ def write_report(spark: SparkSession, report: dict, path: str) -> None:
 
 
 def write_lead_outputs(result, path: str, fmt: str = "csv") -> None:
-    """``crm_ready/``, ``rejected/`` and ``report/`` under ``path``."""
-    write_table(result.clean, f"{path}/crm_ready", fmt)
-    if result.rejected.columns:
-        write_table(result.rejected, f"{path}/rejected", fmt)
+    """``crm_ready/``, ``rejected/`` and ``report/`` under ``path``, all from one staged run."""
+    rows = result.settled
+    write_table(rows.shown(rows.kept), f"{path}/crm_ready", fmt)
+    if rows.rejected.columns:
+        write_table(rows.shown(rows.rejected), f"{path}/rejected", fmt)
     write_report(result.spark, result.report(), f"{path}/report")
