@@ -21,9 +21,11 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import takewhile
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -34,15 +36,41 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablecare.llm.common import documents, staged, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK, OVERLAP = 32768, 512
+CHUNK, OVERLAP = 1 << 16, 512
 #: A contraction such as 'll looks this many characters ahead.
 MARGIN = 3
-#: Pre-tokens whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 300_000
+#: Pre-tokens of a generation whose ids a worker remembers.
+REMEMBERED = 200_000
 #: Rows that a worker turns into Python objects at a time.
 TOGETHER = 128
 
 
+class Remembered(dict):
+    """Ids of pre-tokens seen lately, four bytes an id, so that joining them is all that a text takes.
+
+    Two generations: when the younger is full the older goes, so what recurs is never forgotten.
+    """
+
+    def __init__(self, encode: Callable[[str], Iterable[int]], most: int = REMEMBERED):
+        super().__init__()
+        self.encode, self.most = encode, most
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = array("i", self.encode(piece)).tobytes()
+        self[piece] = found
+        return found
+
+    def ids(self, pieces: list[str]) -> np.ndarray:
+        """The ids of ``pieces``, one after the other."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), np.int32)
+
+
 class Vocabulary:
     """Ranks of byte strings; encodes one pre-token by merging the pair of lowest rank first."""
 
@@ -50,20 +78,12 @@ class Vocabulary:
         with open(path, "rb") as lines:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes = {b: a for a, b in self.rank.items()}
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, pieces: list[str]) -> np.ndarray:
-        """The ids of pre-tokens, one after the other."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for piece in set(pieces).difference(known):
-            raw = piece.encode()
-            whole = self.rank.get(raw)
-            ids = [whole] if whole is not None else self._merge(raw)
-            # Compact: four bytes an id.
-            known[piece] = np.array(ids, np.int32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
+        self.encode = Remembered(self._piece).ids
+
+    def _piece(self, piece: str) -> list[int]:
+        raw = piece.encode()
+        whole = self.rank.get(raw)
+        return [whole] if whole is not None else self._merge(raw)
 
     def _merge(self, raw: bytes) -> list[int]:
         if len(raw) > 64:
@@ -118,22 +138,37 @@ def _vocabulary(path: str | None) -> Vocabulary:
     return Vocabulary(path or public_tokenizers.path(VOCABULARY))
 
 
-@lru_cache(maxsize=2)
-def _pattern(text: str) -> regex.Pattern:
-    return regex.compile(text)
+class Alike(dict):
+    """Whether a character is the same to ``re`` and ``regex``: as a letter, a number and white space."""
+
+    PAIRS = [(re.compile(a), regex.compile(b)) for a, b in ((r"[^\W\d_]", r"\p{L}"), (r"\d", r"\p{N}"), (r"\s", r"\s"))]
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = all((a.match(c) is None) == (b.match(c) is None) for a, b in self.PAIRS)
+        return self[c]
 
 
 def splitter(pattern: str):
-    """A function from a text to its pre-tokens. ASCII texts go to the quicker engine of the
-    standard library, where letters and digits are ranges."""
+    """A function from a text to its pre-tokens. Texts whose characters are the same to both go
+    to the quicker engine of the standard library."""
     full = regex.compile(pattern)
     if pattern != public_tokenizers.PATTERN:
         return full.findall
-    bare = re.compile(
+    ascii_only = re.compile(
         pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sa-zA-Z0-9]").replace(r"\p{L}", "[a-zA-Z]").replace(r"\p{N}", "[0-9]"),
         re.ASCII,
     )
-    return lambda text: bare.findall(text) if text.isascii() else full.findall(text)
+    bare = re.compile(
+        pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
+    )
+    alike = Alike()
+
+    def split(text: str) -> list[str]:
+        if text.isascii():
+            return ascii_only.findall(text)
+        return (bare if all(map(alike.__getitem__, set(text))) else full).findall(text)
+
+    return split
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -174,12 +209,12 @@ def _boundaries(
     batches: Iterator[pa.RecordBatch], chunk: int, overlap: int, pattern: str
 ) -> Iterator[pa.RecordBatch]:
     """Three rows of a chunk: itself, the end's boundaries for the next, the head's for the one before."""
-    cut = _pattern(pattern)
+    cut = splitter(pattern)
     for batch in batches:
         out = []
         for r in batch.to_pylist():
             c, key = r["c"], {"doc_id": r["doc_id"], "digest": r["digest"]}
-            found = [m.start() for m in cut.finditer(r["text"])]
+            found = [0, *accumulate(map(len, cut(r["text"])))][:-1]
             if c:
                 r["head"] = [c * chunk + b for b in found if b <= overlap]
                 out.append(key | {"c": c - 1, "head_after": r["head"]})
@@ -195,13 +230,13 @@ def _piece_ids(
     batches: Iterator[pa.RecordBatch], chunk: int, pattern: str, path: str | None
 ) -> Iterator[pa.RecordBatch]:
     """Encode the pre-tokens of each chunk from one seam to the other."""
-    cut, vocabulary = _pattern(pattern), _vocabulary(path)
+    cut, vocabulary = splitter(pattern), _vocabulary(path)
     for batch in batches:
         ids = []
         for c, text, start, stop in zip(*(batch.column(x).to_pylist() for x in ("c", "text", "start", "stop"))):
-            end = stop - c * chunk
-            found = takewhile(lambda m: m.start() < end, cut.finditer(text, start - c * chunk))
-            ids.append(vocabulary.encode([m.group() for m in found]))
+            # Up to the end of the chunk, beyond the seam, so that the last ones see what follows them.
+            pieces = cut(text[start - c * chunk :])
+            ids.append(vocabulary.encode(pieces[: bisect_left([*accumulate(map(len, pieces), initial=0)], stop - start)]))
         kept = [batch.column(x) for x in ("doc_id", "digest", "c", "last", "copies")]
         yield pa.RecordBatch.from_arrays(
             [*kept, _lists(ids)], ["doc_id", "digest", "c", "last", "copies", "ids"]
@@ -300,7 +335,13 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(first, TOGETHER)
-                out = [b"".join(map(raw.__getitem__, x or ())) for x in part.column("ids").to_pylist()]
+                ids = part.column("ids")
+                flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
+                there = ids.is_valid().to_pylist()
+                out = [
+                    b"".join(map(raw.__getitem__, flat[a:b].tolist())) if known else b""
+                    for a, b, known in zip(ends, ends[1:], there)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"]
                 )

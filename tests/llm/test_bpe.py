@@ -1,7 +1,9 @@
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from tablecare.llm import bpe
@@ -37,5 +39,23 @@ def test_digests_and_decoding(docs, library):
         assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_decoding_null_ids(spark):
+    tokens = spark.createDataFrame([(1, [5, 6]), (2, None), (None, [])], "doc_id long, ids array<int>")
+    raw = bpe.Vocabulary(public_tokenizers.path(bpe.VOCABULARY)).bytes
+    got = {r.doc_id: bytes(r.bytes) for r in bpe.decode(tokens).collect()}
+    assert got == {1: raw[5] + raw[6], 2: b"", None: b""}
+
+
 def test_empty_table(docs):
     assert bpe.token_digests(docs([])).collect() == []
+
+
+def test_both_engines_split_alike():
+    full, cut, rng = regex.compile(public_tokenizers.PATTERN), bpe.splitter(public_tokenizers.PATTERN), random.Random(1)
+    pool = [chr(c) for c in range(0x2100) if not 0xD800 <= c < 0xE000]
+    for c in pool:
+        for t in (c, f"a{c}b", f" {c}1", f"'{c}s {c}{c}"):
+            assert cut(t) == full.findall(t)
+    for _ in range(5000):
+        t = "".join(rng.choice(pool) if rng.random() < 0.3 else rng.choice("ab 1'sré\n!_  ll") for _ in range(25))
+        assert cut(t) == full.findall(t)
