@@ -124,6 +124,8 @@ def _profile_sql(source: str, texts, others: dict) -> str:
                 f"round(least(1.0, n_{name}::DOUBLE / n_values + {0.2 if boost else 0.0}), 2) AS conf "
                 f"FROM counts WHERE \"column\" = '{c}' AND n_values >= 3"
             )
+    few = f"""UNION ALL SELECT "column", 'unknown', 0.0::DOUBLE, 'only ' || n_values::VARCHAR
+  || ' non-null values; below minimum threshold of 3', false, n_values, 0::BIGINT, 'none' FROM counts WHERE n_values < 3"""
     fixed = " ".join(
         f"UNION ALL SELECT '{c}', 'unknown', 0.0::DOUBLE, "
         f"'column dtype is {dtype}; skipped semantic detection', false, 0::BIGINT, 0::BIGINT, 'none'"
@@ -141,7 +143,7 @@ SELECT col AS "column", CASE WHEN conf >= 0.6 THEN kind ELSE 'unknown' END AS se
   CASE WHEN conf >= 0.6 THEN hinted ELSE any_hint END AS header_matched,
   n_values AS sample_size, hits AS match_count,
   CASE WHEN conf >= 0.6 THEN 'regex_v1' ELSE 'none' END AS detector
-FROM best WHERE rn = 1 {fixed}"""
+FROM best WHERE rn = 1 {few} {fixed}"""
 
 
 @query("semantic_profile_leads", _profile_sql("leads", ("name", "email", "phone"), {}), ("leads",))
@@ -158,6 +160,16 @@ def semantic_profile_signups(spark, sf_dir):
     return semantic.semantic_profile(view(spark, sf_dir, "signups"), row_id="row_id").to_df(spark)
 
 
+@query(
+    "semantic_profile_few_values",
+    _profile_sql("few_addresses", ("name", "two", "three"), {}),
+    ("few_addresses",),
+)
+def semantic_profile_few_values(spark, sf_dir):
+    """Two addresses in a column are too few to tell what it holds, three are not."""
+    return semantic.semantic_profile(view(spark, sf_dir, "few_addresses"), row_id="row_id").to_df(spark)
+
+
 @query(
     "semantic_type_summary",
     f"""WITH found AS ({_profile_sql("signups", SIGNUP_TEXTS, {"spent": "double"})})

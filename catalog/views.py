@@ -48,6 +48,14 @@ SELECT o_orderkey AS row_id,
 FROM orders
 """
 
+# Columns with two and with three values among all customers.
+FEW_ADDRESSES = """
+SELECT c_custkey AS row_id, c_name AS name,
+  CASE WHEN c_custkey <= 2 THEN concat('u', CAST(c_custkey AS VARCHAR(20)), '@x.org') END AS two,
+  CASE WHEN c_custkey <= 3 THEN concat('u', CAST(c_custkey AS VARCHAR(20)), '@x.org') END AS three
+FROM customer
+"""
+
 # Line items with gaps, wild values, a sparse and a constant column; rows of line 7 came twice.
 _LINES = """
 SELECT l_orderkey, l_linenumber,
@@ -93,6 +101,7 @@ FROM orders
 VIEWS = {
     "leads": (LEADS, ("customer",)),
     "signups": (SIGNUPS, ("orders",)),
+    "few_addresses": (FEW_ADDRESSES, ("customer",)),
     "lineitem_dirty": (LINEITEM_DIRTY, ("lineitem",)),
     "event_log": (EVENT_LOG, ("events",)),
     "coerce_src": (COERCE_SRC, ("orders",)),
