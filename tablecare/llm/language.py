@@ -6,8 +6,9 @@ probabilities are the mean over all bytes of letters in all its windows, so whol
 The network is trained in numpy by backpropagation through time, with Adam, on the driver.
 
 Training rows: non-null text and lang, and crc32(doc_id) mod ``FOLDS`` other than ``HELD_OUT``.
-At most ``ROWS_PER_LANGUAGE`` of a language are used, those with the smallest hash of doc_id,
-and ``WINDOWS_PER_ROW`` windows of each, spread evenly over the text. Nothing else is bounded.
+The ``LANGUAGES`` with most rows are learned; of each at most ``ROWS_PER_LANGUAGE`` rows, those with
+the smallest hash of doc_id, and ``WINDOWS_PER_ROW`` windows of a row, spread evenly over its
+text. Nothing else is bounded.
 
 Defined cases: ``und`` with score 0 for null text, text without a letter, and every text if no
 row can be learned from; the score is else the mean probability of the language, its first in
@@ -28,7 +29,7 @@ from pyspark.sql.types import StructType
 from tablecare.llm.common import crc_remainder, documents
 
 FOLDS, HELD_OUT = 4, 2
-ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 600, 4
+LANGUAGES, ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 128, 600, 4
 WINDOW, UNITS = 64, 8
 STEPS, BATCH, RATE = 300, 512, 0.02
 UNKNOWN = "und"
@@ -172,10 +173,14 @@ def _cut(raw: bytes) -> bytes:
 def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, the number of each one's language, and the languages: a bounded sample."""
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
+    known = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
         .where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
         .where(crc_remainder("doc_id", FOLDS) != HELD_OUT)
+    )
+    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    chosen = (
+        known.join(F.broadcast(common.select("lang")), "lang")
         .withColumn("rank", F.row_number().over(rank))
         .where(F.col("rank") <= ROWS_PER_LANGUAGE)
         .select("doc_id", "lang")
