@@ -11,8 +11,10 @@
    ``suffixes``) brings equal windows next to each other. In that string the anchor's gram is one
    symbol, since all have it, and what no other segment shares at either end is cut off first.
    A task sorts ``TOGETHER`` symbols or one anchor at a time.
-5. An anchor of more than ``CROWD`` distinct segments is not gathered anywhere: its windows are
-   counted by 128-bit hashes in an aggregate instead.
+5. An anchor of more than ``CROWD`` distinct segments is not gathered anywhere. Its windows are
+   split into ``PARTS`` by how many bytes they have before the gram; all windows of a part have a
+   longer core in common, and the core is the new anchor of segments that are a part's windows.
+   Steps 3 and 4 follow for these. What is still crowded is counted by 128-bit hashes of windows.
 6. Repeated windows come back to their documents as spans; documents are judged on the input, so
    all spans are removed at once.
 
@@ -24,6 +26,7 @@ rows that repeat are copies of each other; a null doc_id is kept; other columns
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +39,7 @@ from tablecare.llm.shingles import mixed
 from tablecare.llm.suffixes import suffix_array
 
 LENGTH, GRAM = 400, 200
-CROWD = 128
+CROWD, PARTS = 128, 8
 PART = 1 << 18
 #: Symbols sorted together, of several anchors.
 TOGETHER = 20_000
@@ -237,6 +240,82 @@ def _cut_segments(texts: DataFrame, classes: DataFrame, length: int, gram: int)
     )
 
 
+def _split_segments(segments: DataFrame, length: int, gram: int) -> DataFrame:
+    """Segments of crowded anchors in parts: as segments of the parts' cores, with their owners."""
+    kind = pa.schema(
+        [(x, pa.int64()) for x in ("print", "segment", "owner_print", "owner_segment", "owner_copies")]
+        + [("shift", pa.int32())]
+        + [(x, pa.binary()) for x in ("left", "middle", "right")]
+    )
+    spare = length - gram
+    bounds = [spare * i // PARTS for i in range(PARTS)] + [spare + 1]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                left, middle, right = r["left"], r["middle"], r["right"]
+                for i, (least, end) in enumerate(zip(bounds, bounds[1:])):
+                    # Bytes before the gram that this segment's windows of the part have.
+                    low, high = max(least, spare - len(right)), min(end - 1, len(left))
+                    if low > high:
+                        continue
+                    core = left[len(left) - least :] + middle + right[: spare - (end - 1)]
+                    own = left[len(left) - high :] + middle + right[: spare - low]
+                    out.append(
+                        {
+                            "print": _hash(core, i),
+                            "segment": _hash(own, high),
+                            "owner_print": r["print"],
+                            "owner_segment": r["segment"],
+                            "owner_copies": r["copies"],
+                            "shift": len(left) - high,
+                            "left": left[len(left) - high :],
+                            "middle": middle,
+                            "right": right[: spare - low],
+                        }
+                    )
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    return segments.where("crowded").mapInArrow(
+        rows,
+        "print long, segment long, owner_print long, owner_segment long, owner_copies long, shift int, "
+        "left binary, middle binary, right binary",
+    )
+
+
+def _hash(data: bytes, tag: int) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=tag.to_bytes(4, "little")).digest(), "little", signed=True)
+
+
+def _found_windows(segments: DataFrame, length: int, gram: int) -> DataFrame:
+    """(print, segment, from, to): repeated windows of staged segments whose class has one run."""
+    parts = staged(_split_segments(segments, length, gram), "parts")
+    bytes_of = F.struct("left", "middle", "right")
+    classes = parts.groupBy("print", "segment").agg(F.count("*").alias("copies"), F.max(bytes_of).alias("bytes"))
+    classes = staged(classes.select("print", "segment", "copies", "bytes.*"), "part-classes")
+    crowds = classes.groupBy("print").agg((F.count("*") > CROWD).alias("crowded"), F.count("*").alias("n"))
+    inner = classes.join(crowds.where("n > 1").drop("n"), "print")
+    last = F.octet_length("left") + F.octet_length("middle") + F.octet_length("right") - length
+    whole = classes.where("copies > 1").select("print", "segment", F.lit(0).alias("from"), last.alias("to"))
+    within = (
+        _sorted_windows(inner, length, gram)
+        .unionByName(_counted_windows(inner, length))
+        .unionByName(whole)
+        .join(
+            parts.where("owner_copies = 1").select("print", "segment", "owner_print", "owner_segment", "shift"),
+            ["print", "segment"],
+        )
+        .select(
+            F.col("owner_print").alias("print"),
+            F.col("owner_segment").alias("segment"),
+            (F.col("from") + F.col("shift")).alias("from"),
+            (F.col("to") + F.col("shift")).alias("to"),
+        )
+    )
+    return _sorted_windows(segments, length, gram).unionByName(within)
+
+
 def _sorted_windows(segments: DataFrame, length: int, gram: int) -> DataFrame:
     """(print, segment, from, to): repeated windows by suffix arrays, anchors one after the other."""
     kind = pa.schema([("print", pa.int64()), ("segment", pa.int64()), ("from", pa.int32()), ("to", pa.int32())])
@@ -280,7 +359,10 @@ def _sorted_windows(segments: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _counted_windows(segments: DataFrame, length: int) -> DataFrame:
-    """(print, segment, from, to): repeated windows of crowded anchors, by counting their hashes."""
+    """(print, segment, from, to): repeated windows of crowded anchors, by counting their hashes.
+
+    Classes of several runs are counted, but not told: they are repeated whole anyway.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,21 +373,26 @@ def _counted_windows(segments: DataFrame, length: int) -> DataFrame:
                     [
                         pa.array(np.full(len(a), r["print"])),
                         pa.array(np.full(len(a), r["segment"])),
+                        pa.array(np.full(len(a), r["copies"] == 1)),
                         pa.array(np.arange(len(a), dtype=np.int32)),
                         pa.array(a),
                         pa.array(b),
                     ],
-                    ["print", "segment", "from", "a", "b"],
+                    ["print", "segment", "single", "from", "a", "b"],
                 )
 
-    windows = segments.where("crowded").mapInArrow(rows, "print long, segment long, `from` int, a long, b long")
+    windows = segments.where("crowded").mapInArrow(
+        rows, "print long, segment long, single boolean, `from` int, a long, b long"
+    )
     several = (
         windows.groupBy("a", "b")
         .agg(F.min("segment").alias("low"), F.max("segment").alias("high"))
         .where("low <> high")
         .select("a", "b")
     )
-    return windows.join(several, ["a", "b"]).select("print", "segment", "from", F.col("from").alias("to"))
+    return (
+        windows.where("single").join(several, ["a", "b"]).select("print", "segment", "from", F.col("from").alias("to"))
+    )
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -316,11 +403,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("mark")
     )
     runs = _runs(texts, length, gram)
-    seen = (
+    # Staged, so that the join below is one of two shuffles whose large partitions Spark can split.
+    seen = staged(
         runs.groupBy("print")
         .agg(F.count("*").alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high"))
         .where("n > 1")
-        .select("print", (F.col("low") != F.col("high")).alias("differ"))
+        .select("print", (F.col("low") != F.col("high")).alias("differ")),
+        "anchors",
     )
     repeated = staged(runs.join(seen, "print"), "repeated")
     classes = repeated.where("differ").groupBy("print", "segment").agg(
@@ -329,7 +418,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     classes = staged(classes, "classes")
     crowds = classes.groupBy("print").agg((F.count("*") > CROWD).alias("crowded"))
     segments = staged(_cut_segments(texts, classes.join(crowds, "print"), length, gram), "segments")
-    found = _sorted_windows(segments, length, gram).unionByName(_counted_windows(segments, length))
+    found = _found_windows(segments, length, gram)
 
     several = classes.where("copies > 1").select("print", "segment")
     whole = repeated.where("NOT differ").unionByName(repeated.where("differ").join(several, ["print", "segment"], "left_semi").select(repeated.columns))
