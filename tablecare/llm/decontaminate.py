@@ -234,19 +234,18 @@ def mark_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a benchmark window, with all their columns."""
-    mark, other = free_name(docs, "mark"), free_name(docs, "other")
+    mark, hit_mark, hit_id = (free_name(docs, x) for x in ("mark", "hit_mark", "hit_id"))
     hit = (
         mark_contaminated(docs, items)
         .where("contaminated")
-        .select(F.col("doc_id").alias(other), F.col("mark").alias(mark))
+        .select(F.col("doc_id").alias(hit_id), F.col("mark").alias(hit_mark))
         .distinct()
     )
-    left = docs.withColumn(mark, F.xxhash64(text_of()))
-    return left.join(
-        hit.withColumnRenamed(mark, mark + "r"),
-        F.col(mark).eqNullSafe(F.col(mark + "r")) & F.col("doc_id").eqNullSafe(F.col(other)),
-        "left_anti",
-    ).drop(mark)
+    return (
+        docs.withColumn(mark, F.xxhash64(text_of()))
+        .join(hit, (F.col(mark) == F.col(hit_mark)) & F.col("doc_id").eqNullSafe(F.col(hit_id)), "left_anti")
+        .drop(mark)
+    )
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

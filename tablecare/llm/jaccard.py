@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecare.llm.common import documents, staged, text_of
+from tablecare.llm.common import documents, free_name, staged, text_of
 from tablecare.llm.components import components
 from tablecare.llm.shingles import SHARE, set_digest, shingle_set, signatures
 
@@ -376,10 +376,14 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their component, with all columns."""
-    first = similar_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("kept_id")
-    ).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = free_name(docs, "kept_id")
+    first = (
+        similar_components(docs)
+        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select(F.col("doc_id").alias(kept))
+        .distinct()
+    )
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

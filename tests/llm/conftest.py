@@ -7,8 +7,9 @@ def docs(spark):
 
     def build(rows):
         return spark.createDataFrame(
-            [(i, t, "en", "src", 1, "x", "y") for i, t in rows],
-            "doc_id long, text string, lang string, source string, n_chars long, digest string, keep_id string",
+            [(i, t, "en", "src", 1, "x", "y", "z", "m", "h", 3, 4) for i, t in rows],
+            "doc_id long, text string, lang string, source string, n_chars long, digest string, keep_id string, "
+            "kept_id string, mark string, hit_mark string, words int, rank int",
         )
 
     return build
