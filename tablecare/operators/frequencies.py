@@ -9,6 +9,7 @@ column in one place.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 from functools import reduce
@@ -107,8 +108,7 @@ def distinct_facts(df: DataFrame, names: list[str], probabilities: list[float] =
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     kinds = families(df)
-    out: dict[str, dict] = {}
-    measured = []
+    counted, measured = [], []
     for g in frequency_groups(df, names):
         place = F.element_at(F.array(*[F.lit(names.index(n)) for n in g.names]), F.col("column_no") + 1)
         value = F.col("value").cast("double").alias("value")
@@ -116,16 +116,22 @@ def distinct_facts(df: DataFrame, names: list[str], probabilities: list[float] =
             measured.append(g.table.select(place.alias("id"), value, "n", F.lit(True).alias("own")))
             continue
         top = F.min(F.struct((-F.col("n")).alias("rank"), "value")).alias("top")
-        for r in g.table.groupBy("column_no").agg(F.count("*").alias("unique"), top).collect():
-            out[g.names[r["column_no"]]] = {"unique": r["unique"], "mode": r["top"]["value"], "quantiles": None}
+        counted.append(g.table.groupBy(place.alias("id")).agg(F.count("*").alias("unique"), top))
         # Decimals are counted as text, so that none is lost, and measured as numbers.
         decimals = [i for i, n in enumerate(g.names) if kinds[n] == "numeric"]
         if decimals and probabilities:
             some = g.table.where(F.col("column_no").isin(decimals))
             measured.append(some.select(place.alias("id"), value, "n", F.lit(False).alias("own")))
-    if measured:
-        found = counted_facts(reduce(DataFrame.unionByName, measured), list(probabilities))
-        for i, facts in found.items():
+    # Words and numbers are two jobs that do not wait for each other.
+    with ThreadPoolExecutor(2) as pool:
+        words = pool.submit(lambda: [r for t in counted for r in t.collect()])
+        numbers = pool.submit(
+            lambda: counted_facts(reduce(DataFrame.unionByName, measured), list(probabilities)) if measured else {}
+        )
+        out = {
+            names[r["id"]]: {"unique": r["unique"], "mode": r["top"]["value"], "quantiles": None} for r in words.result()
+        }
+        for i, facts in numbers.result().items():
             known = out.get(names[i])
             out[names[i]] = known | {"quantiles": facts["quantiles"]} if known else facts
     return {n: facts | {"mode": _mode_text(types[n], facts["mode"])} for n, facts in out.items()}

@@ -212,6 +212,8 @@ ADVICE = {
 def quality_issues(table: DataFrame | TableFacts, config=None, checks=None) -> list[dict]:
     """What is wrong, rule by rule; ``checks`` names the rules wanted, all by default."""
     facts, cfg = as_facts(table), settings(QualityConfig, config)
+    if checks is None:
+        facts.gather()
     return [
         {
             "column": scope.name or fv.ALL_COLUMNS,
@@ -245,6 +247,8 @@ def suggestions(table: DataFrame | TableFacts, rules=None) -> list[dict]:
     facts = as_facts(table)
     if not facts.rows:
         return []
+    if rules is None:
+        facts.gather()
     found = [
         {
             "type": rule.code,
@@ -285,6 +289,8 @@ def penalties(table: DataFrame | TableFacts) -> dict[str, float]:
     """What each kind of flaw takes off the score."""
     facts = as_facts(table)
     empty = not (facts.rows and facts.names)
+    if not empty:
+        facts.gather()
     return {
         name: 0.0 if empty else min(measure(facts) * weight, most) for name, (measure, (weight, most)) in FLAWS.items()
     }
