@@ -28,8 +28,8 @@ from tablecare.llm.common import documents, free_name, staged, text_of
 
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
-#: Benchmark windows, and fingerprints, that may be broadcast: about 200 and 32 MB.
-BROADCAST_ROWS = 1_000_000
+#: Benchmark windows, and fingerprints, that may be broadcast: about 40 and 6 MB.
+BROADCAST_ROWS = 200_000
 NOT_IN_WORDS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 
 
@@ -215,15 +215,18 @@ def mark_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         )
     )
-    empty = F.sha2(F.lit("").cast("binary"), 256)
+    # Documents without a hit have no list, and need not meet any.
+    none = {"n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    listed = rows.join(lists, "classes").drop("classes")
+    clean = rows.where(F.col("classes").isNull()).drop("classes").withColumns(none)
     return (
-        rows.join(lists, "classes", "left")
+        listed.unionByName(clean)
         .select(
             "doc_id",
             "n_words",
             "n_hit",
-            F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-            F.coalesce("items_sha256", empty).alias("items_sha256"),
+            "n_items",
+            "items_sha256",
             (F.col("n_hit") > 0).alias("contaminated"),
             "mark",
             F.explode(F.sequence(F.lit(1).cast("long"), "copies")),
