@@ -16,7 +16,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_exact_dedup": exact.SQL,
-    "op4_quality": quality.op4_quality,
     "op5_decontaminate": decontaminate.SQL,
     "op9_jaccard_join": jaccard.SQL,
 }
