@@ -45,7 +45,9 @@ from tablecare.llm.shingles import SHARE, set_digest, shingle_set, signatures
 #: Classes of a cell; a task compares two cells.
 CELL = 128
 #: Shingles left out of signatures at most, and how many documents of a batch make one a candidate.
-FREQUENT, COMMON = 200_000, 16
+FREQUENT, COMMON = 200_000, 8
+#: Documents of a batch whose arrays a worker holds at a time.
+BATCH = 2048
 #: In a task: classes compared outright, pivots of a larger region, and the share of it that a
 #: region may keep for pivots to be of use.
 LEAF, PIVOTS, USEFUL = 48, 6, 0.75
@@ -138,6 +140,13 @@ def links_of(keys: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``BATCH`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            yield batch.slice(at, BATCH)
+
+
 def _key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
@@ -146,7 +155,7 @@ def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Staged: one row per document (doc_id, mark, n, digest, key); shingles common in a batch (shingle, n)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sizes, digests, seen = [], [], {}
             for text in batch.column("text"):
                 found = shingle_set(text.as_py())
@@ -190,7 +199,7 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(a, b) over keys of classes: b is a smaller class that shares a signature with a."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             found: dict[int, np.ndarray] = {}
             for text in batch.column("text"):
                 own = shingle_set(text.as_py())
@@ -231,7 +240,7 @@ def block_sets(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFr
     )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [shingle_set(t.as_py()) for t in batch.column("text")]
             # Hashes of texts may be alike though the texts are not.
             mine = np.array([set_digest(s) == d.as_py() for s, d in zip(sets, batch.column("digest"))], bool)
