@@ -51,9 +51,9 @@ class Remembered(dict):
     Two generations: when the younger is full the older goes, so what recurs is never forgotten.
     """
 
-    def __init__(self, encode: Callable[[str], Iterable[int]], most: int = REMEMBERED):
+    def __init__(self, encode: Callable[[str], Iterable[int]]):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode = encode
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -65,7 +65,7 @@ class Remembered(dict):
 
     def ids(self, pieces: list[str]) -> np.ndarray:
         """The ids of ``pieces``, one after the other."""
-        if len(self) > self.most:
+        if len(self) > REMEMBERED:
             self.old = dict(self)
             self.clear()
         return np.frombuffer(b"".join(map(self.__getitem__, pieces)), np.int32)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tablecare.llm.bpe import splitter
+from tablecare.llm.bpe import Remembered, splitter
 from tablecare.llm.common import documents, staged, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -45,9 +45,6 @@ BLOCK = 1024
 FILE_IDS = 1 << 19
 #: The id that ends a document.
 END = 0
-#: Pre-tokens whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 500_000
-
 #: Selector, ids of a word, bits of an id. Fixed values of the Simple-8b family; 15 is the escape.
 PACKS = (
     (0, 240, 0), (1, 120, 0), (2, 60, 1), (3, 30, 2), (4, 20, 3), (5, 15, 4), (6, 12, 5), (7, 10, 6),
@@ -58,6 +55,11 @@ _COUNTS = np.array([*(count for _, count, _ in PACKS), 1])
 MAGIC = b"S8B1"
 
 
+def _shifts(count: int, bits: int) -> np.ndarray:
+    """Where the ids of a word begin in it."""
+    return np.arange(count, dtype=np.uint64) * np.uint64(bits)
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of ``ids`` and the number of words before each block."""
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
@@ -66,16 +68,24 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     ends = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
-    left = (np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)).astype(np.int32)
-    chosen = np.full(n, ESCAPE, np.int8)
+    # One row for each block; what is beyond the end fits no word.
+    grid = np.full(blocks * BLOCK, ~np.uint64(0))
+    grid[:n] = ids
+    grid = grid.reshape(blocks, BLOCK)
+    chosen = np.full(grid.shape, ESCAPE, np.int8)
     for selector, count, bits in reversed(PACKS):
-        narrow = np.flatnonzero(ids >> np.uint64(bits) == 0)
-        if len(narrow) >= count:
-            # Where the run of ids that fit these bits ends.
-            last = np.flatnonzero(np.diff(narrow, append=n + 1) != 1)
-            ends_at = np.repeat(narrow[last] + 1, np.diff(last, prepend=-1))
-            fits = np.minimum(ends_at - narrow, left[narrow]) >= count
-            chosen[narrow[fits]] = selector
+        fits = grid < np.uint64(1 << bits)
+        if not fits.any():
+            break
+        # Whether this id and the next ones, up to ``count``, all do.
+        have = 1
+        while have < count:
+            more = min(have, count - have)
+            fits[:, :-more] &= fits[:, more:]
+            fits[:, -more:] = False
+            have += more
+        np.copyto(chosen, np.int8(selector), where=fits)
+    chosen = chosen.ravel()
     step = _COUNTS[chosen]
     # All blocks walk from word to word together.
     at, live, starts = np.arange(blocks) * BLOCK, np.arange(blocks), []
@@ -93,9 +103,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for selector, count, bits in PACKS:
         mine = kinds == selector
         if bits and mine.any():
-            first, where = starts[mine], place[mine]
-            for k in range(count):
-                words[where] |= ids[first + k] << np.uint64(k * bits)
+            members = ids[starts[mine][:, None] + np.arange(count)] << _shifts(count, bits)
+            words[place[mine]] |= np.bitwise_or.reduce(members, axis=1)
     return words, place[np.searchsorted(starts, np.arange(blocks) * BLOCK)].astype(np.uint64)
 
 
@@ -123,10 +132,8 @@ def unpack(words: np.ndarray) -> np.ndarray:
     for selector, count, bits in PACKS:
         mine = kinds == selector
         if bits and mine.any():
-            value, first = words[heads[mine]], place[mine]
-            mask = np.uint64((1 << bits) - 1)
-            for k in range(count):
-                out[first + k] = (value >> np.uint64(k * bits)) & mask
+            members = words[heads[mine]][:, None] >> _shifts(count, bits) & np.uint64((1 << bits) - 1)
+            out[place[mine][:, None] + np.arange(count)] = members
     return out
 
 
@@ -170,28 +177,32 @@ def read_file(raw: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 class Encoder:
     """The library's ids, asked for once per pre-token.
 
-    Its byte-level pre-tokeniser cuts by ``public_tokenizers.PATTERN``, and merges stay inside a
-    pre-token, so the ids of a text are those of its pre-tokens. The strings of special tokens
-    are ordinary text.
+    Its byte-level pre-tokeniser cuts by ``public_tokenizers.PATTERN`` and writes each byte as a
+    character; its model merges inside a pre-token. So the ids of a text are those that the model
+    gives for its pre-tokens. The strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str | None):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.library.encode_special_tokens = True
+        self.model = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY)).model
         self.cut = splitter(public_tokenizers.PATTERN)
-        self.known: dict[str, bytes] = {}
+        # Printable bytes of Latin-1 stand for themselves, the others for characters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.written = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+        self.space = chr(self.written[ord(" ")])
+        self.remembered = Remembered(self._piece)
 
     def encode(self, text: str) -> np.ndarray:
-        known, pieces = self.known, self.cut(text)
-        if len(known) > REMEMBERED:
-            known.clear()
-        fresh = list(set(pieces).difference(known))
-        for piece, found in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-            # Compact: four bytes an id.
-            known[piece] = np.array(found.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
+        return self.remembered.ids(self.cut(text)).view(np.uint32)
+
+    def _piece(self, piece: str) -> list[int]:
+        if piece.isascii() and piece[1:].isalnum() and (piece[0] == " " or piece[0].isalnum()):
+            written = piece.replace(" ", self.space)
+        else:
+            written = piece.encode().decode("latin-1").translate(self.written)
+        return [t.id for t in self.model.tokenize(written)]
 
 
 @lru_cache(maxsize=1)
@@ -202,6 +213,9 @@ def _encoder(path: str | None) -> Encoder:
 def write_ids(docs: DataFrame, path: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write the files; the table of files: part, seq, n_ids, file."""
 
+    def rows_of(part: pa.RecordBatch) -> Iterator[tuple[int | None, str]]:
+        return zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
+
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
@@ -215,9 +229,9 @@ def write_ids(docs: DataFrame, path: str | None = None, file_ids: int = FILE_IDS
 
         encoder = _encoder(path)
         for batch in batches:
-            for key, text in zip(batch.column("doc_id"), batch.column("text")):
-                keys.append(key.as_py())
-                ids.append(np.append(encoder.encode(text.as_py()), np.uint32(END)))
+            for key, text in (x for at in range(0, batch.num_rows, 128) for x in rows_of(batch.slice(at, 128))):
+                keys.append(key)
+                ids.append(np.append(encoder.encode(text), np.uint32(END)))
                 held += len(ids[-1])
                 if held >= file_ids:
                     yield close()
