@@ -278,26 +278,26 @@ def cells(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ring = []
+            ring, linked = [], []
             for own, pivot in zip(batch.column("elements"), batch.column("pivot_elements")):
                 a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (own, pivot))
                 shared = np.intersect1d(a, b, assume_unique=True).size
                 ring.append(int(ring_of(*(np.array(x, np.int64) for x in (shared, len(a), len(b))))))
-                if 100 * shared >= SHARE * (len(a) + len(b) - shared):
-                    ring[-1] = 0
+                linked.append(100 * shared >= SHARE * (len(a) + len(b) - shared))
             kept = [batch.column(c) for c in ("block", "key", "elements", "classes", "pivot")]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(ring, pa.int32())], ["block", "key", "elements", "classes", "pivot", "ring"]
+                [*kept, pa.array(ring, pa.int32()), pa.array(linked, pa.bool_())],
+                ["block", "key", "elements", "classes", "pivot", "ring", "linked"],
             )
 
     ringed = staged(
         sets.join(pivots, "block").mapInArrow(
-            rings, "block long, key long, elements binary, classes long, pivot long, ring int"
+            rings, "block long, key long, elements binary, classes long, pivot long, ring int, linked boolean"
         ),
         "rings",
     )
-    # The first ring holds exactly what links to the pivot.
-    to_pivot = ringed.where("ring = 0 AND key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+    # All of the first ring links to the pivot, and those of the second that are exactly a radius away.
+    to_pivot = ringed.where("linked AND key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
     sizes = ringed.groupBy("block", "ring").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     placed = ringed.join(sizes, ["block", "ring"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     # A cell meets the cells of its own ring that do not come before it, and all of the next ring.

@@ -71,6 +71,18 @@ def test_components_equal_brute_force(docs, monkeypatch, seed, settings):
     assert sorted(map(tuple, got), key=KEY) == sorted(brute(rows), key=KEY)
 
 
+@pytest.mark.parametrize("cell", [2, jaccard.CELL])
+def test_links_between_rings_at_exactly_one_and_two_radii(docs, monkeypatch, cell):
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    words = [f"v{i}" for i in range(23)]
+    whole, pivot, other = words, words[3:], words[:-3]
+    # All classes but two hang on the pivot; only ``whole`` leads to ``other``.
+    texts = [other, whole, pivot, pivot, pivot] + [pivot + [f"x{i}"] for i in range(jaccard.CELL + 2)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = sorted(map(tuple, jaccard.similar_components(docs(rows)).collect()))
+    assert got == sorted(brute(rows)) and {c for _, _, c in got} == {0}
+
+
 def test_empty_table_and_rows_that_stay(docs):
     assert jaccard.similar_components(docs([])).collect() == []
     rows = corpus(4)
