@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,16 @@ GRAM, SPAN = 3, 3
 COVERAGE = 0.8
 #: How far an alignment may stray from its diagonal, as a share of the template's words, and at least.
 BAND, LEAST_BAND = 0.15, 3
+#: Words from which on a template is a whole license, and cells from which on rows are aligned as arrays.
+LONG, CELLS = 100, 2000
 WORD = regex.compile(r"[\p{L}\p{N}]+(?:[.\-+][\p{L}\p{N}]+)*")
 
+#: Whole licenses, as they are published, in the folder license_texts.
+TEXTS = [
+    "Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0",
+    "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0",
+]
+
 #: Public notices by which works state their license.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -68,7 +77,71 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
         "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        "Affero General Public License as published by the Free Software Foundation, either version 3 of the License"
+    ),
+    "BSD": "Released under the BSD License.",
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+        "License 2.0"
+    ),
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License"
+    ),
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+} | {
+    f"CC-{kind}-{version}": f"Licensed under CC {kind} {version}."
+    for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")
+    for version in ("3.0", "4.0")
 }
+#: What is scanned for: the notices and the whole licenses.
+LICENSES = TEMPLATES | {
+    f"{name}-text": resources.files("tablecare.llm").joinpath("license_texts", f"{name}.txt").read_text("utf-8")
+    for name in TEXTS
+}
+
+
+def _versions(name: str, *versions: str) -> tuple[str, ...]:
+    return tuple(f"{name} {v}" for x in versions for v in (f"version {x}", f"v{x}", f"v {x}", x))
+
+
+#: Runs of words of which one must stand in the span of a template's match.
+NAMES = {
+    "AGPL-3.0": _versions("gnu affero general public license", "3", "3.0"),
+    "AGPL-3.0-header": ("gnu affero general public license",),
+    "Apache-2.0": _versions("apache license", "2.0", "2"),
+    "Apache-2.0-header": _versions("apache license", "2.0", "2"),
+    "BSD": ("bsd",),
+    "BSD-2-Clause-text": ("provided with the distribution this software is provided",),
+    "BSD-3-Clause-text": ("endorse or promote products derived from this software",),
+    "EPL-2.0": _versions("eclipse public license", "2.0", "2"),
+    "GFDL-1.2-text": _versions("gnu free documentation license", "1.2"),
+    "GFDL-1.3-text": _versions("gnu free documentation license", "1.3"),
+    "GPL-2.0": _versions("gnu general public license", "2", "2.0"),
+    "GPL-3.0": _versions("gnu general public license", "3", "3.0"),
+    "GPL-header": ("gnu general public license",),
+    "GPL-3.0-text": (
+        *_versions("gnu general public license", "3", "3.0"),
+        "the gnu general public license is a free copyleft license",
+        "use with the gnu affero general public license",
+    ),
+    "ISC-text": ("provided that the above copyright notice",),
+    "LGPL-2.0-text": ("gnu library general public license",),
+    "LGPL-2.1": _versions("gnu lesser general public license", "2.1"),
+    "LGPL-2.1-header": ("gnu lesser general public license",),
+    "LGPL-2.1-text": ("gnu lesser general public license",),
+    "LGPL-3.0": _versions("gnu lesser general public license", "3", "3.0"),
+    "LGPL-3.0-text": ("gnu lesser general public license",),
+    "MIT": ("mit",),
+    "MIT-text": ("the above copyright notice and this permission notice",),
+    "MPL-2.0": ("mozilla public license",),
+    "Unlicense": ("free and unencumbered software",),
+} | {name: (text.removeprefix("Licensed under ").rstrip("."),) for name, text in TEMPLATES.items() if name[:3] == "CC-"}
 
 POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -112,8 +185,12 @@ class Index:
     beyond it, are all indexed.
     """
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], names: dict[str, tuple[str, ...]] = NAMES):
         self.words = {name: word_hashes(WORD.findall(text)) for name, text in templates.items()}
+        self.bags = {name: np.unique(hashes, return_counts=True) for name, hashes in self.words.items()}
+        runs = {name: [word_hashes(WORD.findall(x)) for x in names.get(name, ())] for name in templates}
+        # Names are for the template that holds them; another text under that name needs none.
+        self.names = {name: r for name, r in runs.items() if any(has_run(self.words[name], x) for x in r)}
         places: dict[int, list[tuple[str, int]]] = defaultdict(list)
         for name, hashes in self.words.items():
             n = max(0, len(hashes) - GRAM + 1)
@@ -127,8 +204,19 @@ class Index:
         self.places = dict(places)
         self.keys = np.array(sorted(self.places), np.uint64)
 
-    def candidates(self, hashes: np.ndarray) -> list[tuple[str, int]]:
-        """Templates and the word of the document where they would begin; near ones are one."""
+    def named(self, name: str, span: np.ndarray) -> bool:
+        """Whether a span holds one of the runs that tell the license from its like."""
+        return name not in self.names or any(has_run(span, run) for run in self.names[name])
+
+    def most(self, name: str, window: np.ndarray) -> int:
+        """How many of the template's words a window has, whatever their order."""
+        values, counts = self.bags[name]
+        found, times = np.unique(window, return_counts=True)
+        _, a, b = np.intersect1d(values, found, assume_unique=True, return_indices=True)
+        return int(np.minimum(counts[a], times[b]).sum())
+
+    def candidates(self, hashes: np.ndarray, coverage: float = 0.0) -> list[tuple[str, int]]:
+        """Templates that may fit and the word of the document where they would begin; near ones are one."""
         prints, at = fingerprints(hashes)
         if not len(prints) or not len(self.keys):
             return []
@@ -139,14 +227,24 @@ class Index:
                 by_template[name].append(int(at[i]) - place)
         out = []
         for name, starts in by_template.items():
-            last = None
-            for start in sorted(set(starts)):
-                if last is None or start - last > band_of(len(self.words[name])):
-                    out.append((name, start))
-                    last = start
+            if len(hashes) < coverage * len(self.words[name]):
+                continue
+            near: list[list[int]] = []
+            for start in sorted(starts):
+                if not near or start - near[-1][0] > band_of(len(self.words[name])):
+                    near.append([])
+                near[-1].append(start)
+            if len(self.words[name]) >= LONG:
+                near.sort(key=lambda x: -len(x))
+            out += [(name, x[0]) for x in near]
         return out
 
 
+def has_run(words: np.ndarray, run: np.ndarray) -> bool:
+    n = len(words) - len(run) + 1
+    return n > 0 and bool(np.logical_and.reduce([words[k : n + k] == x for k, x in enumerate(run)]).any())
+
+
 def band_of(size: int) -> int:
     return max(LEAST_BAND, int(BAND * size))
 
@@ -159,6 +257,9 @@ def align(template: np.ndarray, text: np.ndarray, start: int, band: int) -> tupl
     """
     low, width = start - band, 2 * band + 1
     none = -(10**9)
+    if len(template) * width >= CELLS:
+        row = _last_row(template, text, low, width, none)
+        return _span(template, text, low, width, row, none)
     # Cell (i, k): i template words used, text up to low + i + k. Holds score, matches, first word.
     row = [(0, 0, low + k) if 0 <= low + k <= len(text) else (none, 0, 0) for k in range(width)]
     for i, word in enumerate(template.tolist()):
@@ -178,6 +279,10 @@ def align(template: np.ndarray, text: np.ndarray, start: int, band: int) -> tupl
                 best = max(best, (s - 1, m, first), key=lambda x: x[:2])
             new.append(best)
         row = new
+    return _span(template, text, low, width, row, none)
+
+
+def _span(template: np.ndarray, text: np.ndarray, low: int, width: int, row: list, none: int) -> tuple[int, int, int]:
     k = max(range(width), key=lambda k: (row[k][:2], -k))
     score, matches, first = row[k]
     end = min(len(text), max(first, low + len(template) + k))
@@ -186,17 +291,52 @@ def align(template: np.ndarray, text: np.ndarray, start: int, band: int) -> tupl
     return (matches, first, end) if score > none // 2 else (0, 0, 0)
 
 
+def _last_row(template: np.ndarray, text: np.ndarray, low: int, width: int, none: int) -> list[tuple[int, int, int]]:
+    """The last row of ``align``, a row of cells at a time: scores and matches are one number, score first."""
+    unit, k = 1 << 20, np.arange(width)
+    at = low + k
+    inside = (at >= 0) & (at <= len(text))
+    value, first = np.where(inside, 0, none * unit), np.where(inside, at, 0)
+    padded = np.concatenate([text, np.zeros(1, text.dtype)])
+    for i, word in enumerate(template):
+        j = low + i + k
+        there = (j >= 0) & (j < len(text))
+        same = padded[np.where(there, j, len(text))] == word
+        diagonal = np.where(there, value + np.where(same, 2 * unit + 1, -unit), none * unit)
+        # Matches are the low part; none so far means that the span begins here.
+        begun = np.where(same & (value & (unit - 1) == 0), j, first)
+        down = np.append(value[1:] - unit, none * unit * 2)
+        better = down > diagonal
+        own, begun = np.where(better, down, diagonal), np.where(better, np.append(first[1:], 0), begun)
+        # Gaps along the row: the best cell before, less one for each step, but not over cells outside the text.
+        own = np.where(there | (own > none * unit // 2), own, none * unit)
+        level = own + k * unit
+        best = np.maximum.accumulate(level)
+        source = np.maximum.accumulate(np.where(level == best, k, 0))
+        source = np.where(there, source, k)
+        value, first = own[source] - (k - source) * unit, begun[source]
+    return [(int(v) >> 20, int(v) & (unit - 1), int(f)) for v, f in zip(value, first)]
+
+
 def scan(index: Index, text: str, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched words, first and end character) of the matches in a text."""
     hashes = word_hashes(WORD.findall(text))
     matches = []
-    for name, start in index.candidates(hashes):
+    for name, start in index.candidates(hashes, coverage):
         template = index.words[name]
-        n, first, end = align(template, hashes, start, band_of(len(template)))
-        if n and n / len(template) >= coverage:
+        # The middle of a whole license that lies in one already found: the same copy, by fewer hits.
+        middle = start + len(template) // 2
+        if len(template) >= LONG and any(m[0] == name and m[3] <= middle < m[4] for m in matches):
+            continue
+        band = band_of(len(template))
+        if index.most(name, hashes[max(0, start - band) : start + len(template) + band]) < coverage * len(template):
+            continue
+        n, first, end = align(template, hashes, start, band)
+        # A version may stand just behind the last word that matches.
+        if n and n / len(template) >= coverage and index.named(name, hashes[first : end + 2]):
             matches.append((name, n / len(template), n, first, end))
     kept: list[tuple[str, float, int, int, int]] = []
-    for m in sorted(matches, key=lambda m: (-m[1], -m[2], m[0], m[3])):
+    for m in sorted(matches, key=lambda m: (len(index.words[m[0]]) < LONG, -m[1], -m[2], m[0], m[3])):
         if all(m[4] <= k[3] or m[3] >= k[4] for k in kept):
             kept.append(m)
     if not kept:
@@ -205,7 +345,7 @@ def scan(index: Index, text: str, coverage: float = COVERAGE) -> list[tuple[str,
     return [(x, c, n, spans[a][0], spans[b - 1][1]) for x, c, n, a, b in sorted(kept, key=lambda m: m[3])]
 
 
-def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
+def find_licenses(docs: DataFrame, templates: dict[str, str] = LICENSES, coverage: float = COVERAGE) -> DataFrame:
     """One row per match: doc_id, license, coverage, n_words, start, stop, passage."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

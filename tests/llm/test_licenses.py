@@ -29,6 +29,37 @@ def test_matches_with_changes_and_spans(docs):
     assert L.find_licenses(docs([])).collect() == []
 
 
+def test_notices_of_like_names_and_whole_licenses():
+    index = L.Index(L.LICENSES)
+    names = lambda text: [m[0] for m in L.scan(index, f"Some words before. {text} And some words after it.")]
+    assert names("Released under the BSD License.") == ["BSD"]
+    assert names("Released under the Foo License.") == []
+    assert names("Licensed under CC BY-ND 4.0.") == ["CC-BY-ND-4.0"]
+    assert names("Licensed under CC BY 3.0.") == ["CC-BY-3.0"] and names("Licensed under CC BY 2.5.") == []
+    assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0"]
+    assert names("This work is licensed under the GNU General Public License v3.") == ["GPL-3.0"]
+    assert names("This work is licensed under the GNU Affero General Public License, version 3.") == ["AGPL-3.0"]
+    three = L.LICENSES["BSD-3-Clause-text"].replace("the University", "the copyright holder")
+    assert names(three) == ["BSD-3-Clause-text"]
+    assert names(L.LICENSES["BSD-2-Clause-text"]) == ["BSD-2-Clause-text"]
+    assert names(L.LICENSES["LGPL-3.0-text"].replace("library", "module", 1)) == ["LGPL-3.0-text"]
+    affero = L.LICENSES["GPL-3.0-text"].replace("use with the GNU Affero", "use with the GNU")
+    affero = affero.replace("GNU General", "GNU Affero General").replace("GNU GENERAL", "GNU AFFERO GENERAL")
+    assert "GPL-3.0-text" not in names(affero.replace("Use with the GNU Affero", "Use with the GNU"))
+
+
+def test_rows_of_arrays_align_as_cells_do(monkeypatch):
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        template, text = rng.integers(1, 5, rng.integers(1, 14)), rng.integers(1, 5, rng.integers(0, 20))
+        start, band = int(rng.integers(-4, 14)), int(rng.integers(1, 6))
+        got = []
+        for cells in (0, 10**9):
+            monkeypatch.setattr(L, "CELLS", cells)
+            got.append(L.align(template, text, start, band))
+        assert got[0] == got[1]
+
+
 def brute_align(template, text, band, start):
     """Most matched words of any alignment of the best score, over all cells of the band."""
     best = {}
