@@ -5,10 +5,12 @@ from either end, and a softmax over both states labels every byte with a languag
 probabilities are the mean over all bytes of letters in all its windows, so whole texts count.
 The network is trained in numpy by backpropagation through time, with Adam, on the driver.
 
-Training rows: non-null text and lang, and crc32(doc_id) mod ``FOLDS`` other than ``HELD_OUT``.
-The ``LANGUAGES`` with most rows are learned; of each at most ``ROWS_PER_LANGUAGE`` rows, those with
-the smallest hash of doc_id, and ``WINDOWS_PER_ROW`` windows of a row, spread evenly over its
-text. Nothing else is bounded.
+Training rows: non-null doc_id and lang, a text that is not empty, and crc32(doc_id) mod ``FOLDS``
+other than ``HELD_OUT``. Every language among them is learned: ``ROWS`` rows are divided among the
+languages, at least one and at most ``ROWS_PER_LANGUAGE`` of each, those with the smallest hash of
+doc_id, and ``WINDOWS_PER_ROW`` windows of a row, spread evenly over its text. Bounded are also the
+network, ``UNITS`` units a direction, and its training, ``STEPS`` batches of ``BATCH`` windows, whatever
+the number of languages.
 
 Defined cases: ``und`` with score 0 for null text, text without a letter, and every text if no
 row can be learned from; the score is else the mean probability of the language, its first in
@@ -29,12 +31,13 @@ from pyspark.sql.types import StructType
 from tablecare.llm.common import crc_remainder, documents
 
 FOLDS, HELD_OUT = 4, 2
-LANGUAGES, ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 128, 600, 4
+ROWS, ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 76_800, 600, 4
 WINDOW, UNITS = 64, 8
 STEPS, BATCH, RATE = 300, 512, 0.02
 UNKNOWN = "und"
-#: Windows that pass through the network together: the arrays of a step fit a core's cache.
-TOGETHER = 1024
+#: Windows that pass through the network together: the arrays of a step fit a core's cache. Fewer of
+#: them, if there are more languages than ``MANY``, each of which has a probability for every byte.
+TOGETHER, MANY = 1024, 128
 
 LETTER = regex.compile(r"\p{L}")
 #: Bytes that letters are made of.
@@ -174,15 +177,15 @@ def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]
     """Windows, the number of each one's language, and the languages: a bounded sample."""
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+        docs.where(F.col("text").cast("string") != "")
+        .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
         .where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
         .where(crc_remainder("doc_id", FOLDS) != HELD_OUT)
     )
-    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    share = ROWS // max(1, known.select("lang").distinct().count())
     chosen = (
-        known.join(F.broadcast(common.select("lang")), "lang")
-        .withColumn("rank", F.row_number().over(rank))
-        .where(F.col("rank") <= ROWS_PER_LANGUAGE)
+        known.withColumn("rank", F.row_number().over(rank))
+        .where(F.col("rank") <= min(ROWS_PER_LANGUAGE, max(1, share)))
         .select("doc_id", "lang")
         .distinct()
     )
@@ -227,8 +230,9 @@ def document_probabilities(network: Network, texts: list[str | None]) -> np.ndar
     owner = np.repeat(np.arange(len(raw)), [-(-len(x) // WINDOW) for x in raw])
     windows = np.frombuffer(b"".join(map(_cut, raw)), np.uint8).reshape(-1, WINDOW)
     total, n = np.zeros((len(raw), len(network.languages))), np.zeros(len(raw))
-    for first in range(0, len(windows), TOGETHER):
-        some, own = windows[first : first + TOGETHER], owner[first : first + TOGETHER]
+    together = max(1, TOGETHER * MANY // max(MANY, len(network.languages)))
+    for first in range(0, len(windows), together):
+        some, own = windows[first : first + together], owner[first : first + together]
         counted = IS_LETTER[some]
         np.add.at(total, own, np.einsum("ntk,nt->nk", network.probabilities(some), counted.astype(np.float32)))
         np.add.at(n, own, counted.sum(1))

@@ -72,6 +72,23 @@ def test_labels_of_held_out_rows_do_not_matter(table, rows):
     assert a == b
 
 
+def test_every_language_with_text_is_learned(table, monkeypatch):
+    def learned(i):
+        return zlib.crc32(str(i).encode()) % 4 != 2
+
+    ids = [i for i in range(1000) if learned(i)][:420]
+    many = [(i, f"text of {i}", f"l{k % 140:03}") for k, i in enumerate(ids)]
+    _, labels, languages = L.training_windows(table(many))
+    assert len(languages) == 140 and (np.bincount(labels) == 3).all()
+    # A fixed total is divided; null and empty texts take no places.
+    monkeypatch.setattr(L, "ROWS", 280)
+    absent = [(i, None if i % 2 else "", "l000") for i in range(2000, 2400) if learned(i)]
+    _, labels, languages = L.training_windows(table(many + absent))
+    assert len(languages) == 140 and (np.bincount(labels) == 2).all()
+    monkeypatch.setattr(L, "ROWS", 1)
+    assert len(L.training_windows(table(many + absent))[2]) == 140
+
+
 def test_nothing_to_learn_from_and_empty(table):
     got = L.predict(table([(1, "abc", None), (2, None, "aa")])).collect()
     assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
