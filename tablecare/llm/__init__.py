@@ -1,6 +1,18 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from tablecare.llm import bpe, decontaminate, exact, idfile, jaccard, language, licenses, quality, repeats, toxicity
+from tablecare.llm import (
+    bpe,
+    decontaminate,
+    exact,
+    idfile,
+    jaccard,
+    language,
+    licenses,
+    periods,
+    quality,
+    repeats,
+    toxicity,
+)
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -13,6 +25,7 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_periodic_runs": periods.op11_periodic_runs,
 }
 ORACLES = {
     "op2_exact_dedup": exact.SQL,
