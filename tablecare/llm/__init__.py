@@ -8,6 +8,7 @@ from tablecare.llm import (
     jaccard,
     language,
     licenses,
+    pages,
     periods,
     quality,
     repeats,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_periodic_runs": periods.op11_periodic_runs,
+    "op12_html_text": pages.op12_html_text,
 }
 ORACLES = {
     "op2_exact_dedup": exact.SQL,
