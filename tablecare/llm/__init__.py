@@ -12,6 +12,7 @@ from tablecare.llm import (
     periods,
     quality,
     repeats,
+    search,
     toxicity,
 )
 
@@ -28,9 +29,11 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_periodic_runs": periods.op11_periodic_runs,
     "op12_html_text": pages.op12_html_text,
+    "op13_ranked_search": search.op13_ranked_search,
 }
 ORACLES = {
     "op2_exact_dedup": exact.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op9_jaccard_join": jaccard.SQL,
+    "op13_ranked_search": search.SQL,
 }
