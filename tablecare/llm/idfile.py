@@ -17,13 +17,15 @@ doc_ids. Files are cells of a table in the shared folder, written by Spark itsel
 in any store, and a task that runs again replaces its own file only. Each has its place:
 (part, seq).
 
-Defined cases: null text is the empty text; an empty document is its end id alone; documents
+Defined cases: the string of an added token, such as ``<|endoftext|>``, is that token, as the
+library has it; null text is the empty text; an empty document is its end id alone; documents
 with a null doc_id come first; documents that repeat follow one another, and of equal doc_ids
 the order is by the hash of the text; an empty table gives no files; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,6 +47,8 @@ BLOCK = 1024
 FILE_IDS = 1 << 19
 #: The id that ends a document.
 END = 0
+#: Pre-tokens of a generation whose ids a worker remembers: about 80 MB.
+REMEMBERED = 400_000
 #: Selector, ids of a word, bits of an id. Fixed values of the Simple-8b family; 15 is the escape.
 PACKS = (
     (0, 240, 0), (1, 120, 0), (2, 60, 1), (3, 30, 2), (4, 20, 3), (5, 15, 4), (6, 12, 5), (7, 10, 6),
@@ -177,28 +181,45 @@ def read_file(raw: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 class Encoder:
     """The library's ids, asked for once per pre-token.
 
-    Its byte-level pre-tokeniser cuts by ``public_tokenizers.PATTERN`` and writes each byte as a
-    character; its model merges inside a pre-token. So the ids of a text are those that the model
-    gives for its pre-tokens. The strings of special tokens are ordinary text.
+    It takes the strings of added tokens out of the text first, special ones too, and gives each its
+    id. Its byte-level pre-tokeniser cuts what is between them by ``public_tokenizers.PATTERN`` and
+    writes each byte as a character; its model merges inside a pre-token. So the ids of a text are
+    those of its added tokens and those that the model gives for its pre-tokens.
     """
 
     def __init__(self, path: str | None):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY)).model
+        library = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
+        added = library.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that depend on what is around them are not supported")
+        self.added = {t.content: np.array([i], np.uint32) for i, t in added.items() if t.content}
+        # Of tokens that begin alike the longest is taken.
+        self.apart = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
+        self.model = library.model
         self.cut = splitter(public_tokenizers.PATTERN)
         # Printable bytes of Latin-1 stand for themselves, the others for characters from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         self.written = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
         self.space = chr(self.written[ord(" ")])
-        self.remembered = Remembered(self._piece)
+        self.remembered = Remembered(self._piece, REMEMBERED)
 
     def encode(self, text: str) -> np.ndarray:
+        if not any(token in text for token in self.added):
+            return self._plain(text)
+        ids, done = [], 0
+        for found in self.apart.finditer(text):
+            ids += [self._plain(text[done : found.start()]), self.added[found[0]]]
+            done = found.end()
+        return np.concatenate([*ids, self._plain(text[done:])])
+
+    def _plain(self, text: str) -> np.ndarray:
         return self.remembered.ids(self.cut(text)).view(np.uint32)
 
     def _piece(self, piece: str) -> list[int]:
-        if piece.isascii() and piece[1:].isalnum() and (piece[0] == " " or piece[0].isalnum()):
+        if piece.isascii() and piece.isprintable():
             written = piece.replace(" ", self.space)
         else:
             written = piece.encode().decode("latin-1").translate(self.written)

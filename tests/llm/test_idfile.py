@@ -43,9 +43,9 @@ ROWS = [(i * 37 % 101, f"Document {i}, it's  number\n{i * i} 'll <|endoftext|> 
 
 @pytest.mark.parametrize("file_ids", [50, 1 << 21])
 def test_equals_the_library(docs, file_ids):
-    rows = ROWS + [(None, None), (None, "x"), (4, "again"), (4, "again"), (2**60 + 1, "w " * 40000)]
+    rows = ROWS + [(None, None), (None, "x"), (200, "<|endoftext|>"), (201, " <|endoftext|><|endoftext|>\n<|endoftext|"), (4, "again"), (4, "again"), (2**60 + 1, "w " * 40000)]
     library = Tokenizer.from_file(public_tokenizers.path(idfile.VOCABULARY))
-    library.encode_special_tokens = True
+    assert 50256 in library.encode("a <|endoftext|> b", add_special_tokens=False).ids
     got = idfile.read_ids(idfile.write_ids(docs(rows), file_ids=file_ids)).collect()
     got.sort(key=lambda r: r.start)
     order = [r.doc_id for r in got]
