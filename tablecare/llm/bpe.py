@@ -1,13 +1,17 @@
 """Byte-level BPE: overlapping chunks are split into pre-tokens, stitched, and encoded.
 
-A text of up to ``chunk + overlap`` characters is one chunk and never leaves its task. A longer
-one becomes chunks that overlap by ``overlap`` characters. Every chunk is pre-tokenised by
+A text becomes chunks that overlap by ``overlap`` characters, and every chunk is pre-tokenised by
 itself, wherever it lies. The pattern looks ahead only, so once two neighbours have a boundary
 in common inside their overlap, both agree from there on: the first such boundary is the seam.
 Boundaries within ``MARGIN`` characters of a cut are not trusted, since a match could have gone
 on. Each chunk then encodes the pre-tokens between its two seams, and the ids are put together
-in order. A text with an overlap that holds no common boundary (one pre-token longer than the
-overlap) is encoded as a single chunk instead: a text is one cell of one row anyway.
+in order.
+
+There are two sizes of chunk. Those of ``INNER`` characters lie in one task, which stitches them as
+it goes; where an overlap holds no common boundary (one pre-token longer than the overlap), the
+chunk grows. Texts beyond ``chunk + overlap`` characters are dealt out to tasks in
+chunks of that size first, which are stitched by joining their boundaries; without a common one
+such a text is not dealt out: it is one cell of one row anyway.
 
 Decoding looks the bytes of each id up and concatenates them.
 
@@ -36,7 +40,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablecare.llm.common import documents, staged, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK, OVERLAP = 1 << 16, 512
+#: Characters of a chunk that is dealt out, of one inside a task, and of an overlap.
+CHUNK, INNER, OVERLAP = 1 << 16, 1 << 12, 512
 #: A contraction such as 'll looks this many characters ahead.
 MARGIN = 3
 #: Pre-tokens of a generation whose ids a worker remembers.
@@ -171,6 +176,37 @@ def splitter(pattern: str):
     return split
 
 
+def stitched(cut: Callable[[str], list[str]], text: str, chunk: int = INNER, overlap: int = OVERLAP) -> list[str]:
+    """The pre-tokens of ``text``, from chunks that are cut apart one by one."""
+    size = chunk + overlap
+    pieces, base, end = cut(text[:size]), 0, min(len(text), size)
+    out: list[str] = []
+    seam = 0  # how many of ``pieces`` belong to the chunk before
+    while end < len(text):
+        start = end - overlap
+        ahead_end = min(len(text), start + size)
+        ahead = cut(text[start:ahead_end])
+        # Boundaries of both chunks, from the overlap's first character on.
+        ours = list(accumulate(map(len, pieces), initial=base))
+        theirs = {b: k for k, b in enumerate(accumulate(map(len, ahead), initial=start)) if b <= end - MARGIN}
+        at = next((k for k in range(max(seam, bisect_left(ours, start)), len(ours)) if ours[k] in theirs), None)
+        if at is None:
+            # Twice as much at a time, so that a text which is one pre-token is read a few times only.
+            ahead_end = min(len(text), max(ahead_end, 2 * end - ours[seam]))
+            pieces = pieces[:seam] + cut(text[ours[seam] : ahead_end])
+        else:
+            out += pieces[seam:at]
+            pieces, base, seam = ahead, start, theirs[ours[at]]
+        end = ahead_end
+    return out + pieces[seam:]
+
+
+def splitter_of_chunks(pattern: str):
+    """A function from a text to its pre-tokens, chunk by chunk."""
+    cut = splitter(pattern)
+    return lambda text: stitched(cut, text) if len(text) > INNER + OVERLAP else cut(text)
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     """Arrow lists of ``values``."""
     ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
@@ -209,7 +245,7 @@ def _boundaries(
     batches: Iterator[pa.RecordBatch], chunk: int, overlap: int, pattern: str
 ) -> Iterator[pa.RecordBatch]:
     """Three rows of a chunk: itself, the end's boundaries for the next, the head's for the one before."""
-    cut = splitter(pattern)
+    cut = splitter_of_chunks(pattern)
     for batch in batches:
         out = []
         for r in batch.to_pylist():
@@ -230,7 +266,7 @@ def _piece_ids(
     batches: Iterator[pa.RecordBatch], chunk: int, pattern: str, path: str | None
 ) -> Iterator[pa.RecordBatch]:
     """Encode the pre-tokens of each chunk from one seam to the other."""
-    cut, vocabulary = splitter(pattern), _vocabulary(path)
+    cut, vocabulary = splitter_of_chunks(pattern), _vocabulary(path)
     for batch in batches:
         ids = []
         for c, text, start, stop in zip(*(batch.column(x).to_pylist() for x in ("c", "text", "start", "stop"))):
@@ -245,7 +281,7 @@ def _piece_ids(
 
 def _text_ids(batches: Iterator[pa.RecordBatch], pattern: str, path: str | None) -> Iterator[pa.RecordBatch]:
     """Encode whole texts."""
-    cut, vocabulary = splitter(pattern), _vocabulary(path)
+    cut, vocabulary = splitter_of_chunks(pattern), _vocabulary(path)
     for batch in batches:
         for first in range(0, batch.num_rows, TOGETHER):
             part = batch.slice(first, TOGETHER)

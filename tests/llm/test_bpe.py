@@ -50,6 +50,22 @@ def test_empty_table(docs):
     assert bpe.token_digests(docs([])).collect() == []
 
 
+@pytest.mark.parametrize("chunk,overlap", [(8, 5), (30, 12), (200, 40)])
+def test_chunks_inside_a_task_are_stitched(chunk, overlap):
+    cut, rng = bpe.splitter(public_tokenizers.PATTERN), random.Random(chunk)
+    for t in TEXTS + ["".join(rng.choices("ab 1's\n!ré'll  ", k=rng.randint(0, 900))) for _ in range(400)]:
+        assert bpe.stitched(cut, t, chunk, overlap) == cut(t)
+    long = "x" * 400_000 + " " + "y z " * 50_000
+    assert bpe.stitched(cut, long) == cut(long)
+
+
+def test_texts_of_a_few_chunks(docs, library, monkeypatch):
+    monkeypatch.setattr(bpe, "INNER", 50)
+    rows = [(i, t * 3) for i, t in enumerate(TEXTS)]
+    got = {r.doc_id: r.ids for r in bpe.encode(docs(rows)).collect()}
+    assert got == {i: library.encode_ordinary(t) for i, t in rows}
+
+
 def test_both_engines_split_alike():
     full, cut, rng = regex.compile(public_tokenizers.PATTERN), bpe.splitter(public_tokenizers.PATTERN), random.Random(1)
     pool = [chr(c) for c in range(0x2100) if not 0xD800 <= c < 0xE000]
