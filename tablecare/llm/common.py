@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tablecare.sources.staging import new_path
 
@@ -35,3 +38,38 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def crc_remainder(key: str, modulus: int) -> Column:
     """crc32 of a key's decimal text, modulo ``modulus``; a null key counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def least_hashed(rows: DataFrame, group: str, key: str, most: Callable[[int], int]) -> DataFrame:
+    """(group, key): of each group the keys with the smallest hashes, ``most(number of groups)`` at most.
+
+    Rows are counted by group, which tells below what hash enough keys should lie. Only those
+    below it are shuffled, each once, so neither the task of a group nor the rows sent grow with
+    the table; where too few lie there (a key that most rows have), the bound is raised.
+    """
+    spark = rows.sparkSession
+    count = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    wanted = max(1, most(len(count)))
+    share = {g: min(1.0, 4 * wanted / n) for g, n in count.items()}
+    kind = StructType([rows.schema[group], StructField("bound", LongType())])
+    hashed = rows.select(group, key, F.xxhash64(key).alias("hash"))
+    while True:
+        bounds = spark.createDataFrame([(g, min(int(s * 2**64) - 2**63, 2**63 - 1)) for g, s in share.items()], kind)
+        below = hashed.join(F.broadcast(bounds), group).where("hash <= bound").drop("bound").distinct()
+        below = staged(below, "least")
+        have = {r[0]: r[1] for r in below.groupBy(group).count().collect()}
+        short = [g for g, s in share.items() if s < 1 and have.get(g, 0) < wanted]
+        if not short:
+            break
+        share.update((g, min(1.0, 16 * share[g])) for g in short)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("hash", key))
+    return below.withColumn("rank", rank).where(F.col("rank") <= wanted).select(group, key)
+
+
+def one_text(rows: DataFrame, *key: str) -> DataFrame:
+    """(key, text): of the rows with the same key one text, that with the smallest hash."""
+    return (
+        rows.groupBy(*key)
+        .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+        .select(*key, F.col("least.text").alias("text"))
+    )

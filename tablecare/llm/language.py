@@ -8,7 +8,8 @@ The network is trained in numpy by backpropagation through time, with Adam, on t
 Training rows: non-null doc_id and lang, a text that is not empty, and crc32(doc_id) mod ``FOLDS``
 other than ``HELD_OUT``. Every language among them is learned: ``ROWS`` rows are divided among the
 languages, at least one and at most ``ROWS_PER_LANGUAGE`` of each, those with the smallest hash of
-doc_id, and ``WINDOWS_PER_ROW`` windows of a row, spread evenly over its text. Bounded are also the
+doc_id, and ``WINDOWS_PER_ROW`` windows of a row, spread evenly over its text. Of rows with the same
+doc_id and language one is learned from, that whose text has the smallest hash. Bounded are also the
 network, ``UNITS`` units a direction, and its training, ``STEPS`` batches of ``BATCH`` windows, whatever
 the number of languages.
 
@@ -25,10 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from tablecare.llm.common import crc_remainder, documents
+from tablecare.llm.common import crc_remainder, documents, least_hashed, one_text, staged
 
 FOLDS, HELD_OUT = 4, 2
 ROWS, ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 76_800, 600, 4
@@ -175,20 +176,18 @@ def _cut(raw: bytes) -> bytes:
 
 def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, the number of each one's language, and the languages: a bounded sample."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = (
         docs.where(F.col("text").cast("string") != "")
-        .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+        .select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.col("lang").cast("string").alias("lang"),
+            F.col("text").cast("string").alias("text"),
+        )
         .where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
         .where(crc_remainder("doc_id", FOLDS) != HELD_OUT)
     )
-    share = ROWS // max(1, known.select("lang").distinct().count())
-    chosen = (
-        known.withColumn("rank", F.row_number().over(rank))
-        .where(F.col("rank") <= min(ROWS_PER_LANGUAGE, max(1, share)))
-        .select("doc_id", "lang")
-        .distinct()
-    )
+    ids = staged(known.select("doc_id", "lang"), "known")
+    chosen = least_hashed(ids, "lang", "doc_id", lambda n: min(ROWS_PER_LANGUAGE, ROWS // max(1, n)))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,9 +204,7 @@ def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]
             )
 
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .where(F.col("text").isNotNull())
-        .join(F.broadcast(chosen), "doc_id")
+        one_text(known.join(F.broadcast(chosen), ["lang", "doc_id"]), "lang", "doc_id")
         .select("lang", "text")
         .mapInArrow(some, "lang string, window binary")
         .collect()

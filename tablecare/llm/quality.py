@@ -9,7 +9,8 @@ document is compared with all of them by exact cosines, in blocks; its ``NEIGHBO
 vote with their similarity as weight, a label's votes being scaled to how many rows it has.
 
 Learned from: rows of ``labels`` with a label, whose crc32(doc_id) mod ``FOLDS`` is not
-``HELD_OUT``; of more than ``ROWS_PER_LABEL``, those with the smallest hash of doc_id.
+``HELD_OUT``; of more than ``ROWS_PER_LABEL``, those with the smallest hash of doc_id. Of rows with
+the same doc_id one is learned from, that whose text has the smallest hash.
 
 Defined cases: null text is the empty text; a text without any neighbour of positive similarity,
 such as the empty one, scores the share of label 1; so does every text if there is one label
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecare.llm.common import crc_remainder, documents, text_of
+from tablecare.llm.common import crc_remainder, documents, least_hashed, one_text, staged, text_of
 
 FOLDS, HELD_OUT = 3, 1
 BUCKETS, ECHOES, RANK = 4096, 16, 48
@@ -63,12 +64,14 @@ def learnable(labels: DataFrame, name: str, folds: int, held_out: int) -> DataFr
     )
 
 
-def bounded(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows of either label: those with the smallest hash of doc_id."""
-    parts = [
-        rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)
-    ]
-    return parts[0].unionByName(parts[1])
+def sample(texts: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(doc_id, label, text), staged: at most ``most`` documents of either label, one text of each.
+
+    ``known`` (doc_id, label) has a document once; of those with more texts than one, the text with
+    the smallest hash is taken, so a doc_id that many rows have counts as one.
+    """
+    chosen = F.broadcast(least_hashed(known, "label", "doc_id", lambda groups: most))
+    return staged(one_text(texts.join(chosen, "doc_id"), "doc_id", "label"), "sample")
 
 
 @dataclass
@@ -152,12 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             )
 
     rows = (
-        texts.join(F.broadcast(bounded(known, ROWS_PER_LABEL)), "doc_id")
+        sample(texts, known, ROWS_PER_LABEL)
         .select("doc_id", "label", "text")
         .mapInArrow(vectors, "doc_id long, label int, counts binary")
         .collect()
     )
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.counts)))
+    rows.sort(key=lambda r: r.doc_id)
     own = np.array([r.label for r in rows], np.int64)
     counts = np.array([np.frombuffer(bytes(r.counts), np.uint32) for r in rows]).reshape(-1, TERMS)
     x = latent(counts, idf)

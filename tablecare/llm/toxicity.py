@@ -2,8 +2,10 @@
 
 Voters. A lexicon voter says "toxic" where a text has its word, or a word that begins with its
 stem of four to six letters. The lexicon is the words and stems that toxic rows have far more
-often than others, after many different words: those of a text that was merely copied always
-follow the same word. Pattern voters look at capitals, exclamation marks and odd signs, or say
+often than others, and more often than chance would bring about: of all candidates, no more than
+``CHANCE`` may be expected to be as uneven by accident. They must also follow ``SUPPORT`` different
+words, for those of a text that was merely copied always follow the same word; of few toxic rows,
+half as many as there are rows. What a rare entry is worth the label model finds out. Pattern voters look at capitals, exclamation marks and odd signs, or say
 "clean" where no word of the lexicon occurs. All may abstain.
 
 Label model. A generative model of the votes, fitted by expectation maximisation without using
@@ -15,13 +17,17 @@ outputs, which scores every whole text.
 Learned from: rows of ``labels`` with a label whose crc32(doc_id) mod ``FOLDS`` is not
 ``HELD_OUT``; at most ``ROWS_PER_LABEL`` of either label, those with the smallest hash of doc_id.
 
-Defined cases: null text is the empty text, where no lexicon voter speaks; if there are no toxic
-rows to learn from, every score is 0; rows whose labels contradict each other are not learned
+Of rows with the same doc_id one is learned from, that whose text has the smallest hash.
+
+Defined cases: null text is the empty text, where no lexicon voter speaks; if no entry stands out,
+as where there are no toxic rows, no clean ones, or too few of either for chance to be ruled out,
+every score is 0; rows whose labels contradict each other are not learned
 from; repeated rows are each scored; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,15 +37,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecare.llm.common import crc_remainder, documents, text_of
-from tablecare.llm.quality import bounded, learnable
+from tablecare.llm.common import crc_remainder, documents, staged, text_of
+from tablecare.llm.quality import learnable, sample
 
 FOLDS, HELD_OUT = 5, 0
 ROWS_PER_LABEL = 2000
-#: Stems' lengths; entries of the lexicon, the words before it in toxic rows (number, and share of those rows),
-#: and how much likelier it is in toxic rows.
+#: Stems' lengths; entries of the lexicon, different words before one in toxic rows, how much likelier it
+#: is there, and how many entries may be expected to be so by chance.
 STEMS = (4, 5, 6)
-LEXICON, SUPPORT, SUPPORT_SHARE, LIKELIER = 400, 5, 0.01, 30.0
+LEXICON, SUPPORT, LIKELIER, CHANCE = 400, 5, 30.0, 0.2
 STEM = "*"
 #: Voters whose votes correlate more than this, given the label, are held to depend on each other.
 DEPENDENT = 0.3
@@ -128,6 +134,8 @@ def label_model(
     ``seeds`` voters, the lexicon; what the others are worth is found out from there.
     """
     yes, no = (votes == 1).astype(np.float64), (votes == -1).astype(np.float64)
+    # Only votes for the same on the same row can repeat each other.
+    repeats = (yes.T @ yes + no.T @ no > 0) | np.eye(votes.shape[1], dtype=bool)
     posterior = np.where(yes[:, :seeds].any(1), 0.98, 0.02)
     prior, say = min(max(prior, 0.05), 0.95), np.ones(votes.shape[1])
     for _ in range(rounds):
@@ -140,7 +148,7 @@ def label_model(
         spread = np.sqrt((rest * rest).mean(0)) + 1e-6
         correlation = (rest.T @ rest) / len(votes) / np.outer(spread, spread)
         np.fill_diagonal(correlation, 1)
-        say = 1 / np.where(correlation > DEPENDENT, correlation, 0).sum(1)
+        say = 1 / np.where(repeats & (correlation > DEPENDENT), correlation, 0).sum(1)
         total = np.log(prior / (1 - prior)) + yes @ (odds_yes * say) + no @ (odds_no * say)
         posterior = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
     return posterior, say
@@ -176,10 +184,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    chosen = bounded(learnable(labels, "toxic", FOLDS, HELD_OUT), ROWS_PER_LABEL)
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+def by_chance(toxic: int, n: int, all_toxic: int, all_rows: int) -> float:
+    """The chance that of ``n`` rows drawn from all at least ``toxic`` are toxic ones."""
+
+    def ways(a: int, b: int) -> float:
+        return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+
+    clean = all_rows - all_toxic
+    return sum(
+        math.exp(ways(all_toxic, k) + ways(clean, n - k) - ways(all_rows, n))
+        for k in range(max(toxic, n - clean), min(n, all_toxic) + 1)
+    )
+
+
+def find_lexicon(rows: DataFrame) -> tuple[list[str], int, int]:
+    """The lexicon of (label, text), and the numbers of toxic and clean rows."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,24 +209,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     ["label", "entry", "before"],
                 )
 
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    rate = (F.col("toxic") + 0.5) / (toxic + 1)
-    other = (F.col("n") - F.col("toxic") + 0.5) / (clean + 1)
-    lexicon = [
-        r["entry"]
-        for r in sample.mapInArrow(found, "label int, entry string, before string")
+    candidates = staged(
+        rows.mapInArrow(found, "label int, entry string, before string")
         .groupBy("entry")
         .agg(
             F.sum("label").alias("toxic"),
             F.count("*").alias("n"),
             F.size(F.collect_set(F.when(F.col("label") == 1, F.xxhash64("before")))).alias("contexts"),
         )
-        .where((F.col("contexts") >= max(SUPPORT, SUPPORT_SHARE * toxic)) & (rate >= LIKELIER * other))
-        .orderBy(F.desc("toxic"), "entry")
-        .limit(LEXICON)
+        .where(F.col("contexts") >= min(SUPPORT, -(-toxic // 2))),
+        "candidates",
+    )
+    tried = candidates.count()
+    # As many as the lexicon takes, and some that chance may rule out; those in most toxic rows first.
+    likely = (
+        candidates.where(F.col("toxic") * clean >= LIKELIER * toxic * (F.col("n") - F.col("toxic")))
+        .orderBy(F.desc("toxic"), "n", "entry")
+        .limit(4 * LEXICON)
         .collect()
-    ]
+    )
+    kept = [r["entry"] for r in likely if by_chance(r["toxic"], r["n"], toxic, toxic + clean) * tried <= CHANCE]
+    return kept[:LEXICON], toxic, clean
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = sample(texts, learnable(labels, "toxic", FOLDS, HELD_OUT), ROWS_PER_LABEL)
+    lexicon, toxic, clean = find_lexicon(rows)
     voters = Voters(lexicon)
     if not lexicon:
         return Model(voters, np.zeros(len(voters)), 0.0)
@@ -217,8 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             votes = [voters.votes(t.as_py()).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.binary())], ["votes"])
 
-    rows = sorted(bytes(r.votes) for r in sample.mapInArrow(voted, "votes binary").collect())
-    votes = np.frombuffer(b"".join(rows), np.int8).reshape(-1, len(voters))
+    cast = sorted(bytes(r.votes) for r in rows.mapInArrow(voted, "votes binary").collect())
+    votes = np.frombuffer(b"".join(cast), np.int8).reshape(-1, len(voters))
     posterior, _ = label_model(votes, toxic / (toxic + clean), len(lexicon))
     weights, intercept = logistic(votes.astype(np.float64), posterior)
     return Model(voters, weights, intercept)

@@ -102,3 +102,49 @@ def test_kept_rows_keep_their_columns(table, rows):
     got = {tuple(r) for r in kept.collect()}
     assert got <= {tuple(r) for r in df.collect()}
     assert not {900, 901} & {r[0] for r in got} and len(got) >= 0.97 * len(rows)
+
+
+def test_pooling_by_a_loop_over_bytes():
+    """Every byte's label from plain recurrences, and the mean over the bytes of letters."""
+    rng = np.random.default_rng(6)
+    network = L.Network(["a", "b", "c"], L.initial(3, 4, seed=7))
+    w = {k: v.astype(np.float64) for k, v in network.weights.items()}
+    texts = ["", None, "abc", "é日本 12", "".join(chr(x) for x in rng.integers(32, 300, 333)), "x" * L.WINDOW, "y z" * 100]
+    got = L.document_probabilities(network, texts)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for text, found in zip(texts, got):
+        raw = (text or "").encode()
+        raw += b"\0" * (-len(raw) % L.WINDOW)
+        total, n = np.zeros(3), 0
+        for at in range(0, len(raw), L.WINDOW):
+            window = raw[at : at + L.WINDOW]
+            states = {}
+            for d in "fb":
+                h = np.zeros(4)
+                for t in range(L.WINDOW) if d == "f" else reversed(range(L.WINDOW)):
+                    x, a = w["in" + d][window[t]], h @ w["re" + d]
+                    update, reset = sigmoid(x[:4] + a[:4]), sigmoid(x[4:8] + a[4:8])
+                    h = h + update * (np.tanh(x[8:] + reset * a[8:]) - h)
+                    states[d, t] = h
+            for t, byte in enumerate(window):
+                if byte >= 128 or chr(byte).isalpha():
+                    z = np.concatenate([states["f", t], states["b", t]]) @ w["out"] + w["bias"]
+                    total, n = total + np.exp(z) / np.exp(z).sum(), n + 1
+        assert np.allclose(found, total / max(n, 1), atol=1e-4)
+
+
+def test_least_hashed_is_the_plain_sample(spark):
+    from pyspark.sql import functions as F
+
+    from tablecare.llm.common import least_hashed
+
+    rows = spark.range(20_000).selectExpr("id AS k", "concat('g', id % 3) AS g")
+    hot = spark.range(30_000).selectExpr("CAST(7 AS BIGINT) AS k", "'g9' AS g").unionByName(spark.range(9).selectExpr("id AS k", "'g9' AS g"))
+    rows = rows.unionByName(hot)
+    got = sorted(map(tuple, least_hashed(rows, "g", "k", lambda n: 40 // n).collect()))
+    want = []
+    for g in ("g0", "g1", "g2", "g9"):
+        keys = rows.where(F.col("g") == g).select("g", "k", F.xxhash64("k").alias("h")).distinct().collect()
+        want += [(r.g, r.k) for r in sorted(keys, key=lambda r: r.h)[:10]]
+    assert got == sorted(want)
+    assert least_hashed(rows.where("false"), "g", "k", lambda n: 5).count() == 0

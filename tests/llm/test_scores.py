@@ -1,8 +1,11 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import regex
 
 from tablecare.llm import quality as Q
 from tablecare.llm import toxicity as T
@@ -98,3 +101,97 @@ def test_label_model_finds_good_and_repeated_voters():
     posterior, say = T.label_model(votes, 0.3, 8)
     assert ((posterior > 0.5) == y).mean() > 0.97
     assert say[0] < 0.5 and say[6] < 0.5 and say[1] > 0.7
+
+
+def test_few_toxic_rows_and_few_clean_ones(docs, label_table):
+    rng = random.Random(5)
+    clean_text = lambda: " ".join(rng.choice(["the", "shing", "eran", "onth", "ingre", "ndst", "thera", "oner"]) for _ in range(30))
+
+    def scores(toxic, clean):
+        learned = [i for i in range(4 * (toxic + clean) + 20) if folds(i, 5)]
+        bad, good, free = learned[:toxic], learned[toxic : toxic + clean], learned[toxic + clean :]
+        rows = [(i, f"{clean_text()} grumbo {clean_text()}") for i in [*bad, free[0]]] + [(i, clean_text()) for i in [*good, free[1]]]
+        labels = [(i, 1, 1) for i in bad] + [(i, 1, 0) for i in good]
+        got = {r.doc_id: r.score for r in T.predict(docs(rows), label_table(labels)).collect()}
+        return got[free[0]], got[free[1]]
+
+    for toxic, clean in ((4, 96), (40, 960), (12, 8)):
+        high, low = scores(toxic, clean)
+        assert high >= 0.5 > low, (toxic, clean)
+    # Nothing can be told from one row, or without clean ones.
+    assert scores(1, 5) == scores(9, 0) == (0.0, 0.0)
+
+
+def test_chance_by_counting():
+    from itertools import combinations
+
+    draws = [sum(x < 4 for x in c) for c in combinations(range(9), 3)]
+    for least in range(5):
+        assert abs(T.by_chance(least, 3, 4, 9) - np.mean([d >= least for d in draws])) < 1e-9
+
+
+@pytest.mark.parametrize("module,column", [(Q, 1), (T, 2)])
+def test_one_doc_id_on_many_rows_counts_once(docs, label_table, spark, module, column):
+    rows, labels = rows_and_labels()
+    hot = next(i for i, *_ in labels if i % 5 == 0 and i % 4 == 0 and folds(i, 15) and folds(i, 3) != 1 and folds(i, 5))
+    base = docs([r for r in rows if r[0] != hot])
+    one = docs([(hot, "grumbo vexel the shing eran " * 3)])
+    many = spark.range(10_000).select().crossJoin(one)
+    model = [module.fit(base.unionByName(x.select(base.columns)), label_table(labels)) for x in (one, many)]
+    if module is T:
+        assert model[0].voters.lexicon == model[1].voters.lexicon
+        assert np.allclose(model[0].weights, model[1].weights)
+    else:
+        assert len(model[0].vectors) == len(model[1].vectors) and (model[0].labels == model[1].labels).all()
+
+
+def test_toxicity_scores_by_plain_loops(docs, label_table):
+    rows, labels = rows_and_labels(3, 150)
+    model = T.fit(docs(rows), label_table(labels))
+    texts = [t for _, t in rows] + ["", "GRUMBO!!! vexelitis", "snarf " * 500, "é日本 1234567890"]
+    got = model.scores(texts)
+    for text, score in zip(texts, got):
+        words = set(re.findall("[a-z]+", text.lower()) if text.isascii() else regex.findall(r"\p{L}+", text.lower()))
+        total, spoke = model.intercept, False
+        for entry, weight in zip(model.voters.lexicon, model.weights):
+            if any(w == entry or entry.endswith("*") and w.startswith(entry[:-1]) for w in words):
+                total, spoke = total + weight, True
+        letters = [c for c in text if "A" <= c <= "Z"], [c for c in text if "a" <= c <= "z" or ord(c) >= 0x80]
+        n = max(1, len(text))
+        shares = [
+            len(letters[0]) / max(1, len(letters[0]) + len(letters[1])),
+            text.count("!") / n, sum(c in "#$%&*@^~|<>{}" for c in text) / n, sum("0" <= c <= "9" for c in text) / n,
+        ]
+        for (which, least, vote), weight in zip(T.PATTERNS, model.weights[len(model.voters.lexicon) :]):
+            total += vote * weight * (shares[which] >= least)
+        total -= 0 if spoke else model.weights[-1]
+        assert abs(score - 1 / (1 + math.exp(-min(30, max(-30, total))))) < 1e-9
+
+
+def test_label_model_by_plain_loops():
+    rng = np.random.default_rng(2)
+    votes = rng.choice([-1, 0, 0, 1], (40, 5)).astype(np.int8)
+    got, say = T.label_model(votes, 0.3, 3, rounds=2)
+    n, m = votes.shape
+    p = [0.98 if any(votes[i][j] == 1 for j in range(3)) else 0.02 for i in range(n)]
+    for _ in range(2):
+        n1, n0 = sum(p) + 1, sum(1 - x for x in p) + 1
+        odds = {}
+        for j in range(m):
+            for v, right in ((1, (0.9, 0.1)), (-1, (0.1, 0.9))):
+                a = sum(p[i] for i in range(n) if votes[i][j] == v) + right[0] * 10
+                b = sum(1 - p[i] for i in range(n) if votes[i][j] == v) + right[1] * 10
+                odds[j, v] = math.log(a / n1) - math.log(b / n0)
+        mean = [(sum((1 - p[i]) * votes[i][j] for i in range(n)) / n0, sum(p[i] * votes[i][j] for i in range(n)) / n1) for j in range(m)]
+        rest = [[votes[i][j] - (1 - p[i]) * mean[j][0] - p[i] * mean[j][1] for j in range(m)] for i in range(n)]
+        spread = [math.sqrt(sum(r[j] ** 2 for r in rest) / n) + 1e-6 for j in range(m)]
+        plain = []
+        for j in range(m):
+            both = [j == k or any(v[j] == v[k] != 0 for v in votes) for k in range(m)]
+            c = [1 if j == k else both[k] * sum(r[j] * r[k] for r in rest) / n / spread[j] / spread[k] for k in range(m)]
+            plain.append(1 / sum(x for x in c if x > T.DEPENDENT))
+        p = [
+            1 / (1 + math.exp(-(math.log(0.3 / 0.7) + sum(odds[j, votes[i][j]] * plain[j] for j in range(m) if votes[i][j]))))
+            for i in range(n)
+        ]
+    assert np.allclose(got, p) and np.allclose(say, plain)
