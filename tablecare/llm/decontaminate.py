@@ -9,7 +9,8 @@ compared word for word. Items of fewer than ``WINDOW`` words are a single window
 its fingerprint, and documents are hashed at those lengths too, if there are any.
 
 Benchmark tables are broadcast up to ``BROADCAST_ROWS`` rows, counted first; larger ones are
-joined by shuffles. Windows that occur in the same set of items form a class, told by aggregate
+joined by shuffles. A run then travels with its own words only, so what a text sends grows with
+its length, and the documents' sizes are counted apart, so no key is common to all. Windows that occur in the same set of items form a class, told by aggregate
 hashes; documents carry classes, and the items of each distinct set of classes are listed once.
 So neither a passage that many documents share nor one that many items share multiplies rows.
 
@@ -82,11 +83,6 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     return long.unionByName(short).distinct()
 
 
-def _fits(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Per distinct (doc_id, text): doc_id, mark, n_words, copies, starts (at, size), classes.
 
@@ -103,7 +99,7 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
             value.alias("print"),
         )
 
-    runs = [F.array(run(-1, -1, 0, none))]
+    runs = []
     if WINDOW in sizes:
         first = F.filter(
             F.sequence(F.lit(0), F.size("least") - 1),
@@ -128,30 +124,28 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     runs += [each(size) for size in sizes if size < WINDOW]
 
     own = _hashed(docs.select("doc_id", F.xxhash64(text_of()).alias("mark"), words(text_of()).alias("words")))
+    sized = own.select("doc_id", "mark", "n")
     if WINDOW in sizes:
         own = _windows(own).withColumn("first", first)
-    prints = windows.select("print", "size").unionByName(
+    classes = windows.select("window", "size", "class").distinct()
+    prints = windows.select("print", "size")
+    # There are no more prints than windows, so what holds for these holds for both.
+    if classes.count() > BROADCAST_ROWS:
+        return _hits_by_shuffles(own.withColumn("runs", F.concat(*runs)), sized, prints.distinct(), classes)
+    head = F.array(run(-1, -1, 0, none))
+    prints = prints.unionByName(
         windows.sparkSession.range(1).select(none.alias("print"), F.lit(0).alias("size"))
     ).distinct()
     found = (
-        own.withColumn("runs", F.concat(*runs))
+        own.withColumn("runs", F.concat(head, *runs))
         .select("doc_id", "mark", "n", "words", F.inline_outer("runs"))
-        .join(_fits(prints), ["print", "size"])
-        .select(
-            "doc_id",
-            "mark",
-            "n",
-            "size",
-            F.explode(F.sequence("at", "stop")).alias("at"),
-            F.col("at").alias("base"),
-            F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("stop") - F.col("at") + F.col("size")).alias("part"),
-        )
-        .withColumn("window", F.array_join(F.slice("part", F.col("at") - F.col("base") + 1, F.col("size")), " "))
+        .join(F.broadcast(prints), ["print", "size"])
+        .withColumn("part", _own_words())
     )
-    classes = windows.select("window", "size", "class").distinct()
     is_head = F.col("at") < 0
     return (
-        found.join(_fits(classes), ["window", "size"], "left")
+        _spread(found, "doc_id", "mark", "n")
+        .join(F.broadcast(classes), ["window", "size"], "left")
         .where(is_head | F.col("class").isNotNull())
         .groupBy("doc_id", "mark")
         .agg(
@@ -163,6 +157,41 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
+def _own_words() -> Column:
+    """The words that the windows of a run cover."""
+    return F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("stop") - F.col("at") + F.col("size"))
+
+
+def _spread(found: DataFrame, *key: str) -> DataFrame:
+    """Runs (at, stop, size, part) taken apart into their windows (at, size, window)."""
+    return found.select(
+        *key, "size", F.explode(F.sequence("at", "stop")).alias("at"), F.col("at").alias("base"), "part"
+    ).withColumn("window", F.array_join(F.slice("part", F.col("at") - F.col("base") + 1, F.col("size")), " "))
+
+
+def carried_runs(own: DataFrame) -> DataFrame:
+    """Rows of runs with their own words, from documents with ``runs`` and ``words``."""
+    # Outer, for the reason given in ``benchmark_windows``.
+    runs = own.select("doc_id", "mark", "words", F.inline_outer("runs")).where("at IS NOT NULL")
+    return runs.withColumn("part", _own_words()).drop("words")
+
+
+def _hits_by_shuffles(own: DataFrame, sized: DataFrame, prints: DataFrame, classes: DataFrame) -> DataFrame:
+    key = ["doc_id", "mark"]
+    found = _spread(carried_runs(own).join(prints, ["print", "size"]), *key).join(classes, ["window", "size"])
+    hit = found.groupBy(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark")).agg(
+        F.array_sort(F.collect_set(F.struct("at", "size"))).alias("starts"),
+        F.array_sort(F.collect_set("class")).alias("classes"),
+    )
+    texts = sized.groupBy(*key).agg(F.max("n").alias("n_words"), F.count("*").alias("copies"))
+    empty = {x: F.coalesce(x, F.array().cast(hit.schema[x].dataType)) for x in ("starts", "classes")}
+    return (
+        texts.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")), "left")
+        .withColumns(empty)
+        .select(*key, "n_words", "copies", "starts", "classes")
+    )
+
+
 def classed(windows: DataFrame) -> DataFrame:
     """``windows`` with ``class``: alike for windows that occur in the same items."""
     sets = windows.groupBy("window", "size").agg(

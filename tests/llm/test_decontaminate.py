@@ -50,9 +50,12 @@ def corpus(seed, sizes):
     return rows + [(5, rows[5][1]), (5, "other text"), (None, None), (None, items[0][1]), (60, ""), (61, " ".join(texts[0] * 3000))], items
 
 
-@pytest.mark.parametrize("seed,sizes,most", [(1, [30, 25, 60, 12], 10**6), (2, [30, 9, 3, 1, 10, 11], 10**6), (3, [5, 14], 0), (4, [2], 10**6)])
-def test_equals_brute_force(spark, docs, monkeypatch, seed, sizes, most):
+@pytest.mark.parametrize("seed,sizes,most", [(1, [30, 25, 60, 12], 10**6), (2, [30, 9, 3, 1, 10, 11], 10**6), (3, [5, 14], 0), (4, [2], 10**6), (5, [30, 25, 60, 12], 0)])
+def test_equals_brute_force(spark, docs, monkeypatch, request, seed, sizes, most):
     monkeypatch.setattr(D, "BROADCAST_ROWS", most)
+    if not most:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
     rows, items = corpus(seed, sizes)
     benchmark = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, window string")
     got = D.mark_contaminated(docs(rows), benchmark).drop("mark")
@@ -71,3 +74,19 @@ def test_empty_tables(spark, docs):
     assert D.mark_contaminated(docs([]), none).collect() == []
     got = D.mark_contaminated(docs([(1, "a b c")]), none).collect()
     assert [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got] == [(1, 3, 0, 0, False)]
+
+
+def test_runs_that_are_shuffled_carry_few_words(spark, docs, monkeypatch):
+    """What a text sends grows with its length, and no key is common to all documents."""
+    carried = []
+    real = D.carried_runs
+    monkeypatch.setattr(D, "carried_runs", lambda own: carried.append(real(own)) or carried[-1])
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    rng = random.Random(9)
+    rows = [(n, " ".join(f"w{rng.randint(0, 999)}" for _ in range(n))) for n in (500, 5_000, 50_000)]
+    items = spark.createDataFrame([(1, rows[0][1][:300]), (2, "w1 w2 w3")], "item_id long, text string")
+    assert {r.doc_id for r in D.mark_contaminated(docs(rows), items).where("contaminated").collect()} >= {500}
+    runs = carried[0].groupBy("doc_id").agg({"*": "count"}).collect()
+    words = {r.doc_id: r.n for r in carried[0].selectExpr("doc_id", "size(part) AS n").groupBy("doc_id").agg({"n": "sum"}).toDF("doc_id", "n").collect()}
+    assert all(words[n] < 9 * n for n in (500, 5_000, 50_000)) and len(runs) == 3
+    assert carried[0].groupBy("print", "size").count().agg({"count": "max"}).first()[0] < 1000
