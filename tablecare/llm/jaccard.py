@@ -27,7 +27,9 @@ Steps, all exact:
 
 Defined cases: null or empty text, or text without words, has no shingles, and is its own
 component; rows with the same doc_id are each returned, with the smallest doc_id of their own
-component; a null doc_id counts only if a component has no other; other columns are ignored.
+component; a null doc_id counts only if a component has no other; other columns are ignored. Where
+one row of a component is kept, it is that with the smallest doc_id, null last, and of rows with
+that id the one whose text has the smallest hash; of rows alike in both, one.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tablecare.llm.common import documents, free_name, staged, text_of
 from tablecare.llm.components import components
@@ -47,7 +49,7 @@ CELL = 128
 #: Shingles left out of signatures at most, and how many documents of a batch make one a candidate.
 FREQUENT, COMMON = 200_000, 8
 #: Documents of a batch whose arrays a worker holds at a time.
-BATCH = 2048
+BATCH = 512
 #: In a task: classes compared outright, pivots of a larger region, and the share of it that a
 #: region may keep for pivots to be of use.
 LEAF, PIVOTS, USEFUL = 48, 6, 0.75
@@ -215,8 +217,11 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]]))
             hubs = np.repeat(keys[first], np.diff(np.append(first, len(marks))))
             # One row of a signature; the batch's other classes of it hang on to that one's.
-            edges = np.unique(np.stack([keys, hubs], 1)[keys != hubs], axis=0)
-            for a, b, c in ((keys[first], marks[first].view(np.int64), None), (edges[:, 0], None, edges[:, 1])):
+            a, b = keys[keys != hubs], hubs[keys != hubs]
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+            for a, b, c in ((keys[first], marks[first].view(np.int64), None), (a[new], None, b[new])):
                 none = pa.nulls(len(a), pa.int64())
                 columns = [pa.array(a), none if b is None else pa.array(b), none if c is None else pa.array(c)]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "mark", "hub"])
@@ -350,8 +355,8 @@ def cell_links(members: DataFrame) -> DataFrame:
     return members.repartition("cell").sortWithinPartitions("cell").mapInArrow(rows, "a long, b long")
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, mark, n, digest), and of each set's digest the component_id and the row that stays."""
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("mark")
     )
@@ -359,20 +364,23 @@ def similar_components(docs: DataFrame) -> DataFrame:
     top = common.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
     frequent = np.sort(np.array([r["shingle"] for r in top.select("shingle").collect()], np.int64).view(np.uint64))
     classes = rows.where("n > 0").groupBy("digest", "key").agg(
-        F.min("doc_id").alias("first_id"),
-        F.min(F.struct("doc_id", "mark")).alias("row"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("row"),
         F.count("*").alias("copies"),
     )
     blocks = components(candidate_edges(texts, frequent))
     members, to_pivot = cells(block_sets(texts, classes, blocks))
     edges = cell_links(members).unionByName(to_pivot)
     found = components(edges)
-    # The smallest doc_id of a component, from those of its classes.
+    # The first row of a component, from those of its classes.
     labelled = classes.join(found.withColumnRenamed("node", "key"), "key", "left")
-    least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("first_id").alias("least"))
-    named = labelled.join(least, "label", "left").select(
-        "digest", F.coalesce("least", "first_id").alias("component_id")
-    )
+    least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("row").alias("least"))
+    named = labelled.join(least, "label", "left").select("digest", F.coalesce("least", "row").alias("stays"))
+    return rows, named.select("digest", F.col("stays.doc_id").alias("component_id"), "stays")
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
+    rows, named = _labelled(docs)
     return (
         rows.where("n > 0")
         .join(named, "digest")
@@ -384,15 +392,23 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component, with all columns."""
-    kept = free_name(docs, "kept_id")
-    first = (
-        similar_components(docs)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias(kept))
-        .distinct()
+    """One row of each component of ``docs``, with all columns; every row without shingles."""
+    kept, mark, own, rank = (free_name(docs, x) for x in ("kept", "mark", "own_mark", "rank"))
+    rows, named = _labelled(docs)
+    first = named.select("stays.doc_id", "stays.mark").distinct().withColumn("single", F.lit(True))
+    bare = rows.where("n = 0").select("doc_id", "mark").distinct().withColumn("single", F.lit(False))
+    stays = first.unionByName(bare).select(F.struct("doc_id", "single").alias(kept), F.col("mark").alias(mark))
+    nth = F.row_number().over(Window.partitionBy("doc_id", own).orderBy(own))
+    return (
+        docs.withColumn(own, F.xxhash64(text_of()))
+        .join(
+            stays,
+            F.col("doc_id").cast("long").eqNullSafe(F.col(kept)["doc_id"]) & (F.col(own) == F.col(mark)),
+        )
+        .withColumn(rank, nth)
+        .where((F.col(rank) == 1) | ~F.col(kept)["single"])
+        .select([F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
     )
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

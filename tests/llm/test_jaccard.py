@@ -92,6 +92,18 @@ def test_empty_table_and_rows_that_stay(docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute(rows)})
 
 
+def test_one_row_stays_whatever_the_ids(docs):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other = text + " more", " ".join(f"v{i}" for i in range(40))
+    rows = [(None, text), (None, near), (7, text), (7, near), (7, text), (None, other), (None, other + " x"), (9, other), (9, ""), (9, ""), (None, None)]
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(docs(rows)).collect()]
+    of = lambda words: [(i, t) for i, t in kept if t and t.startswith(words)]
+    assert [i for i, _ in of("w0")] == [7] and [i for i, _ in of("v0")] == [9]
+    assert sorted((i is None, t) for i, t in kept if not t) == [(False, ""), (False, ""), (True, None)]
+    nameless = [(None, text), (None, near), (None, near), (3, other)]
+    assert len(jaccard.keep_one(docs(nameless)).collect()) == 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 7, 18, 40, 150, 900])
 def test_linked_sets_share_a_signature(n):
     rng = np.random.default_rng(n)
