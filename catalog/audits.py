@@ -90,8 +90,8 @@ def impute_median(spark, sf_dir):
 
 @query(
     "impute_mean",
-    """WITH middle AS (SELECT avg(quantity) AS mean FROM lineitem_dirty)
-SELECT l_orderkey, l_linenumber, round(coalesce(quantity, mean), 6) AS quantity FROM lineitem_dirty, middle""",
+    """SELECT l_orderkey, l_linenumber,
+  round(coalesce(quantity, (SELECT avg(quantity) FROM lineitem_dirty)), 6) AS quantity FROM lineitem_dirty""",
     ("lineitem_dirty",),
 )
 def impute_mean(spark, sf_dir):
@@ -99,6 +99,22 @@ def impute_mean(spark, sf_dir):
     return done(spark, sf_dir).withColumn("quantity", F.round("quantity", 6))
 
 
+@query(
+    "impute_median_exact",
+    """WITH big AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN 1152921504606846976 + o_orderkey END AS x FROM orders),
+placed AS (SELECT x, row_number() OVER (ORDER BY x) AS nth, count(*) OVER () AS n FROM big WHERE x IS NOT NULL),
+middle AS (SELECT min(x) AS low, max(x) AS high FROM placed WHERE nth IN ((n + 1) // 2, n // 2 + 1))
+SELECT id, coalesce(x::VARCHAR || '.0000', (SELECT ((low::HUGEINT + high) // 2)::VARCHAR ||
+  CASE WHEN (low::HUGEINT + high) % 2 = 0 THEN '.0000' ELSE '.5000' END FROM middle)) AS x FROM big""",
+)
+def impute_median_exact(spark, sf_dir):
+    """Whole numbers beyond 2**53 keep their last digits, and so does their median."""
+    key = F.col("o_orderkey")
+    x = F.when(key % 7 != 0, F.lit(2**60) + key).alias("x")
+    done = cleaning.handle_missing(table(spark, sf_dir, "orders").select(key.alias("id"), x))
+    return done.df.withColumn("x", F.col("x").cast("string"))
+
+
 @query(
     "impute_constant",
     """SELECT l_orderkey, l_linenumber, coalesce(quantity, -1) AS quantity,

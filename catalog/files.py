@@ -185,6 +185,18 @@ def csv_quoted_breaks(spark, sf_dir):
     return csv_source.read_leads(spark, path).df
 
 
+@query(
+    "csv_quoted_breaks_one_file",
+    "SELECT doc_id::VARCHAR AS doc_id, text, lang, n_chars::VARCHAR AS n_chars FROM documents",
+)
+def csv_quoted_breaks_one_file(spark, sf_dir):
+    """One file with line breaks in many cells, read in as many pieces as Spark cuts it into."""
+    path = new_path(spark, "one-file-csv")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    sinks.write_table(docs.coalesce(1), path)
+    return csv_source.read_csv_text(spark, path).df
+
+
 @query(
     "csv_mixed_headers",
     """SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer

@@ -8,6 +8,8 @@ from catalog.registry import query
 from catalog.views import table, view
 from tablecare.functions.columns import nan_as_null
 from tablecare.operators import frequencies, profile, quality
+from tablecare.plans.profile_state import ProfileState
+from tablecare.sources.staging import new_path
 from tablecare.operators.dedupe import count_duplicates
 from tablecare.operators.profile import TableFacts
 
@@ -193,6 +195,20 @@ _profile_query("orders", "orders", ORDERS, table)
 _profile_query("customer", "customer", CUSTOMER, table)
 
 
+@query(
+    "profile_table_grown",
+    f"WITH facts AS ({facts_sql('event_log', EVENTS)}) {_PROFILE} FROM facts",
+    ("event_log",),
+)
+def profile_table_grown(spark, sf_dir):
+    """From what five additions counted, one of which came twice: as if from the whole table."""
+    rows = view(spark, sf_dir, "event_log")
+    state = ProfileState(spark, new_path(spark, "profile-state"))
+    for k in (0, 1, 2, 3, 4, 2):
+        state.add(f"batch {k}", rows.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == k))
+    return profile.profile_table(state.facts()).withColumn("mean", F.round("mean", 6))
+
+
 @query(
     "profile_quantiles_narrowed",
     " UNION ALL ".join(

@@ -16,13 +16,15 @@ from tablecare.operators.semantic import SemanticProfile, semantic_profile
 from tablecare.operators.validate import validate_leads
 from tablecare.plans.audit import audit_csv, audit_table
 from tablecare.plans.leads import process_leads
+from tablecare.plans.profile_state import ProfileState
+from tablecare.plans.survivors import Survivors
 from tablecare.sources.csv import infer_delimiters, read_audit_csv, read_leads
 from tablecare.sources.sinks import write_clean, write_lead_outputs
 from tablecare.sources.staging import stage, with_row_id
 from tablecare.streaming.leads import check_stream
 
 __all__ = [
-    "SemanticProfile", "TableFacts", "audit_csv", "audit_lines", "report_table", "audit_table", "check_stream",
+    "ProfileState", "SemanticProfile", "Survivors", "TableFacts", "audit_csv", "audit_lines", "report_table", "audit_table", "check_stream",
     "clean", "coerce_types", "count_duplicates", "dedupe_by_email", "deduplicate_leads",
     "drop_exact_duplicates", "filter_columns", "format_changes", "format_leads",
     "handle_missing", "infer_delimiters", "process_leads", "profile_table", "quality_score",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -201,6 +202,9 @@ def _without_nulls(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
+#: Decimal places of fills that stay exact.
+EXACT_PLACES = 4
+
 #: Per strategy: whether it suits a family, and the value it fills with (None if there is none).
 FILLINGS: dict[str, tuple[Callable[[str], bool], Callable[[TableFacts, str, MissingConfig], object]]] = {
     "mean": (lambda kind: kind == "numeric", lambda f, n, cfg: f.stats(n).get("mean")),
@@ -222,6 +226,9 @@ def _filler(facts: TableFacts, n: str, strategy: str, cfg: MissingConfig):
     if not suits(kind):
         return None, {"action": fv.LEFT_ALONE, "reason": f"{kind} columns know no {strategy!r}"}
     value = value_of(facts, n, cfg)
+    if strategy in ("mean", "median") and value is not None and not facts.fits_double(n):
+        exact = facts.exact_median(n) if strategy == "median" else value
+        value = Decimal(exact).quantize(Decimal(10) ** -EXACT_PLACES)
     if value is None:
         return None, {"action": fv.LEFT_ALONE, "reason": f"no {strategy} of {facts.non_null[n]} {kind} values"}
     shown = round(value, 4) if strategy in ("mean", "median") else value
@@ -229,13 +236,18 @@ def _filler(facts: TableFacts, n: str, strategy: str, cfg: MissingConfig):
 
 
 def _filled(f: T.StructField, value, strategy: str) -> Column:
-    """The column with NULLs replaced. Mean and median make it a DOUBLE; a constant keeps the
+    """The column with NULLs replaced. Mean and median make it a DOUBLE, or a DECIMAL where that would
+    change what is there (whole numbers and decimals beyond 2**53); a constant keeps the
     type where it fits (whole numbers in whole columns), text fills turn others into text."""
     c = col(f.name)
     whole = isinstance(f.dataType, T.IntegralType)
     if family(f.dataType) == "numeric":
         if strategy == "constant" and (float(value).is_integer() or not whole):
             return F.coalesce(c, F.lit(value).cast(f.dataType))
+        if isinstance(value, Decimal):
+            places = max(EXACT_PLACES, getattr(f.dataType, "scale", 0))
+            wide = T.DecimalType(min(38, 20 + places), places)
+            return F.coalesce(c.cast(wide), F.lit(str(value)).cast(wide))
         return F.coalesce(c.cast("double"), F.lit(float(value)))
     if isinstance(value, bool):
         return F.coalesce(c, F.lit(value))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -102,26 +103,37 @@ def value_frequencies(df: DataFrame, names: list[str] | None = None) -> DataFram
 
 def distinct_facts(df: DataFrame, names: list[str], probabilities: list[float] = ()) -> dict[str, dict]:
     """Per column that has values: ``unique``, the exact number of its distinct values; ``mode``, the
-    most frequent as text, the smallest of equally frequent ones; and of numbers ``quantiles``.
+    most frequent as text, the smallest of equally frequent ones; and of numbers ``quantiles``, exact
+    for whole numbers and for decimals of up to 18 digits.
 
     Values are counted once; numbers and times then share one table of counted values.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    kinds = families(df)
+    return facts_of_groups(frequency_groups(df, names), df.schema, names, probabilities)
+
+
+def facts_of_groups(
+    groups: list[FrequencyGroup], schema: T.StructType, names: list[str], probabilities: list[float] = ()
+) -> dict[str, dict]:
+    """``distinct_facts`` from counted values."""
+    types = {f.name: f.dataType for f in schema.fields}
     counted, measured = [], []
-    for g in frequency_groups(df, names):
+    for g in groups:
         place = F.element_at(F.array(*[F.lit(names.index(n)) for n in g.names]), F.col("column_no") + 1)
         value = F.col("value").cast("double").alias("value")
+        none = F.lit(None).cast("bigint").alias("exact")
         if g.carrier != "string":
-            measured.append(g.table.select(place.alias("id"), value, "n", F.lit(True).alias("own")))
+            exact = F.col("value").alias("exact") if g.carrier == "bigint" else none
+            measured.append(g.table.select(place.alias("id"), value, exact, "n", F.lit(True).alias("own")))
             continue
         top = F.min(F.struct((-F.col("n")).alias("rank"), "value")).alias("top")
         counted.append(g.table.groupBy(place.alias("id")).agg(F.count("*").alias("unique"), top))
         # Decimals are counted as text, so that none is lost, and measured as numbers.
-        decimals = [i for i, n in enumerate(g.names) if kinds[n] == "numeric"]
+        decimals = [i for i, n in enumerate(g.names) if family(types[n]) == "numeric"]
         if decimals and probabilities:
             some = g.table.where(F.col("column_no").isin(decimals))
-            measured.append(some.select(place.alias("id"), value, "n", F.lit(False).alias("own")))
+            unscaled = [_unscaled(F.col("value"), types[g.names[i]]) for i in decimals]
+            exact = F.coalesce(*[F.when(F.col("column_no") == i, x) for i, x in zip(decimals, unscaled)], none)
+            measured.append(some.select(place.alias("id"), value, exact.alias("exact"), "n", F.lit(False).alias("own")))
     # Words and numbers are two jobs that do not wait for each other.
     with ThreadPoolExecutor(2) as pool:
         words = pool.submit(lambda: [r for t in counted for r in t.collect()])
@@ -132,11 +144,25 @@ def distinct_facts(df: DataFrame, names: list[str], probabilities: list[float] =
             names[r["id"]]: {"unique": r["unique"], "mode": r["top"]["value"], "quantiles": None} for r in words.result()
         }
         for i, facts in numbers.result().items():
-            known = out.get(names[i])
-            out[names[i]] = known | {"quantiles": facts["quantiles"]} if known else facts
+            known, dtype = out.get(names[i]), types[names[i]]
+            quantiles = [_scaled(x, dtype) for x in facts["quantiles"]]
+            out[names[i]] = known | {"quantiles": quantiles} if known else facts | {"quantiles": quantiles}
     return {n: facts | {"mode": _mode_text(types[n], facts["mode"])} for n, facts in out.items()}
 
 
+def _unscaled(text: Column, dtype: T.DecimalType) -> Column:
+    """A decimal of up to 18 digits as a whole number of its last place, so that it orders alike."""
+    if dtype.precision > 18:
+        return F.lit(None).cast("bigint")
+    return (text.cast(dtype) * F.lit(10**dtype.scale).cast("decimal(19,0)")).cast("bigint")
+
+
+def _scaled(x, dtype: T.DataType):
+    if isinstance(dtype, T.DecimalType) and isinstance(x, (int, Decimal)):
+        return Decimal(x) / 10**dtype.scale
+    return x
+
+
 def _mode_text(dtype: T.DataType, mode) -> str:
     """Times come as micros or days since 1970."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):

@@ -11,7 +11,7 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablecare import fixed_values as fv
 from tablecare.functions.columns import check_names, col, families, nan_as_null
@@ -117,8 +117,24 @@ class TableFacts:
 
     @cached_property
     def quartiles(self) -> dict[str, list[float]]:
-        """[25 %, 50 %, 75 %] per numeric column that has values."""
-        return {n: self._distinct[n]["quantiles"] for n in self.of_family("numeric") if n in self._distinct}
+        """[25 %, 50 %, 75 %] per numeric column that has values, as DOUBLE."""
+        return {
+            n: [float(x) for x in self._distinct[n]["quantiles"]] for n in self.of_family("numeric") if n in self._distinct
+        }
+
+    def exact_median(self, name: str):
+        """The median of a numeric column: int or Decimal where it is known exactly."""
+        return self._distinct[name]["quantiles"][1]
+
+    def fits_double(self, name: str) -> bool:
+        """Whether no value of a numeric column is changed by reading it as a DOUBLE. Decimals beyond
+        2**53 in units of their last place, and whole numbers beyond 2**53, might be."""
+        dtype = self.df.schema[name].dataType
+        if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
+            return True
+        unit = 10 ** -dtype.scale if isinstance(dtype, T.DecimalType) else 1
+        stats = self.stats(name)
+        return not stats or max(abs(stats["min"]), abs(stats["max"])) < 2**53 * unit
 
     def fences(self, name: str, factor: float) -> tuple[float, float]:
         q1, _, q3 = self.quartiles[name]

@@ -6,7 +6,9 @@ the groups are put together by column name, so neither the order of columns nor
 need be the same in all files:
 
 * files whose quotes close on every line are read line by line, in as many pieces as Spark likes;
-* files with line breaks inside quotes are read as a whole each, since a piece might begin inside;
+* files with line breaks inside quotes are read in pieces too, whose lines are put together to records
+  once it is known which of them begin inside quotes (see ``quoted``); where a quote stands in the
+  middle of a cell that can't be told, and such a file is read as a whole;
 * files whose quotes never close in the end are read line by line, and the lines with an odd
   number of quotes are set apart, as are rows with more cells than the header.
 """
@@ -22,7 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tablecare import fixed_values as fv
 from tablecare.functions.columns import col
 from tablecare.functions.parsing import is_number
-from tablecare.sources.staging import PLACE, stage, with_row_id
+from tablecare.sources import quoted
+from tablecare.sources.staging import LINE, PLACE, stage, with_row_id
 
 CORRUPT = "_malformed_text"
 # Quoted stretches of a line; a doubled quote inside a cell ends one and starts the next.
@@ -38,7 +41,7 @@ class LoadedCsv:
 
     @property
     def df(self) -> DataFrame:
-        return self.placed.drop(*PLACE)
+        return self.placed.drop(*PLACE, LINE)
 
     def with_row_id(self, name: str = "row_id") -> DataFrame:
         """The rows, staged, with an id that grows from file to file and line to line."""
@@ -86,10 +89,11 @@ def survey(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8")
     """(file, header, kind) for every file with a line: its first line, and how its quotes close."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    text = quoted.decoded(F.col("value"), _charset(encoding)[0]).alias("value")
     return (
         spark.read.option("encoding", _charset(encoding)[0])
         .text(path)
-        .select(F.col("_metadata.file_path").alias("file"), "value", quotes.alias("quotes"), place.alias("place"))
+        .select(F.col("_metadata.file_path").alias("file"), text, quotes.alias("quotes"), place.alias("place"))
         .where(F.length(F.trim("value")) > 0)
         .groupBy("file")
         .agg(
@@ -137,7 +141,7 @@ def read_csv_text(
     file has not got are NULL there, and rows that do not fit their header are set apart.
 
     ``multi_line`` reads every file as a whole (True) or line by line (False); by default the
-    quotes decide.
+    quotes decide how, and files are read in pieces wherever that gives the same rows.
     """
     kind = F.col("kind") if multi_line is None else F.lit(WHOLE_FILES if multi_line else ROW_LINES)
     groups = (
@@ -149,14 +153,17 @@ def read_csv_text(
     if not groups:
         raise ValueError(f"no header line in {path}")
     groups.sort(key=lambda g: g["files"][0])
-    read = [
-        _read_group(spark, path if len(groups) == 1 else [_literal(f) for f in g["files"]], g["kind"], g["header"], sep, encoding)
-        for g in groups
-    ]
+    read = []
+    for g in groups:
+        files = path if len(groups) == 1 else [_literal(f) for f in g["files"]]
+        if g["kind"] == WHOLE_FILES and multi_line is None and quoted.splittable(_charset(encoding)[0]):
+            read += _read_pieces(spark, files, g["files"], g["header"], sep, encoding)
+        else:
+            read.append(_read_group(spark, files, g["kind"], g["header"], sep, encoding))
     placed = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r[0] for r in read])
     malformed = reduce(DataFrame.unionByName, [r[1] for r in read])
-    columns = [c for c in placed.columns if c not in PLACE]
-    return LoadedCsv(placed.select(*map(col, columns), *PLACE), malformed, {"encoding": encoding, "delimiter": sep})
+    columns = [c for c in placed.columns if c not in (*PLACE, LINE)]
+    return LoadedCsv(placed.select(*map(col, columns), *PLACE, LINE), malformed, {"encoding": encoding, "delimiter": sep})
 
 
 def _read_group(
@@ -168,15 +175,13 @@ def _read_group(
     names = spark.read.options(**options).option("header", True).csv(path).columns
     place = [F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.file_block_start").alias(PLACE[1])]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    line = F.lit(None).cast("bigint").alias(LINE)
     if kind == OPEN_QUOTES:
-        lines = spark.read.option("encoding", options["encoding"]).text(path).select("value", *place)
+        text = quoted.decoded(F.col("value"), options["encoding"]).alias("value")
+        lines = spark.read.option("encoding", options["encoding"]).text(path).select(text, *place)
         lines = lines.where((F.length(F.trim("value")) > 0) & (F.col("value") != header))
         odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
-        parsing = {k: v for k, v in options.items() if k not in ("multiLine", "encoding")}
-        cells = F.from_csv(
-            "value", _ddl(schema), {**parsing, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-        )
-        rows = lines.where(~odd).select(cells.alias("cells"), *PLACE).select("cells.*", *PLACE)
+        rows = lines.where(~odd).select(_parsed(schema, options).alias("cells"), *PLACE).select("cells.*", *PLACE, line)
         broken = lines.where(odd).select(F.col("value").alias(CORRUPT))
     else:
         # With column pruning the parser sees the wanted cells only and takes rows of any length
@@ -184,7 +189,41 @@ def _read_group(
         reader = spark.read.options(**options).options(
             header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False
         )
-        rows, broken = reader.schema(schema).csv(path).select("*", *place), None
+        rows, broken = reader.schema(schema).csv(path).select("*", *place, line), None
+    return _fitting(rows, broken, names, sep, wrong)
+
+
+def _read_pieces(
+    spark: SparkSession, path: str | list[str], files: list[str], header: str, sep: str, encoding: str
+) -> list[tuple[DataFrame, DataFrame]]:
+    """Files of one header with line breaks in cells, read in pieces; those with misplaced quotes as a whole."""
+    options, wrong = _options(sep, encoding), _charset(encoding)[1]
+    lines = quoted.numbered_lines(spark, path, sep, options["encoding"])
+    blocks = quoted.block_rows(lines)
+    whole = quoted.misplaced(blocks)
+    out = []
+    if whole:
+        out.append(_read_group(spark, [_literal(f) for f in whole], WHOLE_FILES, header, sep, encoding))
+    if len(whole) < len(files):
+        reader = spark.read.options(**options, multiLine=True, header=True)
+        names = reader.csv(_literal(next(f for f in files if f not in whole))).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+        cells = _parsed(schema, options).alias("cells")
+        rows = quoted.records(lines, blocks, whole).select(cells, *PLACE, LINE).select("cells.*", *PLACE, LINE)
+        out.append(_fitting(rows, None, names, sep, wrong))
+    return out
+
+
+def _parsed(schema: T.StructType, options: dict) -> Column:
+    """The cells of ``value``, a record; its text too, if it has not as many cells as the header."""
+    parsing = {k: v for k, v in options.items() if k not in ("multiLine", "encoding")}
+    return F.from_csv("value", _ddl(schema), {**parsing, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+
+def _fitting(
+    rows: DataFrame, broken: DataFrame | None, names: list[str], sep: str, wrong: dict[int, str]
+) -> tuple[DataFrame, DataFrame]:
+    """Rows that fit their header, with tidy names, and the text of those that don't."""
     # COALESCE keeps Spark from pushing "malformed text is not null" into the parser, where that
     # text is not set yet.
     too_long = F.coalesce(_cells(F.col(CORRUPT), sep), F.lit(0)) > len(names)
@@ -197,9 +236,9 @@ def _read_group(
     if broken is not None:
         malformed = malformed.unionByName(broken)
     if wrong:
-        texts = [c for c in df.columns if c not in PLACE]
+        texts = [c for c in df.columns if c not in (*PLACE, LINE)]
         fixed = [_repaired(col(c), wrong).alias(c.translate(wrong)) for c in texts]
-        df = df.select(*fixed, *PLACE)
+        df = df.select(*fixed, *PLACE, LINE)
         malformed = malformed.select(_repaired(F.col(CORRUPT), wrong).alias(CORRUPT))
     return df, malformed
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: The file and the block of a row, where a reader has kept them.
 PLACE = ("__file", "__block")
+#: The line of the block that a row begins with, where it is known; else rows follow their block's order.
+LINE = "__line"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,5 +61,8 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
         .agg(F.min("__number").alias("__first"))
         .withColumn("__nth", F.row_number().over(Window.orderBy(*PLACE)).cast("long"))
     )
-    row_id = F.shiftleft(F.col("__nth") - 1, 33) + F.col("__number") - F.col("__first")
-    return rows.join(blocks, list(PLACE)).withColumn(name, row_id).drop(*PLACE, "__number", "__first", "__nth")
+    inside = F.col("__number") - F.col("__first")
+    if LINE in rows.columns:
+        inside = F.coalesce(LINE, inside)
+    row_id = F.shiftleft(F.col("__nth") - 1, 33) + inside
+    return rows.join(blocks, list(PLACE)).withColumn(name, row_id).drop(*PLACE, LINE, "__number", "__first", "__nth")
