@@ -285,6 +285,22 @@ def lead_outputs_clean(spark, sf_dir):
     return csv_source.read_leads(spark, f"{path}/crm_ready").df
 
 
+@query(
+    "lead_outputs_published",
+    f"""{_CLEAN_LEADS} SELECT row_id::VARCHAR AS row_id, name, first_name,
+  nullif(last_name, '') AS last_name, email, nullif(phone, '') AS phone,
+  is_role_email::VARCHAR AS is_role_email FROM kept""",
+    ("leads",),
+)
+def lead_outputs_published(spark, sf_dir):
+    """Two versions of the outputs; the clean rows of the second, as the manifest says."""
+    path = new_path(spark, "lead-versions")
+    leads = view(spark, sf_dir, "leads")
+    sinks.publish_lead_outputs(process_leads(leads.where("row_id % 2 = 0"), row_id="row_id"), path)
+    sinks.publish_lead_outputs(process_leads(leads, row_id="row_id"), path)
+    return csv_source.read_leads(spark, sinks.published_outputs(spark, path)["crm_ready"]).df
+
+
 @query(
     "lead_outputs_rejected",
     f"""{_CLEAN_LEADS} SELECT row_id::VARCHAR AS row_id, name, first_name,

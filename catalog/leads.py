@@ -406,6 +406,15 @@ def lead_dedupe_exact(spark, sf_dir):
     return dedupe.drop_exact_duplicates(view(spark, sf_dir, "leads"), "row_id")
 
 
+@query(
+    "lead_dedupe_exact_by_digest",
+    "SELECT name, email, phone, min(row_id) AS row_id FROM leads GROUP BY name, email, phone",
+    ("leads",),
+)
+def lead_dedupe_exact_by_digest(spark, sf_dir):
+    return dedupe.drop_exact_duplicates_by_digest(view(spark, sf_dir, "leads"), "row_id")
+
+
 @query(
     "lead_completeness",
     f"SELECT row_id, {sql.score('name', 'email', 'phone')} AS score FROM leads",

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from catalog.views import table, view
 from tablecare.functions.columns import nan_as_null
-from tablecare.operators import frequencies, profile, quality
+from tablecare.operators import frequencies, profile, quality, sketches
 from tablecare.plans.profile_state import ProfileState
 from tablecare.sources.staging import new_path
-from tablecare.operators.dedupe import count_duplicates
+from tablecare.operators.dedupe import count_duplicates, count_duplicates_by_digest
 from tablecare.operators.profile import TableFacts
 
 # Column -> (type as shown, family) of the tables profiled here.
@@ -179,6 +179,17 @@ def profile_types(spark, sf_dir):
     return profile.profile_table(view(spark, sf_dir, "event_log")).select("column", "inferred_type")
 
 
+@query(
+    "profile_types_approximate",
+    f"""WITH facts AS ({facts_sql("event_log", EVENTS)})
+SELECT "column", {_TYPE} AS inferred_type FROM facts""",
+    ("event_log",),
+)
+def profile_types_approximate(spark, sf_dir):
+    """Sketches decide where their bounds allow it, counts elsewhere: the same types."""
+    return sketches.approximate_types(view(spark, sf_dir, "event_log")).select("column", "inferred_type")
+
+
 def _profile_query(name, source, columns, load):
     @query(
         f"profile_table_{name}",
@@ -237,6 +248,17 @@ def duplicate_rows(spark, sf_dir):
     return count_duplicates(view(spark, sf_dir, "lineitem_dirty"))
 
 
+@query(
+    "duplicate_rows_by_digest",
+    """SELECT CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows,
+  count(*) AS distinct_rows FROM (SELECT *, count(*) AS n FROM lineitem_dirty GROUP BY ALL)""",
+    ("lineitem_dirty",),
+)
+def duplicate_rows_by_digest(spark, sf_dir):
+    """Digests of rows are shuffled, whole rows only where those are alike."""
+    return count_duplicates_by_digest(view(spark, sf_dir, "lineitem_dirty"))
+
+
 # --- quality issues ----------------------------------------------------------------
 
 _MISSING = """SELECT "column", 'missing_values' AS "check",

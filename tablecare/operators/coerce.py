@@ -1,16 +1,20 @@
 """Type coercion: text columns that hold booleans, numbers or timestamps get that type.
 
-All rates come from one aggregate over the text columns. Timestamp formats are
-only tried in a second aggregate, on columns whose values have the shape of some
-format often enough.
+All rates come from one aggregate over the text columns. It groups values by their shape, digits
+and letters made alike, so that what a format looks like is compared with the few shapes that
+occur, not with every value. Timestamp formats are only tried in a second aggregate, on columns
+whose values have the shape of some format often enough, and there only those formats whose
+shape occurs.
 """
 
 from __future__ import annotations
 
+import string
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tablecare import fixed_values as fv
 from tablecare.config import CoercionConfig, settings
 from tablecare.functions.columns import check_names, col, families
 from tablecare.functions.parsing import (
@@ -114,33 +118,52 @@ def _bool_or_number(n: str, kind: str, rate: float, found: dict, cfg: CoercionCo
     return to_number(col(n)), Change(n, "string", "double", kind, rate)
 
 
+#: Digits become 9 and letters a, but for T and Z, which formats name.
+_LETTERS = "".join(c for c in string.ascii_letters if c not in "TZ")
+_SHORTEST, _LONGEST, _YEAR = 8, 32, "9999"
+
+
+def _shape(text: Column) -> Column:
+    """What a value looks like; NULL where it can't be a time. Any format's pattern fits the shape
+    if it fits the value."""
+    shape = F.translate(text, string.digits + _LETTERS, "9" * 10 + "a" * len(_LETTERS))
+    return F.when(F.length(text).between(_SHORTEST, _LONGEST) & F.contains(shape, F.lit(_YEAR)), shape)
+
+
 def _rates(df: DataFrame, texts: list[str], cfg: CoercionConfig) -> dict[str, dict]:
-    """Per text column: values, and how many read as boolean, number, whole number, or have
-    the shape of any timestamp format."""
-    any_shape = "|".join(dict.fromkeys(shape for _, shape in cfg.datetime_formats))
-    # Stripped text and number are columns of their own, so each is computed once.
-    table = df.select(*[strip(col(n)).alias(f"text_{i}") for i, n in enumerate(texts)])
-    table = table.withColumns(
-        {f"number_{i}": to_number(F.col(f"text_{i}")) for i in range(len(texts))}
+    """Per text column: values, how many read as boolean, number, whole number, or have the shape
+    of any timestamp format, and the patterns of the shapes that occur."""
+    patterns = list(dict.fromkeys(p for _, p in cfg.datetime_formats)) if cfg.coerce_to_datetime else []
+    # Formats of a caller's own may name other letters and digits, so their values stand for themselves.
+    looks = _shape if cfg.datetime_formats == fv.TIMESTAMP_FORMATS else (lambda text: text)
+    cells = [c for i, n in enumerate(texts) for c in (F.lit(i), strip(col(n)))]
+    values = df.select(F.stack(F.lit(len(texts)), *cells).alias("no", "text")).where("text IS NOT NULL")
+    text, number = F.col("text"), F.col("number")
+    looked_at = F.when(number.isNull() & (F.length(text) >= 6), looks(text)) if patterns else F.lit(None).cast("string")
+    fits = F.concat(F.lit(""), *[F.when(F.col("shape").rlike(p), "1").otherwise("0") for p in patterns])
+    sums = ("values", "bools", "numbers", "whole")
+    rows = (
+        values.withColumn("number", to_number(text))
+        .withColumn("shape", looked_at)
+        .groupBy("no", "shape")
+        .agg(
+            F.count("*").alias("values"),
+            F.count_if(is_bool_word(text, cfg.bool_true_values, cfg.bool_false_values)).alias("bools"),
+            F.count(number).alias("numbers"),
+            F.count_if(is_whole(number)).alias("whole"),
+        )
+        .groupBy("no", fits.alias("fits"))
+        .agg(*[F.sum(x).alias(x) for x in sums])
+        .collect()
     )
-    aggregates = []
-    for i in range(len(texts)):
-        text, number = F.col(f"text_{i}"), F.col(f"number_{i}")
-        words = is_bool_word(text, cfg.bool_true_values, cfg.bool_false_values)
-        aggregates += [
-            F.count(text).alias(f"values_{i}"),
-            F.count_if(words).alias(f"bools_{i}"),
-            F.count(number).alias(f"numbers_{i}"),
-            F.count_if(is_whole(number)).alias(f"whole_{i}"),
-        ]
-        if cfg.coerce_to_datetime and any_shape:
-            dated = F.when(number.isNull() & (F.length(text) >= 6), text.rlike(any_shape))
-            aggregates.append(F.count_if(dated).alias(f"dated_{i}"))
-    row = table.agg(*aggregates).first().asDict()
-    out = {n: {"dated": 0} for n in texts}
-    for key, value in row.items():
-        fact, i = key.rsplit("_", 1)
-        out[texts[int(i)]][fact] = value
+    out = {n: dict.fromkeys((*sums, "dated"), 0) | {"patterns": set()} for n in texts}
+    for r in rows:
+        found = out[texts[r["no"]]]
+        for x in sums:
+            found[x] += r[x]
+        fitting = {p for p, fit in zip(patterns, r["fits"]) if fit == "1"}
+        found["dated"] += r["values"] if fitting else 0
+        found["patterns"] |= fitting
     return out
 
 
@@ -151,7 +174,7 @@ def _timestamps(df: DataFrame, names: list[str], rates: dict, cfg: CoercionConfi
         n for n in names
         if rates[n]["dated"] >= cfg.datetime_cast_success_threshold * rates[n]["values"]
     ]
-    trials = [(n, fmt) for n in likely for fmt in cfg.datetime_formats]
+    trials = [(n, fmt) for n in likely for fmt in cfg.datetime_formats if fmt[1] in rates[n]["patterns"]]
     if not trials:
         return []
     stripped = df.select(*[strip(col(n)).alias(n) for n in likely])

@@ -24,6 +24,7 @@ from tablecare.functions.emails import email_key
 from tablecare.functions.text import is_blank
 from tablecare.operators.semantic import SemanticProfile
 from tablecare.operators.validate import email_columns
+from tablecare.sources.staging import stage
 
 
 def content(df: DataFrame, row_id: str | None) -> list[str]:
@@ -132,3 +133,52 @@ def dedup_report(before: DataFrame, after: DataFrame, config=None, row_id: str =
         (F.col("total_rows") - exact - F.col("kept")).alias("email_duplicates_removed"),
         F.col("kept").alias("rows_retained"),
     )
+
+
+#: Digests of repeated rows that are broadcast, 16 bytes each; with more, whole rows are shuffled after all.
+REPEATED = 500_000
+
+
+def _digested(df: DataFrame, row_id: str | None) -> DataFrame:
+    """``df`` with two hashes of its whole rows. Rows with other hashes differ; those with equal ones may."""
+    whole = whole_row(df, row_id)
+    return df.withColumns({"__d1": F.xxhash64(*whole), "__d2": F.xxhash64(F.lit(1), *reversed(whole))})
+
+
+def _repeated(digested: DataFrame) -> DataFrame | None:
+    """The digests that several rows have, staged; None if there are too many of them to be broadcast."""
+    counted = digested.groupBy("__d1", "__d2").agg(F.count("*").alias("n")).where("n > 1")
+    found = stage(counted, "repeated")
+    return found if found.count() <= REPEATED else None
+
+
+def drop_exact_duplicates_by_digest(df: DataFrame, row_id: str) -> DataFrame:
+    """``drop_exact_duplicates`` for wide rows of which few are repeated.
+
+    The table is read twice, but what is shuffled of it are 16 bytes a row, and whole rows only
+    where those are alike. These are compared by value, so no row goes for a hash alone.
+    """
+    df = nan_as_null(df)
+    digested = _digested(df, row_id)
+    repeated = _repeated(digested.select("__d1", "__d2"))
+    if repeated is None:
+        return drop_exact_duplicates(df, row_id)
+    known = F.broadcast(repeated.select("__d1", "__d2"))
+    alone = digested.join(known, ["__d1", "__d2"], "left_anti").select(*map(col, df.columns))
+    alike = digested.join(known, ["__d1", "__d2"], "left_semi").select(*map(col, df.columns))
+    return alone.unionByName(drop_exact_duplicates(alike, row_id).select(*map(col, df.columns)))
+
+
+def count_duplicates_by_digest(df: DataFrame, row_id: str | None = None) -> DataFrame:
+    """``count_duplicates`` in the way of ``drop_exact_duplicates_by_digest``."""
+    df = nan_as_null(df)
+    digested = _digested(df, row_id)
+    repeated = _repeated(digested.select("__d1", "__d2"))
+    if repeated is None:
+        return count_duplicates(df, row_id)
+    known = F.broadcast(repeated.select("__d1", "__d2"))
+    alike = digested.join(known, ["__d1", "__d2"], "left_semi").drop("__d1", "__d2")
+    total = df.groupBy().agg(F.count("*").alias("total_rows"))
+    return total.crossJoin(count_duplicates(alike, row_id).select("duplicate_rows")).select(
+        "total_rows", "duplicate_rows", (F.col("total_rows") - F.col("duplicate_rows")).alias("distinct_rows")
+    )

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablecare.functions.columns import col, families, family, groupable, nan_as_null
 from tablecare.operators.quantiles import counted_facts
+from tablecare.sources.staging import in_scope
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
@@ -136,9 +137,9 @@ def facts_of_groups(
             measured.append(some.select(place.alias("id"), value, exact.alias("exact"), "n", F.lit(False).alias("own")))
     # Words and numbers are two jobs that do not wait for each other.
     with ThreadPoolExecutor(2) as pool:
-        words = pool.submit(lambda: [r for t in counted for r in t.collect()])
+        words = pool.submit(in_scope(lambda: [r for t in counted for r in t.collect()]))
         numbers = pool.submit(
-            lambda: counted_facts(reduce(DataFrame.unionByName, measured), list(probabilities)) if measured else {}
+            in_scope(lambda: counted_facts(reduce(DataFrame.unionByName, measured), list(probabilities)) if measured else {})
         )
         out = {
             names[r["id"]]: {"unique": r["unique"], "mode": r["top"]["value"], "quantiles": None} for r in words.result()

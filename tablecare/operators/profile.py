@@ -19,6 +19,7 @@ from tablecare.functions.parsing import is_number
 from tablecare.functions.text import strip
 from tablecare.operators import frequencies
 from tablecare.operators.dedupe import count_duplicates
+from tablecare.sources.staging import in_scope
 
 TABLE_SCHEMA = (
     "column STRING, dtype STRING, inferred_type STRING, total BIGINT, non_null BIGINT, "
@@ -97,7 +98,7 @@ class TableFacts:
         job needs the other, and small ones leave most of a cluster idle."""
         self._counts  # both look at these first
         with ThreadPoolExecutor(2) as pool:
-            for done in [pool.submit(getattr, self, name) for name in ("_distinct", "duplicate_rows")]:
+            for done in [pool.submit(in_scope(getattr), self, name) for name in ("_distinct", "duplicate_rows")]:
                 done.result()
         return self
 

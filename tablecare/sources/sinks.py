@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablecare.sources.published import Published
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     """A folder of part files; CSV gets a header, quotes doubled inside quotes, and keeps the
@@ -36,3 +38,22 @@ def write_lead_outputs(result, path: str, fmt: str = "csv") -> None:
     if rows.rejected.columns:
         write_table(rows.shown(rows.rejected), f"{path}/rejected", fmt)
     write_report(result.spark, result.report(), f"{path}/report")
+
+
+def publish_lead_outputs(result, path: str, fmt: str = "csv") -> None:
+    """The three outputs under ``path`` as one version: readers see those of the last run that came
+    to its end, all three, while another is writing or after it has failed."""
+    store, rows = Published(result.spark, path), result.settled
+    folders = {name: store.new_folder(name) for name in ("crm_ready", "rejected", "report")}
+    write_table(rows.shown(rows.kept), f"{path}/{folders['crm_ready']}", fmt)
+    if rows.rejected.columns:
+        write_table(rows.shown(rows.rejected), f"{path}/{folders['rejected']}", fmt)
+    else:
+        folders.pop("rejected")
+    write_report(result.spark, result.report(), f"{path}/{folders['report']}")
+    store.publish(folders, {"format": fmt})
+
+
+def published_outputs(spark: SparkSession, path: str) -> dict[str, str]:
+    """Where the outputs of the last version lie, by name."""
+    return {name: f"{path}/{folder}" for name, folder in Published(spark, path).current().folders.items()}

@@ -3,12 +3,16 @@
 A staged table is plain parquet in the folder that ``spark.checkpoint.dir`` names, or, where that
 is unset, in the session's warehouse. Both are folders that all executors share. It outlives
 executors, its rows never change on a re-run, and later jobs read only the columns they need.
-Whoever owns the folder clears it.
+
+Tables staged inside ``with staged_scope(spark):`` are removed at its end, so results that read them
+must be written, or kept by ``scope.keep``, before. Without a scope whoever owns the folder clears it.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar, copy_context
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -25,10 +29,64 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def new_path(spark: SparkSession, label: str) -> str:
+class Scope:
+    """What has been staged since it was entered."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame, label: str = "kept") -> DataFrame:
+        """``df`` as a staged table that outlives the scope; enclosing scopes remove it in the end."""
+        outer = self._outer
+        path = _named(self.spark, label)
+        if outer is not None:
+            outer.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> "Scope":
+        self._outer = _scope.get()
+        self._token = _scope.set(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        _scope.reset(self._token)
+        for path in self.paths:
+            _remove(self.spark, path)
+
+
+_scope: ContextVar[Scope | None] = ContextVar("staged_scope", default=None)
+
+
+def staged_scope(spark: SparkSession) -> Scope:
+    """A context at whose end the tables staged in it are removed, whether it failed or not."""
+    return Scope(spark)
+
+
+def in_scope(work: Callable) -> Callable:
+    """``work`` for another thread, staging into this one's scope."""
+    context = copy_context()
+    return lambda *args: context.run(work, *args)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _named(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tablecare/{label}-{uuid.uuid4().hex}"
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A folder that nothing has been written to yet; the scope, if there is one, removes it."""
+    path = _named(spark, label)
+    if (scope := _scope.get()) is not None:
+        scope.paths.append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str = "staged") -> DataFrame:
     """Write ``df`` once and read it back."""
     path = new_path(df.sparkSession, label)
