@@ -57,8 +57,12 @@ class Network:
 
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
         """(n, WINDOW, languages) for bytes (n, WINDOW)."""
-        states = [_forward(self.weights, d, windows)[0] for d in "fb"]
-        return _softmax(np.concatenate(states, 2) @ self.weights["out"] + self.weights["bias"])
+        columns = np.ascontiguousarray(windows.T)
+        u = self.weights["ref"].shape[0]
+        states = np.empty((*columns.shape, 2 * u), np.float32)
+        for k, d in enumerate("fb"):
+            _states(self.weights, d, columns, states[:, :, k * u : (k + 1) * u])
+        return _softmax(states @ self.weights["out"] + self.weights["bias"]).swapaxes(0, 1)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -89,6 +93,33 @@ def _forward(w: dict[str, np.ndarray], direction: str, windows: np.ndarray, keep
     return out, kept
 
 
+def _states(w: dict[str, np.ndarray], direction: str, columns: np.ndarray, out: np.ndarray) -> None:
+    """The states of ``_forward`` for bytes (steps, n), into (steps, n, u), in arrays that are used again."""
+    table, matrix = w["in" + direction], w["re" + direction]
+    u, n = matrix.shape[0], columns.shape[1]
+    # Gates are halved logistic functions, which the hyperbolic tangent gives.
+    half = np.float32(0.5)
+    gate_table, gate_matrix = table[:, : 2 * u] * half, matrix[:, : 2 * u] * half
+    next_table, next_matrix = table[:, 2 * u :].copy(), matrix[:, 2 * u :].copy()
+    h, (gates, add) = np.zeros((n, u), np.float32), (np.empty((n, 2 * u), np.float32) for _ in range(2))
+    candidate, back = (np.empty((n, u), np.float32) for _ in range(2))
+    for t in _order(direction, len(columns)):
+        np.take(gate_table, columns[t], 0, gates, "clip")
+        np.take(next_table, columns[t], 0, candidate, "clip")
+        gates += np.matmul(h, gate_matrix, out=add)
+        np.tanh(gates, out=gates)
+        gates *= half
+        gates += half
+        np.matmul(h, next_matrix, out=back)
+        back *= gates[:, u:]
+        candidate += back
+        np.tanh(candidate, out=candidate)
+        candidate -= h
+        candidate *= gates[:, :u]
+        h += candidate
+        out[t] = h
+
+
 def _backward(w: dict[str, np.ndarray], direction: str, windows: np.ndarray, kept: dict, grad: np.ndarray):
     """Gradients of the table and the matrix, given those of the states."""
     table, matrix = w["in" + direction], w["re" + direction]
