@@ -44,8 +44,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK, INNER, OVERLAP = 1 << 16, 1 << 12, 512
 #: A contraction such as 'll looks this many characters ahead.
 MARGIN = 3
-#: Pre-tokens of a generation whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Pre-tokens of a generation whose ids a worker remembers: about 25 MB.
+REMEMBERED = 120_000
 #: Rows that a worker turns into Python objects at a time.
 TOGETHER = 128
 
@@ -85,6 +85,16 @@ class Vocabulary:
         self.bytes = {b: a for a, b in self.rank.items()}
         self.encode = Remembered(self._piece).ids
 
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each list's ids, one after the other."""
+        flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
+        of = self.bytes.__getitem__
+        out = [
+            b"".join(map(of, flat[a:b].tolist())) if known else b""
+            for a, b, known in zip(ends, ends[1:], ids.is_valid().to_pylist())
+        ]
+        return pa.array(out, pa.binary())
+
     def _piece(self, piece: str) -> list[int]:
         raw = piece.encode()
         whole = self.rank.get(raw)
@@ -279,14 +289,21 @@ def _piece_ids(
         )
 
 
-def _text_ids(batches: Iterator[pa.RecordBatch], pattern: str, path: str | None) -> Iterator[pa.RecordBatch]:
-    """Encode whole texts."""
+def _text_ids(
+    batches: Iterator[pa.RecordBatch], pattern: str, path: str | None, decoded: bool = False
+) -> Iterator[pa.RecordBatch]:
+    """Encode whole texts; with ``decoded``, the bytes of their ids too."""
     cut, vocabulary = splitter_of_chunks(pattern), _vocabulary(path)
     for batch in batches:
         for first in range(0, batch.num_rows, TOGETHER):
             part = batch.slice(first, TOGETHER)
-            ids = [vocabulary.encode(cut(text)) for text in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
+            ids = _lists([vocabulary.encode(cut(text)) for text in part.column("text").to_pylist()])
+            if decoded:
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), ids, vocabulary.decode(ids)], ["doc_id", "ids", "bytes"]
+                )
+            else:
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
 
 def encode(
@@ -295,13 +312,19 @@ def encode(
     pattern: str = public_tokenizers.PATTERN,
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
+    decoded: bool = False,
 ) -> DataFrame:
-    """(doc_id, ids) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, ids) for every row of ``docs`` (doc_id, text).
+
+    With ``decoded`` also bytes, as ``decode`` gives them. Most texts are then encoded and decoded by
+    the same worker, where two at a time would each hold a vocabulary.
+    """
     if not chunk > overlap > MARGIN:
         raise ValueError("chunk > overlap > MARGIN is needed")
+    one = f"{ONE}, bytes binary" if decoded else ONE
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     is_long = F.char_length("text") > chunk + overlap
-    short = texts.where(~is_long).mapInArrow(lambda batches: _text_ids(batches, pattern, path), ONE)
+    short = texts.where(~is_long).mapInArrow(lambda batches: _text_ids(batches, pattern, path, decoded), one)
 
     # Rows of long texts that repeat share their chunks, and are counted.
     long = texts.where(is_long).withColumn("digest", F.sha2("text", 256))
@@ -335,7 +358,7 @@ def encode(
     whole = (
         long.alias("l")
         .join(single.alias("s"), _same_key("l", "s"), "left_semi")
-        .mapInArrow(lambda batches: _text_ids(batches, pattern, path), ONE)
+        .mapInArrow(lambda batches: _text_ids(batches, pattern, path, decoded), one)
     )
     stitched = (
         chunks.where(~seamless)
@@ -354,7 +377,7 @@ def encode(
         )
         .select("doc_id", "ids")
     )
-    return short.unionByName(stitched).unionByName(whole)
+    return short.unionByName(decode(stitched, path) if decoded else stitched).unionByName(whole)
 
 
 def _same_key(a: str, b: str):
@@ -367,19 +390,12 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """``tokens`` (doc_id, ids) with the column ``bytes``: the bytes of all ids, one after the other."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = _vocabulary(path).bytes
+        vocabulary = _vocabulary(path)
         for batch in batches:
             for first in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(first, TOGETHER)
-                ids = part.column("ids")
-                flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
-                there = ids.is_valid().to_pylist()
-                out = [
-                    b"".join(map(raw.__getitem__, flat[a:b].tolist())) if known else b""
-                    for a, b, known in zip(ends, ends[1:], there)
-                ]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"]
+                    [*part.columns, vocabulary.decode(part.column("ids"))], ["doc_id", "ids", "bytes"]
                 )
 
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(
@@ -389,7 +405,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
 def token_digests(docs: DataFrame, **settings) -> DataFrame:
     """Encode and decode; per row: doc_id, n_tokens, ids, ids_sha256, decoded_sha256."""
-    return decode(encode(docs, **settings)).select(
+    return encode(docs, decoded=True, **settings).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",

@@ -9,11 +9,25 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tablecare.sources.staging import new_path
 
+#: Rows of an Arrow batch of texts.
+ARROW_ROWS = 1_000
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most ``ARROW_ROWS`` whole texts in the batches that Python workers get, from now on in this session.
+
+    Spark's default of 10,000 is meant for rows of a few numbers; both the executor and its workers
+    hold such a batch of texts more than once.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def text_of(name: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -49,7 +49,7 @@ CELL = 128
 #: Shingles left out of signatures at most, and how many documents of a batch make one a candidate.
 FREQUENT, COMMON = 200_000, 8
 #: Documents of a batch whose arrays a worker holds at a time.
-BATCH = 512
+BATCH = 1024
 #: In a task: classes compared outright, pivots of a larger region, and the share of it that a
 #: region may keep for pivots to be of use.
 LEAF, PIVOTS, USEFUL = 48, 6, 0.75
