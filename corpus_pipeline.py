@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tablecare.llm import bpe, decontaminate, exact, jaccard, language
-from tablecare.llm.common import documents, staged
+from tablecare.llm.common import documents, small_batches, staged
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those of which no language holds a fair share."""
+    small_batches(spark)
     return language.keep_identified(docs)
 
 
@@ -24,6 +25,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that reach each other by links, keeps the one with the smallest doc_id."""
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -34,6 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and of the bytes they decode to."""
+    small_batches(spark)
     return bpe.token_digests(docs)
 
 
