@@ -233,8 +233,10 @@ def profile_quantiles_narrowed(spark, sf_dir):
     names = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     df = nan_as_null(table(spark, sf_dir, "lineitem").select(names))
     found = frequencies.distinct_facts(df, names, [0.25, 0.5, 0.75])
+    # Exact quantiles are int or Decimal; columns without values have none.
+    quartiles = {n: map(float, f["quantiles"]) for n, f in found.items()}
     return spark.createDataFrame(
-        [(n, *f["quantiles"]) for n, f in found.items()], "column STRING, q1 DOUBLE, median DOUBLE, q3 DOUBLE"
+        [(n, *quartiles.get(n, (None,) * 3)) for n in names], "column STRING, q1 DOUBLE, median DOUBLE, q3 DOUBLE"
     )
 
 

@@ -4,12 +4,14 @@ import json
 import re
 import random
 from datetime import date, datetime
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.profiles import profile_quantiles_narrowed
 from tablecare import (
     TableFacts, audit_csv, audit_table, clean, coerce_types, filter_columns, handle_missing,
     profile_table, quality_score, quality_summary, run_quality_checks, suggest, value_frequencies,
@@ -90,6 +92,19 @@ def arrays(seed):
     }
 
 
+def test_quartiles_of_whole_numbers_and_decimals_are_doubles(spark, tmp_path):
+    rows = [(1, Decimal("1.00"), 0.5), (2, Decimal("2.01"), None), (4, Decimal("4.00"), 1.5), (3, None, None)]
+    df = spark.createDataFrame(rows, "l_orderkey BIGINT, l_quantity DECIMAL(15,2), l_extendedprice DOUBLE")
+    df = df.selectExpr("*", "CAST(l_orderkey AS INT) AS l_discount", "CAST(NULL AS DECIMAL(15,2)) AS l_tax")
+    df.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = profile_quantiles_narrowed(spark, str(tmp_path))
+    assert {f.name: f.dataType.simpleString() for f in found.schema}["q1"] == "double"
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == {
+        "l_orderkey": (1.75, 2.5, 3.25), "l_quantity": (1.505, 2.01, 3.005), "l_extendedprice": (0.75, 1.0, 1.25),
+        "l_discount": (1.75, 2.5, 3.25), "l_tax": (None, None, None),
+    }
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_quantiles_equal_numpy(spark, partitions):
     data = arrays(3)
