@@ -1,9 +1,11 @@
 """CSV with line breaks inside quotes, read in pieces: the same rows as from whole files."""
 
 import random
+from pathlib import Path
 
 import pytest
 
+from catalog import files
 from tablecare.sources.csv import read_csv_text
 
 
@@ -99,3 +101,23 @@ def test_few_and_many_blocks_are_joined_alike(spark, tmp_path, small_pieces, mon
     want = rows_of(small_pieces(60, str(tmp_path)).df)
     monkeypatch.setattr(quoted, "BROADCAST_BLOCKS", 0)
     assert rows_of(small_pieces(60, str(tmp_path)).df) == want
+
+
+def test_no_task_writes_all_documents_of_a_large_table(spark, tmp_path, monkeypatch):
+    texts = [None, "", 'a "b"\nc, d', "plain"] + [f"line {i}\n\n{i}," * 20 for i in range(36)]
+    rows = [(i, t, "en", None if t is None else len(t)) for i, t in enumerate(texts)]
+    kind = "doc_id LONG, text STRING, lang STRING, n_chars LONG"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "documents.parquet"))
+    written = []
+    write = files.sinks.write_table
+    monkeypatch.setattr(files.sinks, "write_table", lambda df, path: (written.append(path), write(df, path)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        small = rows_of(files.csv_quoted_breaks_one_file(spark, str(tmp_path)))
+        monkeypatch.setattr(files, "FILE_TEXT", 2_000)
+        large = rows_of(files.csv_quoted_breaks_one_file(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    one, several = (len(list(Path(path.removeprefix("file:")).glob("part-*"))) for path in written)
+    assert one == 1 and several > 3
+    assert large == small and len(small) == 40
