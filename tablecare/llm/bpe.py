@@ -37,7 +37,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecare.llm.common import documents, staged, text_of
+from tablecare.llm.common import documents, small_batches, staged, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a chunk that is dealt out, of one inside a task, and of an overlap.
@@ -46,8 +46,8 @@ CHUNK, INNER, OVERLAP = 1 << 16, 1 << 12, 512
 MARGIN = 3
 #: Pre-tokens of a generation whose ids a worker remembers: about 25 MB.
 REMEMBERED = 120_000
-#: Rows that a worker turns into Python objects at a time.
-TOGETHER = 128
+#: Rows that a worker turns into Python objects at a time: of whole short texts, and of long ones or their chunks.
+TOGETHER, CHUNKS_TOGETHER = 128, 16
 
 
 class Remembered(dict):
@@ -232,9 +232,16 @@ SPLIT_TYPE = pa.schema(
 ONE = "doc_id long, ids array<int>"
 
 
+def _slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, so many at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def _splits(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
     kind = pa.schema(list(SPLIT_TYPE)[:5])
-    for batch in batches:
+    for batch in _slices(batches, 1):
         for r in batch.to_pylist():
             text = r["text"]
             last = max(0, -(-(len(text) - overlap) // chunk) - 1)
@@ -256,7 +263,7 @@ def _boundaries(
 ) -> Iterator[pa.RecordBatch]:
     """Three rows of a chunk: itself, the end's boundaries for the next, the head's for the one before."""
     cut = splitter_of_chunks(pattern)
-    for batch in batches:
+    for batch in _slices(batches, CHUNKS_TOGETHER):
         out = []
         for r in batch.to_pylist():
             c, key = r["c"], {"doc_id": r["doc_id"], "digest": r["digest"]}
@@ -277,7 +284,7 @@ def _piece_ids(
 ) -> Iterator[pa.RecordBatch]:
     """Encode the pre-tokens of each chunk from one seam to the other."""
     cut, vocabulary = splitter_of_chunks(pattern), _vocabulary(path)
-    for batch in batches:
+    for batch in _slices(batches, CHUNKS_TOGETHER):
         ids = []
         for c, text, start, stop in zip(*(batch.column(x).to_pylist() for x in ("c", "text", "start", "stop"))):
             # Up to the end of the chunk, beyond the seam, so that the last ones see what follows them.
@@ -294,16 +301,14 @@ def _text_ids(
 ) -> Iterator[pa.RecordBatch]:
     """Encode whole texts; with ``decoded``, the bytes of their ids too."""
     cut, vocabulary = splitter_of_chunks(pattern), _vocabulary(path)
-    for batch in batches:
-        for first in range(0, batch.num_rows, TOGETHER):
-            part = batch.slice(first, TOGETHER)
-            ids = _lists([vocabulary.encode(cut(text)) for text in part.column("text").to_pylist()])
-            if decoded:
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), ids, vocabulary.decode(ids)], ["doc_id", "ids", "bytes"]
-                )
-            else:
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+    for part in _slices(batches, TOGETHER):
+        ids = _lists([vocabulary.encode(cut(text)) for text in part.column("text").to_pylist()])
+        if decoded:
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), ids, vocabulary.decode(ids)], ["doc_id", "ids", "bytes"]
+            )
+        else:
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
 
 def encode(
@@ -391,12 +396,10 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path)
-        for batch in batches:
-            for first in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(first, TOGETHER)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, vocabulary.decode(part.column("ids"))], ["doc_id", "ids", "bytes"]
-                )
+        for part in _slices(batches, TOGETHER):
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, vocabulary.decode(part.column("ids"))], ["doc_id", "ids", "bytes"]
+            )
 
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(
         joined, "doc_id long, ids array<int>, bytes binary"
@@ -415,4 +418,5 @@ def token_digests(docs: DataFrame, **settings) -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return token_digests(documents(spark, sf_dir)).drop("ids")

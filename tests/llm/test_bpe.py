@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -74,3 +75,20 @@ def test_both_engines_split_alike():
     for _ in range(5000):
         t = "".join(rng.choice(pool) if rng.random() < 0.3 else rng.choice("ab 1'sré\n!_  ll") for _ in range(25))
         assert cut(t) == full.findall(t)
+
+
+def test_a_batch_of_long_texts_is_taken_in_parts(spark, tmp_path):
+    rows = [{"doc_id": i, "digest": "d", "c": 1, "last": 2, "text": "ab c " * 40} for i in range(100)]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema(list(bpe.SPLIT_TYPE)[:5]))
+    marked = list(bpe._boundaries(iter([batch]), 100, 20, public_tokenizers.PATTERN))
+    assert sum(b.num_rows for b in marked) == 300 and max(b.num_rows for b in marked) <= 48
+    seams = {"copies": [1] * 100, "start": [100] * 100, "stop": [200] * 100}
+    for name, values in seams.items():
+        batch = batch.append_column(name, pa.array(values, pa.int64()))
+    encoded = list(bpe._piece_ids(iter([batch]), 100, public_tokenizers.PATTERN, None))
+    assert sum(b.num_rows for b in encoded) == 100 and max(b.num_rows for b in encoded) <= 16
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.createDataFrame([(1, "a")], "doc_id LONG, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r["n_tokens"] for r in bpe.op1_byte_bpe(spark, str(tmp_path)).collect()] == [1]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1_000
