@@ -163,24 +163,37 @@ class Alike(dict):
         return self[c]
 
 
+def _ranges(kind: str) -> str:
+    """The characters up to U+FFFF that ``regex`` counts as ``kind``, written for a class of ``re``."""
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    return "".join(f"\\u{ord(run[0][0]):04x}-\\u{ord(run[0][-1]):04x}" for run in regex.finditer(f"{kind}+", plane))
+
+
 def splitter(pattern: str):
-    """A function from a text to its pre-tokens. Texts whose characters are the same to both go
-    to the quicker engine of the standard library."""
+    """A function from a text to its pre-tokens. Texts up to U+FFFF, and others whose characters are
+    the same to both, go to the quicker engine of the standard library."""
     full = regex.compile(pattern)
     if pattern != public_tokenizers.PATTERN:
         return full.findall
-    ascii_only = re.compile(
-        pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sa-zA-Z0-9]").replace(r"\p{L}", "[a-zA-Z]").replace(r"\p{N}", "[0-9]"),
-        re.ASCII,
+    space, letter, number = map(_ranges, (r"\s", r"\p{L}", r"\p{N}"))
+    # No character is of two kinds, so what a run has taken is never given back.
+    plane = re.compile(
+        pattern.replace(" ?", " ?+")
+        .replace(r"[^\s\p{L}\p{N}]+", f"[^{space}{letter}{number}]++")
+        .replace(r"\p{L}+", f"[{letter}]++")
+        .replace(r"\p{N}+", f"[{number}]++")
+        .replace(r"\S", f"[^{space}]")
+        .replace(r"\s", f"[{space}]")
     )
+    beyond = re.compile("[\U00010000-\U0010ffff]")
     bare = re.compile(
         pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
     )
     alike = Alike()
 
     def split(text: str) -> list[str]:
-        if text.isascii():
-            return ascii_only.findall(text)
+        if text.isascii() or not beyond.search(text):
+            return plane.findall(text)
         return (bare if all(map(alike.__getitem__, set(text))) else full).findall(text)
 
     return split

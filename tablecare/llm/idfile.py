@@ -59,11 +59,6 @@ _COUNTS = np.array([*(count for _, count, _ in PACKS), 1])
 MAGIC = b"S8B1"
 
 
-def _shifts(count: int, bits: int) -> np.ndarray:
-    """Where the ids of a word begin in it."""
-    return np.arange(count, dtype=np.uint64) * np.uint64(bits)
-
-
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of ``ids`` and the number of words before each block."""
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
@@ -79,8 +74,6 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     chosen = np.full(grid.shape, ESCAPE, np.int8)
     for selector, count, bits in reversed(PACKS):
         fits = grid < np.uint64(1 << bits)
-        if not fits.any():
-            break
         # Whether this id and the next ones, up to ``count``, all do.
         have = 1
         while have < count:
@@ -88,6 +81,9 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             fits[:, :-more] &= fits[:, more:]
             fits[:, -more:] = False
             have += more
+        # The selectors that are left ask for more ids of fewer bits.
+        if not fits.any():
+            break
         np.copyto(chosen, np.int8(selector), where=fits)
     chosen = chosen.ravel()
     step = _COUNTS[chosen]
@@ -107,8 +103,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for selector, count, bits in PACKS:
         mine = kinds == selector
         if bits and mine.any():
-            members = ids[starts[mine][:, None] + np.arange(count)] << _shifts(count, bits)
-            words[place[mine]] |= np.bitwise_or.reduce(members, axis=1)
+            first, word = starts[mine], words[place[mine]]
+            for k in range(count):
+                word |= ids[first + k] << np.uint64(k * bits)
+            words[place[mine]] = word
     return words, place[np.searchsorted(starts, np.arange(blocks) * BLOCK)].astype(np.uint64)
 
 
@@ -136,8 +134,9 @@ def unpack(words: np.ndarray) -> np.ndarray:
     for selector, count, bits in PACKS:
         mine = kinds == selector
         if bits and mine.any():
-            members = words[heads[mine]][:, None] >> _shifts(count, bits) & np.uint64((1 << bits) - 1)
-            out[place[mine][:, None] + np.arange(count)] = members
+            first, word = place[mine], words[heads[mine]]
+            for k in range(count):
+                out[first + k] = word >> np.uint64(k * bits) & np.uint64((1 << bits) - 1)
     return out
 
 

@@ -92,3 +92,10 @@ def test_a_batch_of_long_texts_is_taken_in_parts(spark, tmp_path):
     spark.createDataFrame([(1, "a")], "doc_id LONG, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
     assert [r["n_tokens"] for r in bpe.op1_byte_bpe(spark, str(tmp_path)).collect()] == [1]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1_000
+
+
+def test_characters_up_to_ffff_need_the_quicker_engine_only(monkeypatch):
+    text = "x² ½a  Ⅷ'll é日本'sa\x1c_ \u00a0\u3000\u180e१२ ೲ٣b\n"
+    want = regex.findall(public_tokenizers.PATTERN, text)
+    monkeypatch.setattr(bpe.regex, "compile", lambda pattern: None)
+    assert bpe.splitter(public_tokenizers.PATTERN)(text) == want

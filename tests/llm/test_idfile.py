@@ -29,6 +29,14 @@ def test_escapes_that_look_like_escapes():
     assert (idfile.unpack(words) == ids).all()
 
 
+def test_selectors_that_fit_no_run_end_the_search(monkeypatch):
+    tried, copyto = [], np.copyto
+    monkeypatch.setattr(np, "copyto", lambda *a, **k: tried.append(a) or copyto(*a, **k))
+    ids = np.array([40_000] * 1000 + [0], np.uint64)
+    assert (idfile.unpack(idfile.pack(ids)[0]) == ids).all()
+    assert len(tried) == 2
+
+
 def test_file_round_trip():
     keys = [None, -5, 2**62, 7]
     ids = [np.array(x, np.uint64) for x in ([1, 2, 3], [], [50256] * 3000, [0])]
