@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -70,3 +71,19 @@ def test_equals_the_library(docs, file_ids):
 
 def test_empty_table(docs):
     assert idfile.read_ids(idfile.write_ids(docs([]))).collect() == []
+
+
+def test_workers_get_bounded_batches(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = [(i, f"text {i}") for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id LONG, text STRING").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    try:
+        spark.conf.set(name, 10_000)
+        assert idfile.op3_token_files(spark, str(tmp_path)).count() == 1500
+        sizes = spark.range(1500, numPartitions=1).mapInArrow(
+            lambda batches: (pa.RecordBatch.from_pydict({"id": [b.num_rows]}) for b in batches), "id long"
+        )
+        assert sorted(r[0] for r in sizes.collect()) == [500, 1000]
+    finally:
+        spark.conf.set(name, before)
