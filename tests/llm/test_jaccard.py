@@ -120,6 +120,25 @@ def test_linked_sets_share_a_signature(n):
             assert set(shingles.signatures(a, frequent).tolist()) & set(shingles.signatures(b, frequent).tolist())
 
 
+def test_sets_that_share_a_few_elements_do_not_meet():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**64 - 1, 100, dtype=np.uint64)
+    label = list(range(1500))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    holder = {}
+    for i in range(len(label)):
+        own = rng.integers(0, 2**64 - 1, rng.integers(30, 60), dtype=np.uint64)
+        for mark in shingles.signatures(np.union1d(own, rng.choice(pool, 10)), np.empty(0, np.uint64)).tolist():
+            label[root(i)] = root(holder.setdefault(mark, i))
+    roots = [root(i) for i in range(len(label))]
+    assert max(roots.count(r) for r in set(roots)) <= 10
+
+
 def test_regions_with_and_without_pivots():
     rng = np.random.default_rng(9)
     for spread in (0.02, 0.1, 0.3):
