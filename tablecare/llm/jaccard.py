@@ -18,8 +18,9 @@ Steps, all exact:
 4. A block of more than ``CELL`` classes gets a pivot, the class with most copies, and rings of
    width EPSILON around it. Linked classes lie in one ring or in neighbours. Classes in the first
    ring link to the pivot, so nothing there need be compared with one another. Rings are dealt
-   out into cells of about ``CELL`` classes, and a cell meets the cells of its own and the next
-   ring, so a task gets two cells at most.
+   out into cells of ``CELL`` classes, or more of small ones, for every class goes to as many
+   tasks as its cell meets others; a cell meets the cells of its own and the next ring, so a
+   task gets two cells at most.
 5. Inside a task, regions of pivots are joined recursively, and compared outright when small or
    when pivots no longer separate them.
 6. Links come back as edges to the smallest class of a task's component; components of all
@@ -44,8 +45,9 @@ from tablecare.llm.common import documents, free_name, staged, text_of
 from tablecare.llm.components import components
 from tablecare.llm.shingles import SHARE, set_digest, shingle_set, signatures
 
-#: Classes of a cell; a task compares two cells.
-CELL = 128
+#: Classes compared without cells. A task compares two cells; a cell of larger blocks holds up to
+#: ``CELLS`` times as many classes while their elements have ``CELL_BYTES`` bytes at most.
+CELL, CELLS, CELL_BYTES = 128, 8, 1 << 22
 #: Shingles left out of signatures at most, and how many documents of a batch make one a candidate.
 FREQUENT, COMMON = 200_000, 8
 #: Documents of a batch whose arrays a worker holds at a time.
@@ -303,7 +305,9 @@ def cells(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # All of the first ring links to the pivot, and those of the second that are exactly a radius away.
     to_pivot = ringed.where("linked AND key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
-    sizes = ringed.groupBy("block", "ring").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    least = F.greatest(F.ceil(F.count("*") / (CELLS * CELL)), F.ceil(F.sum(F.length("elements")) / CELL_BYTES))
+    parts = F.least(F.ceil(F.count("*") / CELL), least)
+    sizes = ringed.groupBy("block", "ring").agg(parts.cast("int").alias("parts"))
     placed = ringed.join(sizes, ["block", "ring"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     # A cell meets the cells of its own ring that do not come before it, and all of the next ring.
     own, after = sizes.alias("s"), sizes.alias("t")

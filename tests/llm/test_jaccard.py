@@ -83,6 +83,19 @@ def test_links_between_rings_at_exactly_one_and_two_radii(docs, monkeypatch, cel
     assert got == sorted(brute(rows)) and {c for _, _, c in got} == {0}
 
 
+def test_small_sets_of_a_large_block_go_to_few_cells(docs, spark):
+    rng = np.random.default_rng(3)
+    base, sets = rng.integers(0, 2**64 - 1, 40, dtype=np.uint64), []
+    for _ in range(1200):
+        # All at a distance of 0.3 from what most are copies of, so none links to it.
+        sets.append(np.unique(np.concatenate([rng.permutation(base)[:33], rng.integers(0, 2**64 - 1, 7, dtype=np.uint64)])))
+    rows = [(1, k, 1 + 9 * (k == 0), bytearray(s.tobytes())) for k, s in enumerate([base, *sets])]
+    table = spark.createDataFrame(rows, "block long, key long, copies long, elements binary")
+    members, _ = jaccard.cells(table)
+    assert members.count() <= 3 * len(rows)
+    assert members.select("key").distinct().count() >= len(sets)
+
+
 def test_empty_table_and_rows_that_stay(docs):
     assert jaccard.similar_components(docs([])).collect() == []
     rows = corpus(4)
